@@ -21,7 +21,7 @@ def b64url_text(data: Column) -> Column:
 
 
 def _last_part(parts: Column, mime: str) -> Column:
-    return F.element_at(F.filter(parts, lambda p: p["mimeType"] == mime), -1)
+    return F.try_element_at(F.filter(parts, lambda p: p["mimeType"] == mime), F.lit(-1))
 
 
 def parse_messages(msgs: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Global numbering in a total order without a single-partition window.
 
 ``row_number() OVER (ORDER BY ...)`` with no PARTITION BY moves every row
-into one task.  Here the rows are range-partitioned on the sort keys (the
-range partitioner samples the keys, so a hot value cannot pin a third of
-the rows to one task unless they share the whole key, and the key always
-ends in a unique tie-breaker), sorted inside each partition, numbered by
-position, and shifted by the row counts of the preceding partitions.  The
-count table has one row per partition, so it is broadcast with a proven
-size bound.
+into one task.  Here the rows are cut into ``n`` key ranges whose bounds
+are approximate quantiles of the leading sort key (one narrow aggregate;
+the ``n - 1`` bounds are the only thing brought to the driver, exactly
+what Spark's own range partitioner does).  Each row's range is a pure
+function of its key — a balanced comparison tree over literal bounds, so
+every branch of the plan assigns the same range whatever the input order.
+Rows are numbered inside their range by a window partitioned on the range,
+and shifted by the row counts of the lower ranges (a table of at most
+``n`` rows, broadcast with that bound).
 """
 
 from __future__ import annotations
@@ -20,25 +22,48 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _bucket(k: Column, bounds: list[float], lo: int = 0) -> Column:
+    """Index of the range holding ``k``: number of bounds <= k (log2 depth)."""
+    if not bounds:
+        return F.lit(lo)
+    mid = len(bounds) // 2
+    return F.when(k < F.lit(bounds[mid]), _bucket(k, bounds[:mid], lo)) \
+            .otherwise(_bucket(k, bounds[mid + 1:], lo + mid + 1))
+
+
+def range_bounds(df: DataFrame, key: Column, n: int, accuracy: int = 10_000) -> list[float]:
+    """``n - 1`` approximate quantiles of ``key`` (distinct, sorted)."""
+    if n <= 1:
+        return []
+    probs = [i / n for i in range(1, n)]
+    row = df.select(F.percentile_approx(key.cast("double"), probs, accuracy)).first()
+    vals = row[0] if row is not None and row[0] is not None else []
+    return sorted({float(v) for v in vals if v is not None})
+
+
 def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank",
-                partition_by: list[str] | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Add ``rank_col`` = 1..N in ``order`` (per ``partition_by`` key if given).
+                lead: tuple[str, bool] | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Add ``rank_col`` = 1..N following ``order`` (a total order: end it
+    with a unique column).
 
-    ``order`` must be a total order (end it with a unique column).
+    ``lead`` = (column, ascending) is the numeric leading key used for the
+    ranges; by default the first ``order`` item when it is a column name
+    (ascending).  Rows tied on the leading key share a range.
     """
-    keys = [F.col(k) for k in (partition_by or [])]
-    sort = keys + [F.col(o) if isinstance(o, str) else o for o in order]
+    if lead is None:
+        first = order[0]
+        if not isinstance(first, str):
+            raise ValueError("pass lead=(column, ascending) when the first order item is a Column")
+        lead = (first, True)
+    name, asc = lead
+    k = F.col(name) if asc else -F.col(name)
     n = num_partitions or _num_partitions(df)
-    ranged = (df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_lpos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    pk = [k for k in (partition_by or [])]
-    counts = ranged.groupBy("_pid", *pk).agg(F.count(F.lit(1)).alias("_n"), F.min("_lpos").alias("_first"))
-    w = Window.partitionBy(*pk).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if pk else \
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    # One row per partition (per partition and key when keyed): broadcast
-    # only in the unkeyed case, where the bound is the partition count.
-    out = ranged.join(offsets if pk else F.broadcast(offsets), ["_pid", *pk])
-    return out.withColumn(rank_col, F.col("_off") + F.col("_lpos") - F.col("_first") + 1) \
-              .drop("_pid", "_lpos", "_off", "_first")
+    bounds = range_bounds(df, k, n)
+    x = df.withColumn("_rng", _bucket(k.cast("double"), bounds))
+    sort = [F.col(o) if isinstance(o, str) else o for o in order]
+    local = F.row_number().over(Window.partitionBy("_rng").orderBy(*sort))
+    counts = x.groupBy("_rng").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_rng", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
+    out = x.withColumn("_loc", local).join(F.broadcast(offsets), "_rng")
+    return out.withColumn(rank_col, F.col("_off") + F.col("_loc")).drop("_rng", "_loc", "_off")

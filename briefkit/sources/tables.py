@@ -71,6 +71,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("reader"), F.regexp_extract("props", "[0-9]+", 0), F.lit("@inbox.example.org")).alias("recipient"),
         body.alias("body"),
         F.lit("html").alias("body_format"),
+        F.col("ts").cast("timestamp").alias("received_ts"),
     )
 
 
