@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as cfg
+from .common import let as _let
 
 WS = cfg.PY_WHITESPACE_CLASS
 _DAYS = "mon|tue|wed|thu|fri|sat|sun"
@@ -36,16 +37,6 @@ def _groups(s: Column) -> Column:
     return F.when(r.startswith(_SEP) & (r != s), F.split(r, _SEP))
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once and evaluate ``body(value)``.
-
-    A one-element ``transform`` keeps the bound value a lambda variable, so
-    Catalyst cannot inline (and duplicate) it into every use or into a
-    pushed-down filter; generated code stays small.
-    """
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _fields(g: Column) -> Column:
     def grp(i: int) -> Column:
         return F.nullif(g[i], F.lit(""))

@@ -11,15 +11,14 @@ from .. import config as cfg
 
 WS = cfg.PY_WHITESPACE_CLASS
 
-# Python's strip(): the whole str.isspace() set, not only ' '.
-_STRIP_RX = rf"^{WS}+|{WS}+$"
 # Sender "Name <address>" (Python re.match anchors at the start only).
 SENDER_RX = rf"(?d)^(.*?){WS}*<(.+?)>"
 _MAIL_PREFIX_RX = r"^(?:" + "|".join(cfg.MAIL_HOST_PREFIXES) + r")\."
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP_RX, "")
+    """Python's strip(): trims the whole str.isspace() set (no regex)."""
+    return F.btrim(c, F.lit(cfg.PY_WHITESPACE_CHARS))
 
 
 def short_sender(sender: Column) -> Column:

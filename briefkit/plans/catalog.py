@@ -109,12 +109,12 @@ def message_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ cleaning
 def clean_html(spark: SparkSession, sf: str) -> DataFrame:
-    p = T.read_table(spark, sf, "pages")
+    p = T.spread(T.read_table(spark, sf, "pages"), "page_id")
     return p.select("page_id", clean_body(F.col("html")).alias("cleaned"))
 
 
 def css_strip(spark: SparkSession, sf: str) -> DataFrame:
-    p = T.read_table(spark, sf, "pages")
+    p = T.spread(T.read_table(spark, sf, "pages"), "page_id")
     return p.select("page_id", strip_css(strip_elements(F.col("html"))).alias("stripped"))
 
 

@@ -9,6 +9,8 @@ not generated from the Spark plan.
 
 from __future__ import annotations
 
+import re
+
 from .. import config as cfg
 from ..functions import dates, html, responses, text, urls
 
@@ -25,7 +27,7 @@ def q(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {q(f'^{WS}+|{WS}+$')}, '', 'g')"
+    return f"trim({x}, {q(cfg.PY_WHITESPACE_CHARS)})"
 
 
 PAGE_SITE = r"""
@@ -148,22 +150,18 @@ def homepage_from_body(x: str) -> str:
     return f"coalesce(list_filter({kept}, lambda u: {path} IN ({roots}))[1], ({kept})[1])"
 
 
+def apply_steps(x: str, steps) -> str:
+    """The shared HTML step list as nested DuckDB calls ($n → \\n)."""
+    c = x
+    for kind, a, b, _guard in steps:
+        if kind == "rx":
+            rep = re.sub(r"[$](\d)", lambda m: "\\" + m.group(1), b)
+            c = f"regexp_replace({c}, {q(a)}, {q(rep)}, 'g')"
+        else:
+            c = f"replace({c}, {q(a)}, {q(b)})"
+    return c
+
+
 def clean_body(x: str) -> str:
-    c = f"regexp_replace({x}, {q(html.DROP_ELEMENTS_RX)}, '', 'g')"
-    c = f"regexp_replace({c}, {q(html.ATTRS_RX)}, '<\\1>', 'g')"
-    for rx in (html.MEDIA_RX, html.CLASS_RULE_RX, html.BRACES_RX):
-        c = f"regexp_replace({c}, {q(rx)}, '', 'g')"
-    for n in range(1, 7):
-        c = f"regexp_replace({c}, {q(f'(?i)<h{n}>')}, {q(chr(10) + '#' * n + ' ')}, 'g')"
-    c = f"regexp_replace({c}, {q(html.H_CLOSE_RX)}, chr(10), 'g')"
-    c = f"regexp_replace({c}, {q(html.LI_OPEN_RX)}, {q(chr(10) + '* ')}, 'g')"
-    c = f"regexp_replace({c}, {q(html.LI_CLOSE_RX)}, '', 'g')"
-    c = f"regexp_replace({c}, {q(html.BLOCK_RX)}, chr(10), 'g')"
-    c = f"regexp_replace({c}, {q(html.ANY_TAG_RX)}, '', 'g')"
-    c = f"regexp_replace({c}, {q(html.CUT_TAG_RX)}, '', 'g')"
-    for ent, ch in html.ENTITIES:
-        c = f"replace({c}, {q(ent)}, {q(ch)})"
-    c = f"regexp_replace({c}, '[ \\t]+', ' ', 'g')"
-    c = f"regexp_replace({c}, ' ?\\n ?', chr(10), 'g')"
-    c = f"regexp_replace({c}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    c = apply_steps(x, html.ELEMENT_STEPS + html.CSS_STEPS + html.MARKDOWN_STEPS)
     return f"coalesce({strip(c)}, {q(cfg.CLEAN_ERROR)})"

@@ -148,11 +148,7 @@ def errors_ctes() -> list[str]:
 
 
 def strip_css_sql(x: str) -> str:
-    c = f"regexp_replace({x}, {O.q(html.DROP_ELEMENTS_RX)}, '', 'g')"
-    c = f"regexp_replace({c}, {O.q(html.ATTRS_RX)}, '<\\1>', 'g')"
-    for rx in (html.MEDIA_RX, html.CLASS_RULE_RX, html.BRACES_RX):
-        c = f"regexp_replace({c}, {O.q(rx)}, '', 'g')"
-    return c
+    return O.apply_steps(x, html.ELEMENT_STEPS + html.CSS_STEPS)
 
 
 def block_sql() -> str:

@@ -30,8 +30,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that yields fewer partitions than the cluster has
+    cores (a small single-row-group file), so per-row work downstream runs
+    on every core.  A scan that is already parallel (the large-data case)
+    is returned as is: no extra shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n, key)
+    return df
+
+
 def page_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"), "page_id")
     return p.select(
         "page_id", "url", "html",
         F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"),
@@ -42,7 +53,8 @@ def page_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newsletter records (M2) plus label, recipient and the event time."""
-    e = read_table(spark, sf_dir, "events")
+    e = spread(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"),
+               "event_id")
     p = page_sites(spark, sf_dir)
     et, ts = F.col("event_type"), F.col("ts")
     subject = (F.when(et == "signup", F.concat(F.lit("["), F.col("site"), F.lit("] New release: "), F.col("title")))
