@@ -8,18 +8,47 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..session import exists
 
+_COST_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.COST.fields)
+
+
+def _empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], schemas.COST).select(
+        F.lit(None).cast("long").alias("ord"), "*", F.lit(None).cast("string").alias("_corrupt_record")).limit(0)
+
 
 def read_cost_log(spark: SparkSession, path: str) -> DataFrame:
-    """A3: the log is one JSON array (or JSON Lines / a folder of appended
-    parts); missing keys → NULL; a missing path → empty frame.  Rows that
-    cannot be parsed are kept aside in ``_corrupt_record`` (filter with
-    ``corrupt_rows``), never silently dropped.  ``ord`` = position."""
+    """A3: the original log is one JSON array file; appended logs (A4) are
+    folders of JSON Lines parts.  Each file is parsed on an executor; keys
+    that are missing become NULL; a missing path gives an empty frame.
+    Text that does not parse is kept in ``_corrupt_record`` (one row per
+    bad file or bad line) — quarantined, never dropped silently, never
+    overwritten.  ``ord`` = (file order, position in the file)."""
     if not exists(path):
-        return spark.createDataFrame([], schemas.COST).withColumn("ord", F.lit(None).cast("long")) \
-                    .withColumn("_corrupt_record", F.lit(None).cast("string"))
-    df = (spark.read.schema(schemas.COST_WITH_CORRUPT).option("multiLine", True)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return df.withColumn("ord", F.monotonically_increasing_id())
+        return _empty(spark)
+    reader = spark.read.option("wholetext", True)
+    files = sorted(reader.text(path).inputFiles())
+    if not files:
+        return _empty(spark)
+    # File order from the listing the driver already holds (metadata only).
+    order = spark.createDataFrame(list(enumerate(files)), "file_seq long, file string")
+    t = reader.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
+    t = t.join(F.broadcast(order), "file")
+    is_array = t.v.startswith("[")
+    arr = F.from_json(F.col("v"), f"array<struct<{_COST_DDL}>>")
+    a = t.where(is_array).select(
+        "file_seq", F.when(arr.isNull(), F.array(F.lit(None).cast(f"struct<{_COST_DDL}>"))).otherwise(arr).alias("rows"),
+        F.when(arr.isNull(), F.col("v")).alias("_bad"))
+    a = a.select("file_seq", F.posexplode("rows").alias("pos", "r"), "_bad")
+    lines = F.filter(F.split(F.col("v"), "\n"), lambda x: F.length(F.trim(x)) > 0)
+    j = t.where(~is_array).select("file_seq", F.posexplode(lines).alias("pos", "line"))
+    ok = F.try_parse_json(F.col("line")).isNotNull()
+    j = j.select("file_seq", "pos", F.when(ok, F.from_json("line", f"struct<{_COST_DDL}>")).alias("r"),
+                 F.when(~ok, F.col("line")).alias("_bad"))
+    u = a.unionByName(j)
+    return u.select(
+        (F.col("file_seq") * F.lit(1 << 32) + F.col("pos")).alias("ord"),
+        *[F.col(f"r.{f.name}").alias(f.name) for f in schemas.COST.fields],
+        F.col("_bad").alias("_corrupt_record"))
 
 
 def good_rows(log: DataFrame) -> DataFrame:
@@ -27,13 +56,11 @@ def good_rows(log: DataFrame) -> DataFrame:
 
 
 def corrupt_rows(log: DataFrame) -> DataFrame:
-    return log.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    return log.where(F.col("_corrupt_record").isNotNull()).select("ord", "_corrupt_record")
 
 
 def append_cost_rows(rows: DataFrame, path: str) -> None:
-    """A4: append (never rewrite) cost rows as new JSON part files; readers
-    of ``path`` see whole files only.  A corrupt older file is left in
+    """A4: append (never rewrite) cost rows as new JSON Lines part files;
+    readers see whole part files only.  A corrupt older file stays in
     place for quarantine instead of being overwritten."""
-    cols = [f.name for f in schemas.COST.fields]
-    rows.select(*[F.col(c).cast(t.dataType) for c, t in zip(cols, schemas.COST.fields)]) \
-        .write.mode("append").json(path)
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.COST.fields]).write.mode("append").json(path)
