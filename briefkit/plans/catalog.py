@@ -261,6 +261,47 @@ def report_no_latest(spark: SparkSession, sf: str) -> DataFrame:
         .where(F.col("section_ord") != R.SECTIONS["analysis"])
 
 
+# --------------------------------------------------------------- streaming
+def _stream_source(spark, sf, n_files=4):
+    """Message resources derived from the tables, written as JSON files
+    under the shared checkpoint folder (the stream's input)."""
+    from ..session import scratch_path
+    src = scratch_path(spark, "stream-src")
+    res = to_message_resources(T.messages(spark, sf))
+    res.repartition(n_files, "id").write.json(src)
+    return src
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    from ..session import scratch_path
+    from ..streaming import pipelines as S
+    src, sink, ck = _stream_source(spark, sf), scratch_path(spark, "s1-out"), scratch_path(spark, "s1-ckpt")
+    S.ingest_stream(spark, src, sink, ck, max_files_per_trigger=1).awaitTermination()
+    return spark.read.parquet(sink).select("msg_id", "subject", "body_format", "decode_ok", "body_md5",
+                                           F.md5("cleaned").alias("cleaned_md5"))
+
+
+def stream_cost(spark: SparkSession, sf: str) -> DataFrame:
+    from ..session import scratch_path
+    from ..streaming import pipelines as S
+    src, sink, ck = scratch_path(spark, "s2-src"), scratch_path(spark, "s2-out"), scratch_path(spark, "s2-ckpt")
+    T.cost_log(spark, sf).drop("ord").repartitionByRange(4, "timestamp").write.json(src)
+    S.cost_stream(spark, src, sink, ck).awaitTermination()
+    w = S.read_cost_windows(spark, sink)
+    return w.select(_ts("window_start").alias("window_start"), "provider", "runs", "tokens",
+                    _r(F.col("cost")).alias("cost"))
+
+
+def stream_registry(spark: SparkSession, sf: str) -> DataFrame:
+    from ..session import scratch_path
+    from ..streaming import pipelines as S
+    src, root, ck = _stream_source(spark, sf), scratch_path(spark, "s3-reg"), scratch_path(spark, "s3-ckpt")
+    initial = scratch_path(spark, "s3-initial")
+    T.registry(spark, sf).write.parquet(initial)
+    S.registry_stream(spark, src, root, ck, curated=T.curated(spark, sf), initial=initial).awaitTermination()
+    return S.latest_registry(spark, root)
+
+
 QUERIES = {
     "issues_per_source": issues_per_source,
     "source_totals": source_totals,
@@ -296,4 +337,7 @@ QUERIES = {
     "score_stub": score_stub,
     "report_sections": report_sections,
     "report_no_latest": report_no_latest,
+    "stream_ingest": stream_ingest,
+    "stream_cost": stream_cost,
+    "stream_registry": stream_registry,
 }

@@ -77,10 +77,15 @@ def rollup_ctes(days: int = C.COST_DAYS) -> list[str]:
                  CASE gid WHEN 1 THEN provider WHEN 2 THEN model END AS key, runs, tokens, cost, first_ord FROM g0)"""]
 
 
-def resolved_ctes() -> list[str]:
+RESOURCE_BODY = (f"CASE WHEN label IN ('view', 'click') THEN body WHEN label = 'signup' THEN subject || {NL} || recipient "
+                 "WHEN label = 'purchase' THEN subject ELSE '' END")
+
+
+def resolved_ctes(body: str = "body") -> list[str]:
     name, email = O.sender_name("sender"), O.sender_email("sender")
-    return [O.MSGS, REGISTRY, CURATED, """g AS (
-          SELECT sender, count(*) AS issues, min(ord) AS first_ord, arg_min(body, ord) AS body FROM msgs GROUP BY sender)""",
+    return [O.MSGS, REGISTRY, CURATED, f"""g AS (
+          SELECT sender, count(*) AS issues, min(ord) AS first_ord, arg_min({body}, ord) AS body FROM msgs
+          GROUP BY sender)""",
             f"""srcs AS (
           SELECT sender, issues, row_number() OVER (ORDER BY issues DESC, first_ord) AS rank, body,
                  {name} AS name, {email} AS email FROM g)""",
@@ -258,7 +263,7 @@ def oracle_queries() -> dict[str, str]:
     title_rx = O.q(O.TITLE_RX)
     head = O.q(PROMPT_HEAD.format(n=cfg.DEFAULT_NUM_TOPICS))
     direct_openai, direct_other = cfg.PROVIDER_MODELS[1][3], cfg.PROVIDER_MODELS[0][3]
-    return {
+    q = {
         "issues_per_source": _with(O.MSGS, """g AS (
               SELECT sender, count(*) AS issues, min(ord) AS first_ord, arg_min(subject, ord) AS first_subject,
                      arg_min(date, ord) AS first_date FROM msgs GROUP BY sender)""") + f"""
@@ -381,5 +386,29 @@ def oracle_queries() -> dict[str, str]:
                    len(regexp_extract_all(text, {title_rx}, 1)) AS n_topics,
                    regexp_extract_all(text, {title_rx}, 1)[1] AS first_topic FROM an""",
         "report_sections": report_sql(True, C.MODEL_LABEL, C.MODEL_TS, True, True),
+        "stream_ingest": _with(O.MSGS, f"""x AS (
+              SELECT *, CASE WHEN label IN ('view', 'click') THEN body
+                             WHEN label = 'signup' THEN subject || {NL} || recipient
+                             WHEN label = 'purchase' THEN subject ELSE '' END AS b,
+                        CASE WHEN label IN ('view', 'click') THEN 'html'
+                             WHEN label IN ('signup', 'purchase') THEN 'plain' END AS fmt FROM msgs)""") + f"""
+            SELECT msg_id, CASE WHEN label = 'error' THEN '{cfg.NO_SUBJECT}' ELSE subject END AS subject,
+                   fmt AS body_format, true AS decode_ok, md5(b) AS body_md5, md5({O.clean_body('b')}) AS cleaned_md5
+            FROM x""",
+        "stream_cost": _with(COST_LOG) + f"""
+            SELECT strftime(date_trunc('day', CAST(timestamp AS TIMESTAMP)), '{TS_SQL}') AS window_start,
+                   coalesce(provider, 'unknown') AS provider, count(*) AS runs,
+                   CAST(sum(coalesce(total_tokens, 0)) AS BIGINT) AS tokens, round(sum(coalesce(cost, 0)), 6) AS cost
+            FROM c GROUP BY 1, 2""",
         "report_no_latest": report_sql(False, None, None, False, False),
     }
+    # S3 runs the batch operators on one micro-batch of message resources;
+    # receipt order equals event order, bodies follow the resource layout.
+    q["stream_registry"] = _with(*resolved_ctes(RESOURCE_BODY), """nw AS (
+              SELECT key AS name, arg_max(url, rank) AS url, arg_max(verified, rank) AS verified
+              FROM res WHERE url IS NOT NULL AND length(url) > 0 GROUP BY key)""") + """
+            SELECT coalesce(nw.name, reg.name) AS name,
+                   CASE WHEN nw.name IS NOT NULL THEN nw.url ELSE reg.url END AS url,
+                   CASE WHEN nw.name IS NOT NULL THEN nw.verified ELSE reg.verified END AS verified
+            FROM reg FULL OUTER JOIN nw ON reg.name = nw.name"""
+    return q
