@@ -2,7 +2,7 @@
 
 ``row_number() OVER (ORDER BY ...)`` with no PARTITION BY moves every row
 into one task.  Here the rows are cut into ``n`` key ranges whose bounds
-are approximate quantiles of the leading sort key (one narrow aggregate;
+are approximate quantiles of a numeric range key (one narrow aggregate;
 the ``n - 1`` bounds are the only thing brought to the driver, exactly
 what Spark's own range partitioner does).  Each row's range is a pure
 function of its key — a balanced comparison tree over literal bounds, so
@@ -10,6 +10,11 @@ every branch of the plan assigns the same range whatever the input order.
 Rows are numbered inside their range by a window partitioned on the range,
 and shifted by the row counts of the lower ranges (a table of at most
 ``n`` rows, broadcast with that bound).
+
+The range key must be monotone in the requested order.  With several
+numeric ``lead`` keys it is ``k1 * span(k2) + k2`` in double precision:
+rounding keeps it monotone, so ties of the first key (a value shared by a
+third of the rows) are still spread over many ranges by the second.
 """
 
 from __future__ import annotations
@@ -36,30 +41,55 @@ def range_bounds(df: DataFrame, key: Column, n: int, accuracy: int = 10_000) ->
     if n <= 1:
         return []
     probs = [i / n for i in range(1, n)]
-    row = df.select(F.percentile_approx(key.cast("double"), probs, accuracy)).first()
+    row = df.select(F.percentile_approx(key, probs, accuracy)).first()
     vals = row[0] if row is not None and row[0] is not None else []
     return sorted({float(v) for v in vals if v is not None})
 
 
+def _range_key(df: DataFrame, lead: list[tuple[str, bool]]) -> Column:
+    keys = [(F.col(c) if asc else -F.col(c)).cast("double") for c, asc in lead]
+    if len(keys) == 1:
+        return keys[0]
+    # ranges of every key (one narrow aggregate), then a mixed-radix value;
+    # fall back to the first key when the value could exceed 2^52 (where
+    # doubles stop being exact and the order could break).
+    st = df.select(*[F.struct(F.min(k).alias("lo"), F.max(k).alias("hi")) for k in keys]).first()
+    if st is None or any(x["lo"] is None for x in st):
+        return keys[0]
+    key, mag = keys[0] - F.lit(st[0]["lo"]), st[0]["hi"] - st[0]["lo"] + 1.0
+    for k, x in zip(keys[1:], st[1:]):
+        span = x["hi"] - x["lo"] + 1.0
+        mag *= span
+        if mag > 2.0 ** 52:
+            return keys[0]
+        key = key * F.lit(span) + (k - F.lit(x["lo"]))
+    return key
+
+
 def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank",
-                lead: tuple[str, bool] | None = None, num_partitions: int | None = None) -> DataFrame:
+                lead: list[tuple[str, bool]] | tuple[str, bool] | None = None,
+                num_partitions: int | None = None) -> DataFrame:
     """Add ``rank_col`` = 1..N following ``order`` (a total order: end it
     with a unique column).
 
-    ``lead`` = (column, ascending) is the numeric leading key used for the
-    ranges; by default the first ``order`` item when it is a column name
-    (ascending).  Rows tied on the leading key share a range.
+    ``lead`` = [(column, ascending), ...] are the numeric keys the ranges
+    are cut on, in the same order as ``order`` starts; by default the
+    leading string items of ``order`` (ascending).
     """
     if lead is None:
-        first = order[0]
-        if not isinstance(first, str):
-            raise ValueError("pass lead=(column, ascending) when the first order item is a Column")
-        lead = (first, True)
-    name, asc = lead
-    k = F.col(name) if asc else -F.col(name)
+        lead = []
+        for o in order:
+            if not isinstance(o, str):
+                break
+            lead.append((o, True))
+        if not lead:
+            raise ValueError("pass lead=[(column, ascending)] when the first order item is a Column")
+    elif isinstance(lead, tuple):
+        lead = [lead]
     n = num_partitions or _num_partitions(df)
-    bounds = range_bounds(df, k, n)
-    x = df.withColumn("_rng", _bucket(k.cast("double"), bounds))
+    key = _range_key(df, list(lead))
+    bounds = range_bounds(df, key, n)
+    x = df.withColumn("_rng", _bucket(key, bounds))
     sort = [F.col(o) if isinstance(o, str) else o for o in order]
     local = F.row_number().over(Window.partitionBy("_rng").orderBy(*sort))
     counts = x.groupBy("_rng").agg(F.count(F.lit(1)).alias("_n"))

@@ -25,7 +25,8 @@ def issues_per_source(records: DataFrame) -> DataFrame:
         F.min("ord").alias("first_ord"),
         F.min_by(F.struct("subject", "date", "body"), "ord").alias("first"),
     )
-    return global_rank(g, [F.desc("issues"), F.asc("first_ord")], "rank", lead=("issues", False))
+    return global_rank(g, [F.desc("issues"), F.asc("first_ord")], "rank",
+                       lead=[("issues", False), ("first_ord", True)])
 
 
 def source_totals(sources: DataFrame) -> DataFrame:

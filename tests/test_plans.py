@@ -62,3 +62,19 @@ def test_contract(spark):
     assert set(E.queries()) == set(E.oracle_sql())
     df = E.entry(spark)
     assert df.count() > 0 and df.columns[:2] == ["sender", "name"]
+
+
+def test_global_rank_spreads_tied_leading_key(spark):
+    # a third of the rows tie on the leading key; the composite range key
+    # still spreads them over several ranges and the ranks stay exact
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"),
+                                  F.col("id").alias("t"))
+    out = global_rank(df, [F.desc("k"), F.asc("t")], "rank", lead=[("k", False), ("t", True)], num_partitions=8)
+    rows = out.orderBy("rank").collect()
+    assert [r.rank for r in rows] == list(range(1, 3001))
+    assert [(-r.k, r.t) for r in rows] == sorted((-r.k, r.t) for r in rows)
+    from briefkit.operators.sequence import _bucket, _range_key, range_bounds
+    key = _range_key(df, [("k", False), ("t", True)])
+    b = range_bounds(df, key, 8)
+    sizes = [r[1] for r in df.groupBy(_bucket(key, b).alias("g")).count().collect()]
+    assert max(sizes) < 1000
