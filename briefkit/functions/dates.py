@@ -90,6 +90,11 @@ FIELDS = ("ts", "local_ts", "offset_s", "tz_known", "date_ok")
 
 
 def with_parsed_date(df: DataFrame, col: str = "date", prefix: str = "") -> DataFrame:
-    """Add the parsed fields as top-level columns."""
-    x = df.withColumn("_pd", parse_rfc2822(F.col(col)))
-    return x.select(*[c for c in df.columns], *[F.col(f"_pd.{f}").alias(prefix + f) for f in FIELDS])
+    """Add the parsed fields as top-level columns.
+
+    The struct is emitted through ``inline`` (a Generate node): filters on
+    the parsed fields stay above it instead of being pushed down with a copy
+    of the whole parser, so each scan parses a date once.
+    """
+    x = df.select(*df.columns, F.inline(F.array(parse_rfc2822(F.col(col)))))
+    return x.select(*df.columns, *[F.col(f).alias(prefix + f) for f in FIELDS]) if prefix else x
