@@ -40,7 +40,7 @@ def records_from_json_text(spark: SparkSession, text: str) -> DataFrame:
 
 def b64url(c: Column) -> Column:
     """UTF-8 text → base64url without line breaks."""
-    return F.translate(F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"[\r\n]", ""), "+/", "-_")
+    return F.translate(F.replace(F.base64(F.encode(c, "UTF-8")), F.lit("\r\n"), F.lit("")), "+/", "-_")
 
 
 def to_message_resources(msgs: DataFrame) -> DataFrame:
