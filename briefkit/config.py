@@ -102,11 +102,26 @@ REPORT_FILE_PREFIX = "ai_newsletter_summary_"
 REPORT_HOT_MARK = "🔥"
 FRONT_MATTER_TITLE = "DeFi Newsletter Summary - {date}"
 
+# Regular expressions the original applies.  Each pair is the original
+# (Python ``re``) text and the same pattern in Java syntax as Spark runs it:
+# Python's Unicode \w, \s and \d written out as classes, '.' limited to
+# '\n' with (?d), literal braces escaped.  The SQL oracle drops (?d).
+_PY_W = r"\p{L}\p{N}_"
+_PY_S = (r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+         r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+RX_SUBJECT_TAG = (r"^\[.*?\]", r"(?d)^\[.*?\]")
+RX_SUBJECT_PREFIX = (r"^.*?:", r"(?d)^.*?:")
+RX_SENDER = (r"(.*?)\s*<(.+?)>", rf"(?d)^(.*?){_PY_S}*<(.+?)>")   # used with re.match
+RX_NORMALIZE = (r"[^a-z0-9]", r"[^a-z0-9]")
+RX_MAIL_PREFIX = (r"^(mail|news|info|newsletter)\.", r"^(?:mail|news|info|newsletter)\.")
+RX_URL = (r"https?://[\w\.-]+(?:/[\w\-\./?%&=]*)?", rf"https?://[{_PY_W}.\-]+(?:/[{_PY_W}\-./?%&=]*)?")
+RX_CSS_MEDIA = (r"(?s)@media[^{]+{[^}]+}", r"(?s)@media[^{]+\{[^}]+\}")
+RX_CSS_RULE = (r"(?s)\.[\w\-]+[^{]*{[^}]+}", rf"(?s)\.[{_PY_W}\-]+[^{{]*\{{[^}}]+\}}")
+RX_CSS_BRACES = (r"(?s){[^}]+}", r"(?s)\{[^}]+\}")
+RX_TOPIC_TITLE = (r"###\s*\d+\.\s*(.*?)\n", rf"(?d)###{_PY_S}*\p{{Nd}}+\.{_PY_S}*(.*?)\n")
+
 # Python's str.isspace() set, used wherever the original calls strip().
-PY_WHITESPACE_CLASS = (
-    r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+PY_WHITESPACE_CLASS = _PY_S
 
 # The same set as characters, for trim(BOTH ... FROM ...).
 PY_WHITESPACE_CHARS = (

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as cfg
 from ..schemas import RESPONSE
 
-WS = cfg.PY_WHITESPACE_CLASS
-# Python \s and \d on str are Unicode; '.' stops only at '\n' ((?d)).
-TITLE_RX = rf"(?d)###{WS}*\p{{Nd}}+\.{WS}*(.*?)\n"
+TITLE_RX = cfg.RX_TOPIC_TITLE[1]
 
 
 def parse_response(resp: Column) -> Column:

@@ -12,8 +12,7 @@ from .. import config as cfg
 WS = cfg.PY_WHITESPACE_CLASS
 
 # Sender "Name <address>" (Python re.match anchors at the start only).
-SENDER_RX = rf"(?d)^(.*?){WS}*<(.+?)>"
-_MAIL_PREFIX_RX = r"^(?:" + "|".join(cfg.MAIL_HOST_PREFIXES) + r")\."
+SENDER_RX = cfg.RX_SENDER[1]
 
 
 def py_strip(c: Column) -> Column:
@@ -47,18 +46,18 @@ def registry_key(name: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower-case and keep [a-z0-9] only."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(c), cfg.RX_NORMALIZE[1], "")
 
 
 def email_domain(email: Column) -> Column:
     """Part after the last '@', one mail-host prefix removed."""
-    return F.regexp_replace(F.substring_index(email, "@", -1), _MAIL_PREFIX_RX, "")
+    return F.regexp_replace(F.substring_index(email, "@", -1), cfg.RX_MAIL_PREFIX[1], "")
 
 
 def clean_subject(subject: Column) -> Column:
     """Drop a leading [tag], strip, drop through the first colon, strip."""
-    s = py_strip(F.regexp_replace(subject, r"(?d)^\[.*?\]", ""))
-    return py_strip(F.regexp_replace(s, r"(?d)^.*?:", ""))
+    s = py_strip(F.regexp_replace(subject, cfg.RX_SUBJECT_TAG[1], ""))
+    return py_strip(F.regexp_replace(s, cfg.RX_SUBJECT_PREFIX[1], ""))
 
 
 def is_breaking(subject: Column) -> Column:

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 
-# Python's Unicode \w is [\p{L}\p{N}_]; written out so Java matches it.
-_W = r"\p{L}\p{N}_"
-URL_RX = rf"https?://[{_W}.\-]+(?:/[{_W}\-./?%&=]*)?"
+URL_RX = cfg.RX_URL[1]
 _BLOCK_RX = "|".join(re.escape(b) for b in cfg.BODY_URL_BLOCKLIST)
 _TRACK_RX = "|".join(re.escape(b) for b in cfg.REGISTRY_TRACKING_PATTERNS)
 

@@ -121,17 +121,16 @@ def short_sender(x: str) -> str:
 
 
 def normalize(x: str) -> str:
-    return f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+    return f"regexp_replace(lower({x}), {q(cfg.RX_NORMALIZE[1])}, '', 'g')"
 
 
 def email_domain(x: str) -> str:
-    pre = "|".join(cfg.MAIL_HOST_PREFIXES)
-    return f"regexp_replace(regexp_extract({x}, '([^@]*)$', 1), '^(?:{pre})\\.', '')"
+    return f"regexp_replace(regexp_extract({x}, '([^@]*)$', 1), {q(cfg.RX_MAIL_PREFIX[1])}, '')"
 
 
 def clean_subject(x: str) -> str:
-    s1 = strip(f"regexp_replace({x}, '^\\[.*?\\]', '')")
-    return strip(f"regexp_replace({s1}, '^.*?:', '')")
+    s1 = strip(f"regexp_replace({x}, {q(cfg.RX_SUBJECT_TAG[1].replace('(?d)', ''))}, '')")
+    return strip(f"regexp_replace({s1}, {q(cfg.RX_SUBJECT_PREFIX[1].replace('(?d)', ''))}, '')")
 
 
 def breaking(x: str) -> str:
