@@ -47,10 +47,10 @@ def cost_shares(rollup: DataFrame) -> DataFrame:
     only; a zero denominator gives 0 for the cost share (as the original)
     and NULL elsewhere.
     """
-    tot = rollup.where(F.col("level") == "total")
-    t_cost = tot.select(F.max("cost")).scalar()
-    t_runs = tot.select(F.max("runs")).scalar()
-    t_tokens = tot.select(F.max("tokens")).scalar()
+    tot = rollup.where(F.col("level") == "total").select(
+        F.struct(F.max("cost").alias("cost"), F.max("runs").alias("runs"), F.max("tokens").alias("tokens")))
+    t = tot.scalar()  # one scalar subquery for all three totals
+    t_cost, t_runs, t_tokens = t["cost"], t["runs"], t["tokens"]
     prov = F.col("level") == "provider"
     return rollup.select(
         "level", "key", "runs", "tokens", "cost", "first_ord",
