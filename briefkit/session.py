@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Prompts reach ~160 KB; 256 per Arrow batch keeps a scoring batch near
+    # 40 MB in the Python worker (the default 10k rows would be ~1.6 GB).
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.ui.enabled": "false",
 }
 
