@@ -103,7 +103,7 @@ def message_parse(spark: SparkSession, sf: str) -> DataFrame:
     res = to_message_resources(T.messages(spark, sf))
     p = parse_messages(res)
     return p.select("msg_id", F.array_join("labels", ",").alias("labels"), "subject", "date", "sender", "recipient",
-                    F.md5(F.col("body")).alias("body_md5"), F.length("body").alias("body_chars"), "body_format",
+                    F.md5(F.col("body")).alias("body_md5"), F.length("body").cast("bigint").alias("body_chars"), "body_format",
                     "decode_ok")
 
 
@@ -142,7 +142,7 @@ def cost_lookback_q(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------- sites
 def body_urls(spark: SparkSession, sf: str) -> DataFrame:
     urls = extract_urls(F.col("body"))
-    return T.records(spark, sf).select("ord", F.size(urls).alias("n_urls"),
+    return T.records(spark, sf).select("ord", F.size(urls).cast("bigint").alias("n_urls"),
                                        F.array_join(drop_tracking(urls), " ").alias("kept_urls"))
 
 
@@ -230,8 +230,8 @@ def usage_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def response_topics(spark: SparkSession, sf: str) -> DataFrame:
     c = prompts.response_content(T.responses(spark, sf))
-    return c.select("conv_id", "turn", F.size(topic_titles(F.col("text"))).alias("n_titles"),
-                    F.length("text").alias("text_chars"))
+    return c.select("conv_id", "turn", F.size(topic_titles(F.col("text"))).cast("bigint").alias("n_titles"),
+                    F.length("text").cast("bigint").alias("text_chars"))
 
 
 def _scored(spark, sf):
@@ -242,7 +242,7 @@ def _scored(spark, sf):
 def score_stub(spark: SparkSession, sf: str) -> DataFrame:
     s = prompts.response_content(_scored(spark, sf))
     t = topic_titles(F.col("text"))
-    return s.select("batch_id", "status", "attempt", "model", F.size(t).alias("n_topics"),
+    return s.select("batch_id", "status", "attempt", "model", F.size(t).cast("bigint").alias("n_topics"),
                     F.get(t, 0).alias("first_topic"))
 
 
