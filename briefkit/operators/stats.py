@@ -10,21 +10,31 @@ from pyspark.sql import functions as F
 from .. import config as cfg
 from ..functions.dates import with_parsed_date
 from ..functions.text import clean_subject, is_breaking, sender_email, sender_name, short_sender
+from ..session import ensure_checkpoint_dir
 from .sequence import global_rank
 
 
-def issues_per_source(records: DataFrame) -> DataFrame:
-    """F1 + F2 + F4 in one aggregate: issues per raw sender string, the
-    first record of each sender, ranked by count desc then first appearance.
+def issues_per_source(records: DataFrame, max_broadcast: int = cfg.MAX_BROADCAST_ROWS) -> DataFrame:
+    """F1 + F2 + F4: issues per raw sender string, the first record of each
+    sender, ranked by count desc then first appearance.
 
-    Partial (map-side) aggregation keeps a hot sender to one buffer per
-    task; ``min_by`` replaces the original's per-sender rescan.
+    Counting is a hash aggregate over (sender, ord) only — partial
+    aggregation keeps a hot sender to one buffer per task.  That per-sender
+    table is checkpointed to the shared folder and counted; when it is
+    within ``max_broadcast`` rows it is broadcast and the full rows are
+    only filtered by a hash lookup on (sender, first ord) — never sorted or
+    shuffled.  Beyond the bound the same join runs as a shuffle join.
     """
+    spark = records.sparkSession
+    ensure_checkpoint_dir(spark)
     g = records.groupBy("sender").agg(
         F.count(F.lit(1)).alias("issues"),
         F.min("ord").alias("first_ord"),
-        F.min_by(F.struct("subject", "date", "body"), "ord").alias("first"),
-    )
+    ).checkpoint()
+    small = g.limit(max_broadcast + 1).count() <= max_broadcast
+    firsts = records.select("sender", F.col("ord").alias("first_ord"),
+                            F.struct("subject", "date", "body").alias("first"))
+    g = firsts.join(F.broadcast(g) if small else g, ["sender", "first_ord"])
     return global_rank(g, [F.desc("issues"), F.asc("first_ord")], "rank",
                        lead=[("issues", False), ("first_ord", True)])
 

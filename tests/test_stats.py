@@ -62,3 +62,13 @@ def test_empty_input_keeps_schema(spark):
     df = recs(spark, [])
     assert stats.issues_per_source(df).count() == 0
     assert "rank" in stats.issues_per_source(df).columns
+
+
+def test_broadcast_and_shuffle_paths_agree(spark):
+    from briefkit.sources import tables as T
+    from .conftest import SF
+    r = T.records(spark, SF)
+    cols = ["sender", "issues", "first_ord", "rank", "first"]
+    a = sorted(stats.issues_per_source(r).select(*cols).collect())
+    b = sorted(stats.issues_per_source(r, max_broadcast=0).select(*cols).collect())
+    assert a == b
