@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 
-WS = cfg.PY_WHITESPACE_CLASS
 
 # Sender "Name <address>" (Python re.match anchors at the start only).
 SENDER_RX = cfg.RX_SENDER[1]

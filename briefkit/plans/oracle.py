@@ -14,7 +14,6 @@ import re
 from .. import config as cfg
 from ..functions import dates, html, responses, text, urls
 
-WS = cfg.PY_WHITESPACE_CLASS
 SENDER_RX = text.SENDER_RX.replace("(?d)", "")
 DATE_RX = dates.DATE_RX.replace("(?d)", "")
 TITLE_RX = responses.TITLE_RX.replace("(?d)", "")
