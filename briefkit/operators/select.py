@@ -17,11 +17,13 @@ def _as_date(d) -> dt.date:
 
 def message_predicate(as_of: dt.date | dt.datetime | None = None, days: int | None = None,
                       label: str | None = None, from_email: str | None = None,
-                      to_email: str | None = None, ts_col: str = "received_ts") -> Column:
+                      to_email: str | None = None, ts_col: str = "received_ts",
+                      date_col: str | None = None) -> Column:
     """B1–B5 as one conjunction; absent parts are dropped.
 
     Works on ``ts_col`` (the server receipt instant, as the mail search
-    does), ``labels`` (array), ``sender`` and ``recipient``.  ``as_of`` is a parameter, never the
+    does), ``labels`` (array), ``sender`` and ``recipient``; ``date_col``
+    names a date partition column of stored messages to prune on.  ``as_of`` is a parameter, never the
     clock, so reruns are reproducible.  B1 is date-granular: every message
     on or after ``as_of - days`` (calendar date, UTC) passes.
     """
@@ -29,6 +31,8 @@ def message_predicate(as_of: dt.date | dt.datetime | None = None, days: int | No
     if days is not None and as_of is not None:
         cutoff = _as_date(as_of) - dt.timedelta(days=days)
         preds.append(F.col(ts_col) >= F.lit(dt.datetime.combine(cutoff, dt.time())))
+        if date_col:
+            preds.append(F.col(date_col) >= F.lit(cutoff))  # partition pruning on stored messages
     if label:
         preds.append(F.array_contains(F.col("labels"), label))
     if from_email:

@@ -50,3 +50,18 @@ def test_registry_stream_replay_is_idempotent(spark):
         S.registry_stream(spark, src, root, ck).awaitTermination()
         out.append(sorted(S.latest_registry(spark, root).collect()))
     assert out[0] == out[1] and len(out[0]) > 0
+
+
+def test_ingested_messages_prune_by_date(spark):
+    import datetime as dt
+    from briefkit.operators.select import select_messages
+    src, sink, ck = scratch_path(spark, "t-s1p-src"), scratch_path(spark, "t-s1p-out"), scratch_path(spark, "t-s1p-ck")
+    to_message_resources(T.messages(spark, SF)).write.json(src)
+    S.ingest_stream(spark, src, sink, ck).awaitTermination()
+    stored = spark.read.parquet(sink)
+    sel = select_messages(stored, as_of=dt.datetime(2024, 1, 31), days=3, date_col="received_date")
+    import re
+    plan = re.sub(r"#\d+", "", sel._jdf.queryExecution().executedPlan().toString())
+    assert re.search(r"PartitionFilters: \[[^\]]*received_date >= 2024-01-28", plan), plan
+    n_all = stored.where("received_ts >= timestamp'2024-01-28 00:00:00'").count()
+    assert sel.count() == n_all > 0
