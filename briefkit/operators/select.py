@@ -43,6 +43,8 @@ def message_predicate(as_of: dt.date | dt.datetime | None = None, days: int | No
 
 
 def select_messages(df: DataFrame, **kw) -> DataFrame:
+    if kw.get("date_col") is None:
+        kw.pop("date_col", None)
     """One filter; Catalyst pushes its scan-level parts into the reader."""
     return df.where(message_predicate(**kw))
 

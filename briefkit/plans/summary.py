@@ -58,12 +58,20 @@ def route(spark: SparkSession, provider: str, custom_model: str | None) -> dict:
 def run_summary(spark: SparkSession, messages_path: str, out_dir: str, p: SummaryParams,
                 cost_log_path: str, registry_root: str, registry_path: str | None = None,
                 curated: DataFrame | None = None, client_factory=scoring.echo_factory,
-                fallback_factory=None) -> dict:
-    msgs = read_messages(spark, messages_path).withColumn("received_ts", F.timestamp_millis("internalDate")) \
-                                              .withColumn("ord", F.col("internalDate"))
+                fallback_factory=None, stored: bool = False) -> dict:
+    """``messages_path`` holds exported message files, or (``stored``) the
+    date-partitioned table written by the ingest stream, whose cleaned text
+    is reused and whose look-back prunes partitions."""
+    if stored:
+        msgs = spark.read.parquet(messages_path)
+        date_col, keep = "received_date", ["cleaned"]
+    else:
+        msgs = read_messages(spark, messages_path).withColumn("received_ts", F.timestamp_millis("internalDate")) \
+                                                  .withColumn("ord", F.col("internalDate"))
+        date_col, keep = None, []
     sel = select_messages(msgs, as_of=p.run_ts, days=p.days, label=p.label, from_email=p.from_email,
-                          to_email=p.to_email)
-    recs = sel.select("ord", "subject", "date", "sender", "body", "body_format")
+                          to_email=p.to_email, date_col=date_col)
+    recs = sel.select("ord", "subject", "date", "sender", "body", "body_format", *keep)
     if recs.limit(1).count() == 0:                       # B7: nothing to summarise
         return {"n_messages": 0}
     r = route(spark, p.provider, p.custom_model)

@@ -41,13 +41,15 @@ def stream_records(spark: SparkSession, source_dir: str, max_files_per_trigger:
 
 def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                   max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
-    """Parsed + cleaned records appended to Parquet, partitioned by the
-    receipt date so a look-back (B1) on ``received_ts`` prunes whole
-    partitions.  Rows flagged by ``decode_ok`` stay for quarantine."""
+    """Parsed records with their cleaned text appended to Parquet,
+    partitioned by the receipt date so a look-back (B1) on ``received_ts``
+    prunes whole partitions.  The cleaned text is computed once here and
+    reused by every later summary window.  Rows flagged by ``decode_ok``
+    stay for quarantine."""
     m = stream_records(spark, source_dir, max_files_per_trigger)
     received = F.timestamp_millis("internalDate")
-    out = m.select("msg_id", "ord", "labels", "subject", "date", "sender", "recipient", "body_format", "decode_ok",
-                   F.md5("body").alias("body_md5"), clean_body(F.col("body")).alias("cleaned"),
+    out = m.select("msg_id", "ord", "labels", "subject", "date", "sender", "recipient", "body", "body_format",
+                   "decode_ok", F.md5("body").alias("body_md5"), clean_body(F.col("body")).alias("cleaned"),
                    received.alias("received_ts"), F.to_date(received).alias("received_date"))
     w = out.writeStream.format("parquet").partitionBy("received_date").option("path", sink_dir) \
            .option("checkpointLocation", checkpoint_dir)

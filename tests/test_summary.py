@@ -64,3 +64,18 @@ def test_cost_validation_review(spark, tmp_dir):
     res = P.run_review(spark, reg, dec, scratch_path(spark, "t-review"))
     assert res["changed"] and res["n_accepted"] == 1
     assert {r.name: r.verified for r in spark.read.parquet(res["registry"]).collect()} == {"a": True, "b": True}
+
+
+def test_summary_from_stored_table_matches_files(spark, tmp_dir):
+    from briefkit.streaming import pipelines as S
+    src = scratch_path(spark, "t-sum2-src")
+    to_message_resources(T.messages(spark, SF)).write.json(src)
+    table, ck = scratch_path(spark, "t-sum2-table"), scratch_path(spark, "t-sum2-ck")
+    S.ingest_stream(spark, src, table, ck).awaitTermination()
+    p = P.SummaryParams(run_ts=dt.datetime(2024, 1, 31, 9, 30), days=7, batch_items=20)
+    texts = []
+    for path, stored in ((src, False), (table, True)):
+        res = P.run_summary(spark, path, os.path.join(tmp_dir, f"o{stored}"), p, os.path.join(tmp_dir, f"c{stored}"),
+                            scratch_path(spark, "t-sum2-reg"), stored=stored)
+        texts.append(concat_parts(res["report"]))
+    assert texts[0] == texts[1]
