@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from ..schemas import SCORED
@@ -44,7 +46,12 @@ def echo_factory() -> Client:
 def score_prompts(prompts: DataFrame, model: str, client_factory: Callable[[], Client] = echo_factory,
                   fallback_factory: Callable[[], Client] | None = None,
                   fallback_model: str | None = None) -> DataFrame:
-    """Prompts (batch_id, prompt) → (batch_id, response, status, error, attempt, model)."""
+    """Prompts (batch_id, prompt) → (batch_id, response, status, error, attempt, model).
+
+    The package's functions and classes travel to the Python workers by
+    value, so executors need nothing installed beyond PySpark.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
