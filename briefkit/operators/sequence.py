@@ -97,3 +97,27 @@ def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank"
     offsets = counts.select("_rng", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
     out = x.withColumn("_loc", local).join(F.broadcast(offsets), "_rng")
     return out.withColumn(rank_col, F.col("_off") + F.col("_loc")).drop("_rng", "_loc", "_off")
+
+
+def global_running_sum(df: DataFrame, order: list[Column | str], value_col: str, out_col: str,
+                       lead: list[tuple[str, bool]] | tuple[str, bool] | None = None,
+                       num_partitions: int | None = None) -> DataFrame:
+    """Add ``out_col`` = sum of ``value_col`` over all rows up to and
+    including this one in ``order`` — the same key ranges as
+    ``global_rank``: a running sum inside each range plus the totals of the
+    lower ranges (an ``n``-row table)."""
+    if lead is None:
+        lead = [(o, True) for o in order if isinstance(o, str)][:1]
+    elif isinstance(lead, tuple):
+        lead = [lead]
+    n = num_partitions or _num_partitions(df)
+    key = _range_key(df, list(lead))
+    x = df.withColumn("_rng", _bucket(key, range_bounds(df, key, n)))
+    sort = [F.col(o) if isinstance(o, str) else o for o in order]
+    local = F.sum(value_col).over(Window.partitionBy("_rng").orderBy(*sort)
+                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = x.groupBy("_rng").agg(F.sum(value_col).alias("_t"))
+    below = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_rng", F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_off"))
+    out = x.withColumn("_loc", local).join(F.broadcast(offsets), "_rng")
+    return out.withColumn(out_col, F.col("_off") + F.col("_loc")).drop("_rng", "_loc", "_off")
