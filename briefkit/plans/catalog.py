@@ -203,6 +203,14 @@ def prompt_pack(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.pack_prompts(prompts.prompt_items(T.records(spark, sf)))
 
 
+PROMPT_CHARS = 20_000
+
+
+def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 with a character budget instead of an item count."""
+    return prompts.prompt_items(T.records(spark, sf), batch_chars=PROMPT_CHARS)
+
+
 def topic_titles_q(spark: SparkSession, sf: str) -> DataFrame:
     a = T.analyses(spark, sf)
     return a.select("doc_id", F.posexplode(topic_titles(F.col("analysis"))).alias("pos", "title"))
@@ -330,6 +338,7 @@ QUERIES = {
     "review_summary": review_summary,
     "prompt_blocks": prompt_blocks,
     "prompt_pack": prompt_pack,
+    "prompt_budget": prompt_budget,
     "topic_titles": topic_titles_q,
     "route_models": route_models,
     "usage_rows": usage_rows,

@@ -169,6 +169,19 @@ def items_ctes() -> list[str]:
                  {block_sql()} AS block FROM s)"""]
 
 
+def budget_ctes(budget: int) -> list[str]:
+    head = (f"'NEWSLETTER #' || {NL} || 'SUBJECT: ' || coalesce(subject, 'None') || {NL}"
+            f" || 'SENDER: ' || coalesce(sender, 'None') || {NL} || 'DATE: ' || coalesce(date, 'None') || {NL}"
+            f" || 'CONTENT:' || {NL} || content || {NL} || {NL}")
+    return [O.MSGS, f"""b0 AS (
+          SELECT ord, subject, sender, date,
+                 substr({O.clean_body('body')}, 1, {cfg.ITEM_CHAR_LIMIT}) || '...' AS content FROM msgs)""",
+            f"b1 AS (SELECT *, CAST(length({head}) AS BIGINT) AS len FROM b0)",
+            "b2 AS (SELECT *, sum(len) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM b1)",
+            f"b3 AS (SELECT *, CAST(floor((cum - len) / {budget}) AS BIGINT) AS batch_id FROM b2)",
+            "b4 AS (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY ord) AS BIGINT) AS item_no FROM b3)"]
+
+
 def analysis_ctes() -> list[str]:
     """The stub scorer's reply per batch: '### i. subject' + source line."""
     return [O.MSGS, SEQ, f"""an AS (
@@ -351,6 +364,11 @@ def oracle_queries() -> dict[str, str]:
         "prompt_pack": _with(*items_ctes()) + f"""
             SELECT batch_id, count(*) AS n_items, {head} || string_agg(block, {NL} ORDER BY item_no) || {NL} AS prompt
             FROM items GROUP BY batch_id""",
+        "prompt_budget": _with(*budget_ctes(C.PROMPT_CHARS)) + f"""
+            SELECT ord, batch_id, item_no,
+                   'NEWSLETTER #' || CAST(item_no AS VARCHAR) || {NL} || 'SUBJECT: ' || coalesce(subject, 'None') || {NL}
+                   || 'SENDER: ' || coalesce(sender, 'None') || {NL} || 'DATE: ' || coalesce(date, 'None') || {NL}
+                   || 'CONTENT:' || {NL} || content || {NL} || {NL} AS block FROM b4""",
         "topic_titles": f"""WITH a AS (
               SELECT doc_id, CASE WHEN lang = 'de' THEN '  ' ELSE '' END || '### ' || CAST(doc_id AS VARCHAR) || '. '
                      || text AS analysis FROM documents),
