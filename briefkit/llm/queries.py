@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, langid, simhash, tokencount
+from . import exactdedup, iblt, langid, mixing, simhash, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +38,24 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text."""
+    return iblt.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents")) \
+        .select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_language_id": op5_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
