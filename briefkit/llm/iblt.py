@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from ..functions.common import let
 from .shared import prepare, stored
 
-TABLES, WIDTH = 3, 10
+TABLES, WIDTH = 3, 16
 CELLS = TABLES * WIDTH
 #: Paragraphs of both versions together that a group of cells is first given.
-LOAD = 20
+LOAD = 16
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -39,23 +39,26 @@ def paragraph_digests(text: Column) -> Column:
     return let(F.array_sort(F.transform(lines, lambda x: F.xxhash64(x))), runs)
 
 
-def _cell(x: Column, table: int) -> Column:
-    """Cell of a digest in one of the tables."""
-    return F.pmod(F.shiftright(x, 20 * table), F.lit(WIDTH)).cast("int") + WIDTH * table
+def _cells_of(x: Column, salt: int) -> Column:
+    """A digest's cell in each of the tables, array of int."""
+    def at(h: Column) -> Column:
+        return F.array(*[F.shiftright(h, 20 * j).bitwiseAND(F.lit(WIDTH - 1)).cast("int") + WIDTH * j for j in range(TABLES)])
 
+    return let(F.xxhash64(x, F.lit(salt)), at)
 
-def cells(rows: DataFrame) -> DataFrame:
+
+def cells(rows: DataFrame, salt: int = 0) -> DataFrame:
     """(id, side, groups, digests, sign) → (id, side, g, p, n, x, y): the cells
     of each id and side that are not zero, sketches of sign -1 subtracted from
     those of sign 1.  ``rows`` hashed by id need no further shuffle."""
     one = rows.select("id", "side", "groups", "sign", F.explode("digests").alias("x")).withColumn("y", F.xxhash64("x"))
     three = one.select("id", "side", F.col("y").bitwiseAND(F.col("groups") - 1).alias("g"), "sign", "x", "y",
-                       F.explode(F.array(*[_cell(F.col("x"), j) for j in range(TABLES)])).alias("p"))
+                       F.explode(_cells_of(F.col("x"), salt)).alias("p"))
     return three.groupBy("id", "side", "g", "p").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")) \
                 .where("n != 0 or x != 0")
 
 
-def peeled(cells: Column) -> Column:
+def peeled(cells: Column, salt: int = 0) -> Column:
     """How many digests a difference's cells hold, array of (p, n, x, y); null
     if peeling gets stuck.  Each round takes out the digests that are alone in
     a cell, from all their cells."""
@@ -63,7 +66,7 @@ def peeled(cells: Column) -> Column:
         pure = F.filter(c, lambda d: (F.abs(d["n"]) == 1) & (d["y"] == F.xxhash64(d["x"])))
         once = F.array_distinct(F.transform(pure, lambda d: F.struct(d["n"].alias("n"), d["x"].alias("x"), d["y"].alias("y"))))
         return F.transform(once, lambda d: F.struct(
-            d["n"].alias("n"), d["x"].alias("x"), d["y"].alias("y"), F.array(*[_cell(d["x"], j) for j in range(TABLES)]).alias("at")))
+            d["n"].alias("n"), d["x"].alias("x"), d["y"].alias("y"), _cells_of(d["x"], salt).alias("at")))
 
     def without(c: Column, out: Column) -> Column:
         def less(acc: Column, d: Column) -> Column:
@@ -91,15 +94,15 @@ def differences(keys: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame
     """(id, arrays of digests) → (id, one column a side): how many digests the
     two arrays of a side don't share, recovered by peeling the difference of
     their sketches.  Ids whose peeling fails go through again with twice the
-    groups of cells; the others are done."""
+    groups and other cells; the others are done."""
     done: list[DataFrame] = []
     todo, more = keys, 1
     while True:
         parts = [F.struct(F.lit(i).alias("side"), _groups(a, b, more).alias("groups"), F.col(c).alias("digests"), F.lit(sign).alias("sign"))
                  for i, (a, b) in enumerate(sides.values()) for c, sign in ((a, 1), (b, -1))]
         rows = todo.repartition("id").select("id", F.explode(F.array(*parts)).alias("s")).select("id", "s.*")
-        groups = cells(rows).groupBy("id", "side", "g").agg(F.collect_list(F.struct("p", "n", "x", "y")).alias("c")) \
-                            .select("id", "side", peeled(F.col("c")).alias("d"))
+        groups = cells(rows, more).groupBy("id", "side", "g").agg(F.collect_list(F.struct("p", "n", "x", "y")).alias("c")) \
+                            .select("id", "side", peeled(F.col("c"), more).alias("d"))
         sums = [F.sum(F.when(F.col("side") == i, F.col("d"))).cast("int").alias(k) for i, k in enumerate(sides)]
         found = stored(groups.groupBy("id").agg(*sums, F.max(F.col("d").isNull()).alias("failed")), "peeled")
         done.append(found.where("not failed").select("id", *[F.coalesce(k, F.lit(0)).alias(k) for k in sides]))
@@ -115,18 +118,19 @@ def differences(keys: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame
 
 def sketches(keys: DataFrame, columns: list[str]) -> DataFrame:
     """(id, arrays of digests) → (id, one string a column): the sketch of the
-    array in one group of cells, as Base64 of the cells' counts, digests and
-    checks; cells that hold nothing are zero."""
+    array in one group of cells, as Base64 of the numbers, counts, digests and
+    checks of the cells that are not zero."""
     parts = [F.struct(F.lit(i).alias("side"), F.lit(1).cast("long").alias("groups"), F.col(c).alias("digests"), F.lit(1).alias("sign"))
              for i, c in enumerate(columns)]
     rows = keys.repartition("id").select("id", F.explode(F.array(*parts)).alias("s")).select("id", "s.*")
-    text = F.concat(F.lpad(F.hex(F.pmod("n", F.lit(1 << 16))), 4, "0"), F.lpad(F.hex("x"), 16, "0"), F.lpad(F.hex("y"), 16, "0"))
-    empty = F.lit("0" * 36)
-    made = cells(rows).select("id", "side", "p", text.alias("t"))
-    # a column a cell: the aggregate stays in generated code
-    per = [F.coalesce(F.max(F.when((F.col("side") == i) & (F.col("p") == p), F.col("t"))), empty) for i in range(len(columns)) for p in range(CELLS)]
-    joined = [F.base64(F.unhex(F.concat(*per[i * CELLS:(i + 1) * CELLS]))).alias(c) for i, c in enumerate(columns)]
-    return made.groupBy("id").agg(*joined)
+    def drawn(cells: Column) -> Column:
+        return F.base64(F.unhex(F.array_join(F.transform(F.array_sort(cells), lambda c: F.concat(
+            F.lpad(F.hex(c["p"]), 2, "0"), F.lpad(F.hex(F.pmod(c["n"], F.lit(1 << 24))), 6, "0"),
+            F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["y"]), 16, "0"))), "")))
+
+    held = cells(rows).groupBy("id").agg(*[
+        F.collect_list(F.when(F.col("side") == i, F.struct("p", "n", "x", "y"))).alias(c) for i, c in enumerate(columns)])
+    return held.select("id", *[drawn(F.col(c)).alias(c) for c in columns])
 
 
 def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
