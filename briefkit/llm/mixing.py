@@ -25,6 +25,8 @@ MOST = 3
 BLOCK = 20_000
 #: Newton steps stop when every source is within this share of its target.
 CLOSE, STEPS = 1e-9, 100
+#: Documents a source whose copies are corrected after rounding, at most.
+SETTLE = 3
 
 
 def words(text: str | Column) -> Column:
@@ -124,12 +126,33 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     met = rows.join(known, F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id", "source", "size", "source_size", "target", F.round(rate, 9).cast("decimal(20,9)").alias("rate"),
         F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
-    upto = Window.partitionBy("source", "block").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("source", "block").orderBy(F.col("size").desc(), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     half = F.lit("0.5").cast("decimal(2,1)")
     summed = met.withColumn("upto", F.sum("rate").over(upto))
     copies = (F.floor(F.col("upto") + half) - F.floor(F.col("upto") - F.col("rate") + half)).cast("long")
-    return summed.select("doc_id", "source", "size", "source_size", "target", F.col("rate").cast("double").alias("rate"), copies.alias("copies")) \
-                 .withColumn("taken", F.col("copies") * F.col("size"))
+    rounded = stored(summed.select("doc_id", "source", "size", "source_size", "target", F.col("rate").cast("double").alias("rate"),
+                                   copies.alias("copies"), "block"), "rounded")
+    return _settled(rounded, most).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _settled(rounded: DataFrame, most: int) -> DataFrame:
+    """Rounded copies with up to ``SETTLE`` documents a source changed by one
+    copy, each time the one whose size is nearest to the words still missing
+    (or too many).  They are of the source's block 0, whose size is bounded."""
+    rest = rounded.where("block != 0")
+    taken = rest.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("other")).withColumnRenamed("source", "_s")
+    first = stored(rounded.where("block = 0").join(taken, F.col("source").eqNullSafe(F.col("_s")), "left")
+                   .drop("_s").withColumn("other", F.coalesce("other", F.lit(0))), "first")
+    whole = Window.partitionBy("source")
+    for _ in range(SETTLE):
+        missing = F.col("target") - F.col("other") - F.sum(F.col("copies") * F.col("size")).over(whole)
+        x = first.withColumn("_m", missing)
+        way = F.signum("_m").cast("long")
+        left = F.abs(F.abs("_m") - F.col("size"))
+        open_ = (F.col("copies") + way).between(0, most) & (left < F.abs("_m")) & (F.col("size") > 0)
+        best = F.row_number().over(whole.orderBy(F.when(open_, left).asc_nulls_last(), "size", "doc_id"))
+        first = stored(x.withColumn("copies", F.when((best == 1) & open_, F.col("copies") + way).otherwise(F.col("copies"))).drop("_m"), "first")
+    return rest.unionByName(first.drop("other")).drop("block")
 
 
 def mixed(docs: DataFrame) -> DataFrame:

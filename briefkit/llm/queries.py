@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exactdedup, iblt, langid, mixing, simhash, tokencount
+from ..session import scratch_path
+from . import exactdedup, iblt, langid, mixing, simhash, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, as read back from the archives it was written to."""
+    path = scratch_path(spark, "warc")
+    warc.write_pages(_table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path, payloads=False).where("kind = 'record'")
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+                        warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text."""
     return iblt.fingerprints(_table(spark, sf_dir, "documents"))
@@ -54,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_language_id": op5_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
@@ -66,4 +78,13 @@ r AS (
   SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id,
          count(*) OVER (PARTITION BY n) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM r""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT page_id, h, x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(x, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS INTEGER) + 1, 1)
+    FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f""",
 }
