@@ -43,8 +43,6 @@ class PreTokens:
     def merge(self, new: list[str]) -> None:
         """Count pre-tokens by the library.  One of spaces alone ends its text
         and is what it adds to a word."""
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = dict(self.whole)
         words = [x for x in new if x.strip(" ")]
         self.known |= zip(words, map(len, self.sp.encode(words, num_threads=1)))
         for x in new:
@@ -53,7 +51,10 @@ class PreTokens:
 
     def count(self, texts: list[str]) -> list[int]:
         parts = [self.split(t) if t else [] for t in texts]
-        if new := set().union(*parts) - self.known.keys():
+        met = set().union(*parts)
+        if len(self.known) + len(met) > REMEMBERED:
+            self.known = dict(self.whole)
+        if new := met - self.known.keys():
             self.merge(list(new))
         return [sum(map(self.known.__getitem__, p)) for p in parts]
 
