@@ -84,20 +84,25 @@ def repeated_bits(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def set_in(twice: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether all bits of each hash are set in a filter."""
+    found = np.ones(len(h), bool)
+    for pos in _positions(h, len(twice) * 8):
+        found &= (twice[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return found
+
+
 def filter_size(rows: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_ROW * rows - 1).bit_length())) if rows else MIN_BITS
 
 
 def _maybe(df: DataFrame, twice: np.ndarray):
     """Second pass: column function of h, whether the hash may be repeated."""
-    bits, shared = len(twice) * 8, df.sparkSession.sparkContext.broadcast(twice)
+    shared = df.sparkSession.sparkContext.broadcast(twice)
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        found = np.ones(len(h), bool)
-        for pos in _positions(h.to_numpy(np.int64), bits):
-            found &= (shared.value[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return pd.Series(found)
+        return pd.Series(set_in(shared.value, h.to_numpy(np.int64)))
 
     return maybe
 
