@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANK, prepare, stored
+from .shared import BLANK, aside, prepare, stored
 
 BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
 #: Bits of one segment of the filter, the unit that is merged.
@@ -107,7 +107,7 @@ def _maybe(df: DataFrame, twice: np.ndarray):
     return maybe
 
 
-def _decide(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, object]:
+def _decide(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, object]:
     prepare(docs.sparkSession)
     rows = stored(docs.select(docs[doc_id].alias("doc_id"), digest(text).alias("text_sha256"),
                               F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n"))
@@ -122,7 +122,7 @@ def _decide(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, object]
     met = some.join(groups, "text_sha256").select(
         "doc_id", F.col("best.d").alias("keep_id"), "group_size",
         ((F.col("best.col1") == -F.col("n")) & F.col("doc_id").eqNullSafe(F.col("best.d"))).alias("kept"), "text_sha256")
-    return alone.unionByName(met), maybe
+    return alone.unionByName(met), met, maybe
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,13 +141,12 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """The documents with one row per text, with the columns of ``docs``: the
     row that ``exact_duplicates`` keeps, one only where rows repeat it.  The
     texts of documents that the filter finds alone are not shuffled."""
-    decided, maybe = _decide(docs, "doc_id", "text")
-    kept = decided.where("kept and group_size > 1").select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id")).distinct()
-    alone_maybe = decided.where("group_size = 1").select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id"))
+    docs, back = aside(docs)
+    _, grouped, maybe = _decide(docs, "doc_id", "text")
+    kept = grouped.where("kept").select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id"))
     tested = docs.withColumn("_sha256", digest()).withColumn("_maybe", maybe(F.xxhash64("_sha256")))
-    some = tested.where("_maybe")
-    kept = kept.unionByName(alone_maybe)
-    won = some.join(kept, (some["_sha256"] == kept["_sha"]) & some["doc_id"].eqNullSafe(kept["_id"])) \
-              .withColumn("_n", F.coalesce(F.length("text"), F.lit(0)))
-    one = won.groupBy("_sha256").agg(F.max_by(F.struct(*[F.col(c) for c in docs.columns]), "_n").alias("_row")).select("_row.*")
-    return tested.where("not _maybe").select(*docs.columns).unionByName(one.select(*docs.columns))
+    some = tested.where("_maybe").withColumn("_n", F.coalesce(F.length("text"), F.lit(0)))
+    kept = stored(kept.distinct(), "kept")
+    won = some.join(kept, (some["_sha256"] == kept["_sha"]) & some["doc_id"].eqNullSafe(kept["_id"]))
+    one = won.groupBy("_sha256").agg(F.max_by(F.struct(*docs.columns), "_n").alias("_row")).select("_row.*")
+    return back(tested.where("not _maybe").select(*docs.columns).unionByName(one))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import prepare, remainder
+from .shared import aside, prepare, remainder
 
 #: Bound of the training sample: rows and code points of a language.
 SAMPLE_ROWS, SAMPLE_CHARS = 48, 24_000
@@ -210,7 +210,5 @@ def with_language(docs: DataFrame) -> DataFrame:
     ``docs``; those that are ``und`` go."""
     prepare(docs.sparkSession)
     model = fit(training_sample(docs))
-    cols = docs.columns
-    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    found = predicted(plain, model, text=f"c{[c.lower() for c in cols].index('text')}").where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
+    plain, back = aside(docs)
+    return back(predicted(plain, model).where(F.col("lang_pred") != UNKNOWN))

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import prepare, stored
+from .shared import aside, prepare, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -157,9 +157,12 @@ def _settled(rounded: DataFrame, most: int) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them, a row for each copy, with the
-    columns of ``docs``; rows that repeat id and text are taken as one row with
-    the copies of all."""
-    found = mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("_copies")).withColumnRenamed("doc_id", "_id").where("_copies > 0")
-    found = stored(found, "copies")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))) \
-               .select(*docs.columns)
+    columns of ``docs``.  Rows that repeat an id share the copies of them all
+    evenly, the first by their text's hash taking what is left over."""
+    docs, back = aside(docs)
+    found = stored(mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
+    met = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]))
+    if not found.where("_rows > 1").isEmpty():
+        k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *docs.columns))
+        met = met.withColumn("_k", k).withColumn("_copies", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_k") <= F.col("_copies") % F.col("_rows")).cast("long"))
+    return back(met.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its extra columns renamed, so that no operator's column
+    clashes with them, and what selects the columns of ``docs`` again."""
+    own = ("doc_id", "text", "lang", "source", "n_chars")
+    names = [c if c in own else f"extra_{i}_" for i, c in enumerate(docs.columns)]
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+    return docs.toDF(*names), back
+
+
 def text_bytes(col: str | Column = "text") -> Column:
     """A text's UTF-8 bytes, those of the empty text for null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import prepare, stored, text_bytes
+from .shared import aside, prepare, stored, text_bytes
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints of one chunk of a key; a task compares two chunks at most.
@@ -166,6 +166,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     """The documents without near-duplicates: of each component the document
     with the smallest id stays (documents without an id all stay; of rows that
     repeat the smallest id, all do).  The columns are those of ``docs``."""
+    docs, back = aside(docs)
     found = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return back(docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti"))
