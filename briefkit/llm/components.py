@@ -58,8 +58,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) longs → (node, label): every linked node and the smallest node
-    that it reaches.  Self-links and repeated links are allowed; nodes without
+    """(a, b) longs → (node, label): every linked node but the smallest of its
+    component, and that smallest one.  Self-links and repeated links are allowed; nodes without
     a link to another are absent; no links give no rows.  Rows with a null
     end are no links."""
     spark = links.sparkSession
