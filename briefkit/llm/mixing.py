@@ -22,7 +22,7 @@ from .shared import aside, prepare, stored
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a source that are rounded together.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Newton steps stop when every source is within this share of its target.
 CLOSE, STEPS = 1e-9, 100
 #: Documents a source whose copies are corrected after rounding, at most.
