@@ -61,7 +61,9 @@ def _squeezed(symbols: np.ndarray) -> np.ndarray:
 
 def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
     """Suffix automaton of a sample as a step table: entry [state * width + s]
-    is (next state * width) * 2 + 1 if the phrase ended before s, else + 0."""
+    is (next state * width) * 2 + 1 if the phrase ended before s, else + 0.  A
+    symbol that the sample lacks is a phrase; it leads to a last state, from
+    which every symbol begins a phrase."""
     link, length, edges, last = [-1], [0], [{}], 0
     for s in symbols.tolist():
         cur = len(length)
@@ -86,14 +88,15 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    root = np.zeros(width, np.int64)
+    root = np.full(width, len(edges), np.int64)
     for s, t in edges[0].items():
         root[s] = t
-    table = np.tile(root * width * 2 + 1, (len(edges), 1))
+    table = np.tile(root * width * 2 + 1, (len(edges) + 1, 1))
     for state, out in enumerate(edges):
         for s, t in out.items():
             table[state, s] = t * width * 2
-    table[:, PAD] = np.arange(len(edges)) * width * 2
+    table[:, PAD] = np.arange(len(edges) + 1) * width * 2
+    table[0, [x for x in range(1, width) if x not in edges[0]]] -= 1  # the first phrase is counted already
     return table.astype(np.int32).ravel()
 
 
