@@ -150,9 +150,9 @@ def model_of(keys, n, depth, least):
     nodes = {}
     for d in range(1, depth + 1):
         u, p = (np.concatenate([t["nodes"][d][i] for t in trees]) for i in (0, 1))
-        nodes[d] = u[np.argsort(u)], root.node(u, p)[np.argsort(u)]
+        nodes[d] = ctw.packed(u, root.node(u, p))
     grams, eight = (np.concatenate([t["grams"][i] for t in trees]) for i in (0, 1))
-    return ctw.Model.build(depth, root.alone(), nodes, grams, root.logs(grams, eight))
+    return ctw.Packed(depth, root.alone(), nodes, ctw.packed(grams, root.logs(grams, eight))).open()
 
 
 def plain_ctw(texts, depth):
@@ -215,7 +215,7 @@ def test_tree_matches_its_definition():
     keys, n = counted.settle()
     model, plain = model_of(keys, n, depth, 0.0), plain_ctw(train, depth)
     for t in (b"the cat\n", b"zebra hat the\n", b"\n"):
-        assert float(model.log10(ctw.strings([t], depth)).sum()) == pytest.approx(plain(t), rel=1e-5)
+        assert float(model.log10(ctw.strings([t], depth)).sum()) == pytest.approx(plain(t), rel=1e-3)
 
 
 def test_tree_is_a_distribution():
