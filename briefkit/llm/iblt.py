@@ -94,7 +94,8 @@ def differences(keys: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame
     """(id, arrays of digests) → (id, one column a side): how many digests the
     two arrays of a side don't share, recovered by peeling the difference of
     their sketches.  Ids whose peeling fails go through again with twice the
-    groups and other cells; the others are done."""
+    groups and other cells; the others are done.  Ids of which every side cancels
+    have no row."""
     done: list[DataFrame] = []
     todo, more = keys, 1
     while True:
@@ -124,9 +125,9 @@ def sketches(keys: DataFrame, columns: list[str]) -> DataFrame:
              for i, c in enumerate(columns)]
     rows = keys.repartition("id").select("id", F.explode(F.array(*parts)).alias("s")).select("id", "s.*")
     def drawn(cells: Column) -> Column:
-        return F.base64(F.unhex(F.array_join(F.transform(F.array_sort(cells), lambda c: F.concat(
+        return F.translate(F.base64(F.unhex(F.array_join(F.transform(F.array_sort(cells), lambda c: F.concat(
             F.lpad(F.hex(c["p"]), 2, "0"), F.lpad(F.hex(F.pmod(c["n"], F.lit(1 << 24))), 6, "0"),
-            F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["y"]), 16, "0"))), "")))
+            F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["y"]), 16, "0"))), ""))), "\r\n", "")
 
     held = cells(rows).groupBy("id").agg(*[
         F.collect_list(F.when(F.col("side") == i, F.struct("p", "n", "x", "y"))).alias(c) for i, c in enumerate(columns)])
@@ -181,8 +182,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sizes = keys.select("id", "doc_id", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in ("a", "e", "n")])
 
     def like(side: str, other: str) -> Column:
-        total = F.col("a") + F.col(other)
-        return ((total - F.col(side)) / (total + F.col(side))).alias(side)
+        total, d = F.col("a") + F.col(other), F.coalesce(side, F.lit(0))
+        return ((total - d) / (total + d)).alias(side)
 
-    return sizes.join(near, "id").join(drawn, "id").select(
+    return sizes.join(near, "id", "left").join(drawn, "id").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("near_edited", "e"), like("near_next", "n"))

@@ -65,11 +65,11 @@ def duals(counts: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
     bisection where a step would leave the bounds.
 
     Sums are of decimals, so that the order of rows doesn't change them."""
-    ratio = F.col("target") / F.col("source_size")
-    top = F.lit(math.log(most)) / F.col("least")
+    ratio = F.try_divide(F.col("target"), F.col("source_size"))
+    top = F.try_divide(F.lit(math.log(most)), F.col("least"))
     state = stored(sources.withColumns({
         "full": (F.col("source_size") == 0) | (ratio >= most), "dual": F.lit(0.0),
-        "lo": F.when(ratio < 1, F.log(ratio) / F.col("least")).otherwise(F.lit(0.0)),
+        "lo": F.when(ratio < 1, F.try_divide(F.log(ratio), F.col("least"))).otherwise(F.lit(0.0)),
         "hi": F.when(ratio < 1, F.lit(0.0)).otherwise(top), "off": F.lit(1.0)}), "duals")
     exact = "decimal(38,9)"
     for _ in range(STEPS):
@@ -80,10 +80,10 @@ def duals(counts: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
             .groupBy("source").agg(F.sum((F.col("n") * F.col("size") * r).cast(exact)).cast("double").alias("f"),
                                    F.sum(grown.cast(exact)).cast("double").alias("g")).withColumnRenamed("source", "_s")
         known = F.col("f").isNotNull()
-        off = F.abs(F.col("f") / F.col("target") - 1)
+        off = F.abs(F.try_divide(F.col("f"), F.col("target")) - 1)
         high = F.col("f") > F.col("target")
         lo, hi = F.when(high, F.col("lo")).otherwise(F.col("dual")), F.when(high, F.col("dual")).otherwise(F.col("hi"))
-        step = F.col("dual") - (F.log("f") - F.log("target")) * F.col("f") / F.col("g")
+        step = F.col("dual") - (F.log("f") - F.log("target")) * F.try_divide(F.col("f"), F.col("g"))
         next_dual = F.when((F.col("g") > 0) & (step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
         more = known & (off > CLOSE)
         state = stored(state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left").select(
@@ -117,12 +117,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sized = stored(sources.join(shares.drop("source_size"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
                    .withColumn("mean", F.col("source_size") / F.col("n")), "sources")
     solved = duals(counts.where("size > 0"), sized.select(
-        "source", "source_size", "mean", (F.col("least") / F.col("mean")).alias("least"), "target"), most)
+        "source", "source_size", "mean", F.try_divide(F.col("least").cast("double"), F.col("mean")).alias("least"), "target"), most)
     known = stored(solved.join(sized.select(F.col("source").alias("_s"), F.ceil(F.col("n") / BLOCK).alias("blocks")),
                                F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_s"), "known")
     rate = F.when(F.col("full") & (F.col("source_size") > 0), F.lit(float(most))) \
             .when(F.col("full") | (F.col("size") == 0), F.lit(1.0)) \
-            .otherwise(_rate(F.round("dual", 9), F.col("size") / F.col("mean"), most))
+            .otherwise(_rate(F.round("dual", 9), F.try_divide(F.col("size").cast("double"), F.col("mean")), most))
     met = rows.join(known, F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id", "source", "size", "source_size", "target", F.round(rate, 9).cast("decimal(20,9)").alias("rate"),
         F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
