@@ -80,7 +80,7 @@ UNKNOWN_SENDER = "Unknown Sender"
 CLEAN_ERROR = "[ERROR: Could not clean/convert this email]"
 
 # Report text (markdown).  Slots are filled by the report plan.
-REPORT_TITLE = "# DEFI NEWSLETTER SUMMARY"
+REPORT_TITLE = "# MESSAGE DIGEST"
 REPORT_MODEL_LINE = "## Generated with {model}"
 REPORT_ANALYSIS_HEADING = "## TOP AI DEVELOPMENTS"
 REPORT_LATEST_HEADING = "## JUST IN: LATEST DEVELOPMENTS"
@@ -98,9 +98,9 @@ REPORT_METHODOLOGY = (
     "practical implications for regular users rather than industry competition."
 )
 REPORT_METHODOLOGY_MODEL = " Analysis performed using {model} on {ts}."
-REPORT_FILE_PREFIX = "ai_newsletter_summary_"
+REPORT_FILE_PREFIX = "message_digest_"
 REPORT_HOT_MARK = "🔥"
-FRONT_MATTER_TITLE = "DeFi Newsletter Summary - {date}"
+FRONT_MATTER_TITLE = "Message digest - {date}"
 
 # Regular expressions the original applies.  Each pair is the original
 # (Python ``re``) text and the same pattern in Java syntax as Spark runs it:
@@ -149,10 +149,6 @@ ZONE_OFFSETS_HHMM = {
 # prompt is bounded so no group grows with the corpus.
 PROMPT_BATCH_ITEMS = 50
 
-# Largest side (rows) joined by broadcast in a theta join; beyond it the
-# exact shuffle-based path is used.
-MAX_BROADCAST_ROWS = 10_000
-
 # Registry validation messages (slots: name, url, first owner, value repr).
 MSG_BLANK_NAME = "Newsletter name must be a non-empty string: {name_repr}"
 MSG_NAME_WHITESPACE = "Newsletter name has leading/trailing whitespace: {name_repr}"

@@ -71,9 +71,12 @@ def truncate_item(c: Column, limit: int = cfg.ITEM_CHAR_LIMIT) -> Column:
 
 
 def py_repr(c: Column) -> Column:
-    """repr() of a Python str for the common cases (quotes, backslash, \\n\\t\\r)."""
+    """repr() of a Python str: quotes, backslash, \\n \\t \\r, and the blanks and
+    control characters below U+0100 that are not printable, as \\xNN."""
     esc = F.regexp_replace(c, r"\\", r"\\\\")
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace(esc, "\n", r"\\n"), "\t", r"\\t"), "\r", r"\\r")
+    for n in [*range(0x01, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA1), 0xAD]:
+        esc = F.replace(esc, F.lit(chr(n)), F.lit(f"\\x{n:02x}"))
     dq = esc.contains("'") & ~esc.contains('"')
     return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'")))

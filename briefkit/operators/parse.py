@@ -26,7 +26,7 @@ def _last_part(parts: Column, mime: str) -> Column:
 
 def parse_messages(msgs: DataFrame) -> DataFrame:
     """C1–C5.  Output: id, labels, subject, date, sender, recipient, body,
-    body_format, decode_ok (false when a chosen part could not be decoded:
+    body_format, decode_ok (false when a line or a chosen part could not be decoded:
     the original aborts the whole run there; the build flags the row)."""
     p = F.col("payload")
     parts = p["parts"]
@@ -42,6 +42,7 @@ def parse_messages(msgs: DataFrame) -> DataFrame:
     fmt = F.when(kind == "html", F.lit("html")).when(kind.isNotNull(), F.lit("plain"))
     text = b64url_text(data)
     hs = p["headers"]
+    whole = F.col("_corrupt_record").isNull() if "_corrupt_record" in msgs.columns else F.lit(True)
     return msgs.select(
         F.col("id").alias("msg_id"),
         F.coalesce(F.col("labelIds"), F.array().cast("array<string>")).alias("labels"),
@@ -51,6 +52,6 @@ def parse_messages(msgs: DataFrame) -> DataFrame:
         F.get(F.filter(hs, lambda h: h["name"] == "To"), 0)["value"].alias("recipient"),
         F.when(kind.isNull(), F.lit("")).otherwise(text).alias("body"),
         fmt.alias("body_format"),
-        (kind.isNull() | text.isNotNull()).alias("decode_ok"),
+        (whole & (kind.isNull() | text.isNotNull())).alias("decode_ok"),
         F.col("internalDate"),
     )

@@ -34,9 +34,12 @@ def typed_entries(rows: DataFrame) -> DataFrame:
 
 
 def _variant_repr(v: Column) -> Column:
-    j = F.to_json(v)
+    j, kind = F.to_json(v), F.schema_of_variant(v)
     return F.when(F.is_variant_null(v), F.lit("None")).when(j == "true", F.lit("True")) \
-            .when(j == "false", F.lit("False")).otherwise(j)
+            .when(j == "false", F.lit("False")) \
+            .when(kind == "STRING", py_repr(F.variant_get(v, "$", "string"))) \
+            .when(kind == "ARRAY<STRING>", F.concat(F.lit("["), F.array_join(
+                F.transform(F.variant_get(v, "$", "array<string>"), py_repr), ", "), F.lit("]"))).otherwise(j)
 
 
 def variant_entries(entries: DataFrame) -> DataFrame:

@@ -14,11 +14,18 @@ def review_queue(registry: DataFrame) -> DataFrame:
     return unverified(registry).select("name", "url")
 
 
+def one_decision(decisions: DataFrame) -> DataFrame:
+    """(name, act, new_url): one decision per name; of several the greatest by
+    action and then URL counts, so a registry row never multiplies."""
+    d = decisions.select("name", F.lower(py_strip(F.col("action"))).alias("act"), "new_url")
+    return d.groupBy("name").agg(F.max(F.struct("act", "new_url")).alias("d")).select("name", "d.act", "d.new_url")
+
+
 def apply_decisions(registry: DataFrame, decisions: DataFrame) -> DataFrame:
     """A → verified; e → new URL (stripped) + verified; d → removed;
     s / anything else → unchanged.  Verified entries are never touched.
     Output: name, url, verified, changed."""
-    d = decisions.select("name", F.lower(py_strip(F.col("action"))).alias("act"), "new_url")
+    d = one_decision(decisions)
     j = registry.join(d, "name", "left")
     open_ = ~F.coalesce(F.col("verified"), F.lit(False))
     act = F.when(open_, F.col("act"))
@@ -33,7 +40,7 @@ def apply_decisions(registry: DataFrame, decisions: DataFrame) -> DataFrame:
 def review_summary(registry: DataFrame, decisions: DataFrame) -> DataFrame:
     """How many entries change (accepted, edited, deleted); the caller
     writes a new registry version only when this is > 0."""
-    d = decisions.select("name", F.lower(py_strip(F.col("action"))).alias("act"))
+    d = one_decision(decisions)
     j = unverified(registry).join(d, "name")
     return j.agg(
         F.count_if(F.col("act") == "a").alias("n_accepted"),

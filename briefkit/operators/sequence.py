@@ -12,9 +12,11 @@ and shifted by the row counts of the lower ranges (a table of at most
 ``n`` rows, broadcast with that bound).
 
 The range key must be monotone in the requested order.  With several
-numeric ``lead`` keys it is ``k1 * span(k2) + k2`` in double precision:
-rounding keeps it monotone, so ties of the first key (a value shared by a
-third of the rows) are still spread over many ranges by the second.
+numeric ``lead`` keys it is ``k1 * 2 * span(k2) + k2`` in double precision.
+Between two values of the first key there is a gap as wide as the second's
+span, so rounding cannot swap them whatever the spans are, and ties of the
+first key (a value shared by a third of the rows) are still spread over many
+ranges by the second.
 """
 
 from __future__ import annotations
@@ -36,12 +38,13 @@ def _bucket(k: Column, bounds: list[float], lo: int = 0) -> Column:
             .otherwise(_bucket(k, bounds[mid + 1:], lo + mid + 1))
 
 
-def range_bounds(df: DataFrame, key: Column, n: int, accuracy: int = 10_000) -> list[float]:
-    """``n - 1`` approximate quantiles of ``key`` (distinct, sorted)."""
+def range_bounds(df: DataFrame, key: Column, n: int) -> list[float]:
+    """``n - 1`` approximate quantiles of ``key`` (distinct, sorted), each
+    within a twentieth of a range."""
     if n <= 1:
         return []
     probs = [i / n for i in range(1, n)]
-    row = df.select(F.percentile_approx(key, probs, accuracy)).first()
+    row = df.select(F.percentile_approx(key, probs, max(10_000, 20 * n))).first()
     vals = row[0] if row is not None and row[0] is not None else []
     return sorted({float(v) for v in vals if v is not None})
 
@@ -50,19 +53,13 @@ def _range_key(df: DataFrame, lead: list[tuple[str, bool]]) -> Column:
     keys = [(F.col(c) if asc else -F.col(c)).cast("double") for c, asc in lead]
     if len(keys) == 1:
         return keys[0]
-    # ranges of every key (one narrow aggregate), then a mixed-radix value;
-    # fall back to the first key when the value could exceed 2^52 (where
-    # doubles stop being exact and the order could break).
+    # ranges of every key (one narrow aggregate), then a mixed-radix value
     st = df.select(*[F.struct(F.min(k).alias("lo"), F.max(k).alias("hi")) for k in keys]).first()
     if st is None or any(x["lo"] is None for x in st):
         return keys[0]
-    key, mag = keys[0] - F.lit(st[0]["lo"]), st[0]["hi"] - st[0]["lo"] + 1.0
+    key = keys[0] - F.lit(st[0]["lo"])
     for k, x in zip(keys[1:], st[1:]):
-        span = x["hi"] - x["lo"] + 1.0
-        mag *= span
-        if mag > 2.0 ** 52:
-            return keys[0]
-        key = key * F.lit(span) + (k - F.lit(x["lo"]))
+        key = key * F.lit(2.0 * (x["hi"] - x["lo"] + 1.0)) + (k - F.lit(x["lo"]))
     return key
 
 

@@ -16,21 +16,22 @@ def curated_sites(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ord long, name string, url string")
 
 
-def curated_match(senders: DataFrame, curated: DataFrame, max_broadcast: int = cfg.MAX_BROADCAST_ROWS) -> DataFrame:
+def curated_match(senders: DataFrame, curated: DataFrame, fixed: bool = False) -> DataFrame:
     """H1: per sender, the lowest-ordinal curated entry whose normalised
     name is a substring of the sender's normalised name.
 
-    Small curated lists (checked row count) are broadcast and matched
-    with ``contains``.  Larger ones use an exact equi-join: each sender
+    Any list is matched by an exact equi-join: each sender
     name is cut into its substrings of the lengths the curated keys have,
     and those are joined on equality — a shuffle join that grows with
-    both sides and never pairs every sender with every entry.
+    both sides and never pairs every sender with every entry.  The ``fixed``
+    list of the configuration, a constant, is broadcast and matched with
+    ``contains`` instead.
     Input needs ``sender`` and ``norm``; output (sender, curated_url).
     """
     c = curated.select(F.col("ord").alias("c_ord"), normalize(F.col("name")).alias("c_norm"),
                        F.col("url").alias("c_url"))
     s = senders.select("sender", "norm")
-    if c.limit(max_broadcast + 1).count() <= max_broadcast:
+    if fixed:
         j = s.join(F.broadcast(c), F.col("norm").contains(F.col("c_norm")))
     else:
         lengths = sorted(r[0] for r in c.select(F.length("c_norm")).distinct().collect())
@@ -44,7 +45,7 @@ def curated_match(senders: DataFrame, curated: DataFrame, max_broadcast: int = c
     return j.groupBy("sender").agg(F.min_by("c_url", "c_ord").alias("curated_url"))
 
 
-def resolve_homepages(sources: DataFrame, registry: DataFrame | None, curated: DataFrame) -> DataFrame:
+def resolve_homepages(sources: DataFrame, registry: DataFrame | None, curated: DataFrame, fixed: bool = False) -> DataFrame:
     """H2–H4 on the per-source table (``sender``, ``rank``, ``first.body``).
 
     Priority: verified registry entry > curated > sender domain > body URL.
@@ -60,7 +61,7 @@ def resolve_homepages(sources: DataFrame, registry: DataFrame | None, curated: D
         registry_key(name).alias("key"), normalize(name).alias("norm"),
         email_domain(email).alias("domain"),
     )
-    cm = curated_match(s, curated)
+    cm = curated_match(s, curated, fixed)
     s = s.join(cm, "sender", "left")
     if registry is not None:
         reg = (registry.where(F.coalesce(F.col("verified"), F.lit(False)) & (F.length(F.col("url")) > 0))

@@ -9,39 +9,58 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions.dates import with_parsed_date
-from ..functions.text import clean_subject, is_breaking, sender_email, sender_name, short_sender
-from ..session import ensure_checkpoint_dir
+from ..functions.text import clean_subject, is_breaking, short_sender
+from ..session import scratch_path
 from .sequence import global_rank
 
 
-def issues_per_source(records: DataFrame, max_broadcast: int = cfg.MAX_BROADCAST_ROWS) -> DataFrame:
-    """F1 + F2 + F4: issues per raw sender string, the first record of each
-    sender, ranked by count desc then first appearance.
+#: Order of records without one: after all others.
+_LAST = (1 << 62) - 1
 
-    Counting is a hash aggregate over (sender, ord) only — partial
-    aggregation keeps a hot sender to one buffer per task.  That per-sender
-    table is checkpointed to the shared folder and counted; when it is
-    within ``max_broadcast`` rows it is broadcast and the full rows are
-    only filtered by a hash lookup on (sender, first ord) — never sorted or
-    shuffled.  Beyond the bound the same join runs as a shuffle join.
+
+def _keyed(records: DataFrame, *cols) -> DataFrame:
+    """Records with their place ``_o`` (NULL ``ord`` last) and, for records
+    that share it, ``_t`` (hash of the message id, or of subject and date)."""
+    tie = [c for c in ("msg_id",) if c in records.columns] or ["subject", "date"]
+    return records.select("sender", F.coalesce(F.col("ord").cast("long"), F.lit(_LAST)).alias("_o"), F.xxhash64(*tie).alias("_t"), *cols)
+
+
+def source_counts(records: DataFrame) -> DataFrame:
+    """(sender, issues, _o, _t): issues per raw sender string and the
+    place of its first record.  Reads and shuffles narrow columns only; both
+    aggregates combine map-side, so a hot sender is a row per task."""
+    per = _keyed(records).groupBy("sender", "_o").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_t"))
+    return per.groupBy("sender").agg(F.sum("_n").alias("issues"), F.min("_o").alias("_first"), F.min_by("_t", "_o").alias("_t")) \
+              .withColumnRenamed("_first", "_o")
+
+
+def ranked_sources(records: DataFrame) -> DataFrame:
+    """F2 on the narrow table: rank by count desc, then first appearance."""
+    return global_rank(source_counts(records), [F.desc("issues"), F.asc("_o"), F.asc("_t"), F.asc("sender")], "rank",
+                       lead=[("issues", False), ("_o", True)])
+
+
+def issues_per_source(records: DataFrame) -> DataFrame:
+    """F1 + F2 + F4: ``ranked_sources`` with each sender's first record, one
+    row per sender whatever records share or lack ``ord``.
+
+    The ranked table is written to the shared folder, so its real size decides
+    whether the one pass over the full records looks it up in memory
+    (``spark.sql.autoBroadcastJoinThreshold``) or joins by shuffle.
     """
     spark = records.sparkSession
-    ensure_checkpoint_dir(spark)
-    g = records.groupBy("sender").agg(
-        F.count(F.lit(1)).alias("issues"),
-        F.min("ord").alias("first_ord"),
-    ).checkpoint()
-    small = g.limit(max_broadcast + 1).count() <= max_broadcast
-    firsts = records.select("sender", F.col("ord").alias("first_ord"),
-                            F.struct("subject", "date", "body").alias("first"))
-    g = firsts.join(F.broadcast(g) if small else g, ["sender", "first_ord"])
-    return global_rank(g, [F.desc("issues"), F.asc("first_ord")], "rank",
-                       lead=[("issues", False), ("first_ord", True)])
+    path = scratch_path(spark, "sources")
+    ranked_sources(records).write.parquet(path)
+    g = spark.read.parquet(path).withColumnsRenamed({"sender": "_s", "_o": "_go", "_t": "_gt"})
+    full = _keyed(records, F.struct("subject", "date", "body").alias("first"))
+    met = full.join(g, F.col("sender").eqNullSafe(F.col("_s")) & (F.col("_o") == F.col("_go")) & (F.col("_t") == F.col("_gt")))
+    return met.groupBy("sender", "issues", "rank", "_o").agg(F.min_by("first", F.xxhash64("first")).alias("first")).select(
+        "sender", F.when(F.col("_o") != _LAST, F.col("_o")).alias("first_ord"), "issues", "first", "rank")
 
 
-def source_totals(sources: DataFrame) -> DataFrame:
-    """F3 from the per-source table (no second distinct aggregate)."""
-    return sources.agg(F.sum("issues").alias("n_messages"), F.count(F.lit(1)).alias("n_sources"))
+def source_totals(records: DataFrame) -> DataFrame:
+    """F3 from the narrow table: all messages and senders."""
+    return source_counts(records).agg(F.sum("issues").alias("n_messages"), F.count(F.lit(1)).alias("n_sources"))
 
 
 def parse_dates(records: DataFrame) -> DataFrame:
@@ -101,6 +120,3 @@ def latest_lines(latest: DataFrame) -> DataFrame:
     return latest.select("ord", subj.alias("clean_subject"), short.alias("short_sender"),
                          hot.alias("breaking"), line.alias("line"))
 
-
-def sender_fields(df: DataFrame) -> DataFrame:
-    return df.withColumn("name", sender_name(F.col("sender"))).withColumn("email", sender_email(F.col("sender")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import clean_body, strip_css, strip_elements
@@ -52,8 +52,18 @@ def issues_per_source(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("first.date").alias("first_date"))
 
 
+def issues_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that share their place: ``ord`` is the day, NULL for errors,
+    and the message id (here the event number) decides."""
+    m = T.messages(spark, sf)
+    recs = m.select(F.when(F.col("label") != "error", F.unix_date(F.to_date("received_ts")).cast("long")).alias("ord"),
+                    "subject", "date", "sender", "body")
+    s = stats.issues_per_source(recs)
+    return s.select("sender", "issues", "first_ord", F.count(F.lit(1)).over(Window.partitionBy("sender")).alias("n_rows"))
+
+
 def source_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.source_totals(stats.issues_per_source(T.records(spark, sf)))
+    return stats.source_totals(T.records(spark, sf))
 
 
 def date_extent(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,8 +275,7 @@ def report_no_latest(spark: SparkSession, sf: str) -> DataFrame:
     recs = T.records(spark, sf)
     analysis = prompts.response_content(_scored(spark, sf)).select("batch_id", "text")
     p = R.ReportParams(run_ts=RUN_TS, days=DAYS, include_latest=False)
-    return R.build_report(recs, analysis, T.registry(spark, sf), T.curated(spark, sf), p) \
-        .where(F.col("section_ord") != R.SECTIONS["analysis"])
+    return R.build_report(recs, analysis, T.registry(spark, sf), T.curated(spark, sf), p)
 
 
 # --------------------------------------------------------------- streaming
@@ -312,6 +321,7 @@ def stream_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "issues_per_source": issues_per_source,
+    "issues_ties": issues_ties,
     "source_totals": source_totals,
     "date_extent": date_extent,
     "rfc2822_dates": rfc2822_dates,

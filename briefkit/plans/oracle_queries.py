@@ -223,7 +223,7 @@ def _lit_rows(section: int, lines: list[str], part: int = 0, where: str = "") ->
             f"{O.q(ln)} AS line {where}" for i, ln in enumerate(lines)]
 
 
-def report_sql(front: bool, model_label: str | None, model_ts: str | None, latest: bool, analysis: bool) -> str:
+def report_sql(front: bool, model_label: str | None, model_ts: str | None, latest: bool) -> str:
     ctes = resolved_ctes() + [SEQ] + extent_ctes()[0:] + latest_ctes()
     ctes += analysis_ctes()[2:]
     sel: list[str] = []
@@ -236,9 +236,8 @@ def report_sql(front: bool, model_label: str | None, model_ts: str | None, lates
     sel.append("SELECT 3, CAST(0 AS BIGINT), CAST(0 AS BIGINT), range_line FROM ext")
     sel += _lit_rows(3, [""], part=1)
     sel += _lit_rows(4, [cfg.REPORT_ANALYSIS_HEADING, ""])
-    if analysis:
-        sel.append("SELECT 5, batch_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT), unnest(arr) "
-                   f"FROM (SELECT batch_id, string_split(text, {NL}) AS arr FROM an)")
+    sel.append("SELECT 5, batch_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT), unnest(arr) "
+               f"FROM (SELECT batch_id, string_split(text, {NL}) AS arr FROM an)")
     if latest:
         sel += _lit_rows(6, ["", cfg.REPORT_LATEST_HEADING, "", cfg.REPORT_LATEST_INTRO, ""],
                          where="WHERE EXISTS (SELECT 1 FROM ll)")
@@ -257,8 +256,6 @@ def report_sql(front: bool, model_label: str | None, model_ts: str | None, lates
     sel += _lit_rows(9, ["", cfg.REPORT_METHODOLOGY_HEADING, meth])
     body = "\nUNION ALL ".join(sel)
     q = _with(*ctes) + f"SELECT * FROM ({body}) rows"
-    if not analysis:
-        q += " WHERE section_ord <> 5"
     return q
 
 
@@ -282,6 +279,9 @@ def oracle_queries() -> dict[str, str]:
                      arg_min(date, ord) AS first_date FROM msgs GROUP BY sender)""") + f"""
             SELECT sender, {O.sender_name('sender')} AS name, {O.sender_email('sender')} AS email, issues, first_ord,
                    row_number() OVER (ORDER BY issues DESC, first_ord) AS rank, first_subject, first_date FROM g""",
+        "issues_ties": _with(O.MSGS, """d AS (
+            SELECT sender, CASE WHEN label <> 'error' THEN date_diff('day', DATE '1970-01-01', CAST(received_ts AS DATE)) END AS o FROM msgs)""") +
+            "SELECT sender, count(*) AS issues, min(o) AS first_ord, CAST(1 AS BIGINT) AS n_rows FROM d GROUP BY sender",
         "source_totals": _with(O.MSGS) + "SELECT count(*) AS n_messages, count(DISTINCT sender) AS n_sources FROM msgs",
         "date_extent": _with(O.MSGS, *extent_ctes()) + f"""
             SELECT n_dated, strftime(earliest_ts, '{TS_SQL}') AS earliest_ts, strftime(latest_ts, '{TS_SQL}') AS latest_ts,
@@ -403,7 +403,7 @@ def oracle_queries() -> dict[str, str]:
             SELECT batch_id, 'ok' AS status, 1 AS attempt, '{C.MODEL}' AS model,
                    len(regexp_extract_all(text, {title_rx}, 1)) AS n_topics,
                    regexp_extract_all(text, {title_rx}, 1)[1] AS first_topic FROM an""",
-        "report_sections": report_sql(True, C.MODEL_LABEL, C.MODEL_TS, True, True),
+        "report_sections": report_sql(True, C.MODEL_LABEL, C.MODEL_TS, True),
         "stream_ingest": _with(O.MSGS, f"""x AS (
               SELECT *, CASE WHEN label IN ('view', 'click') THEN body
                              WHEN label = 'signup' THEN subject || {NL} || recipient
@@ -418,7 +418,7 @@ def oracle_queries() -> dict[str, str]:
                    coalesce(provider, 'unknown') AS provider, count(*) AS runs,
                    CAST(sum(coalesce(total_tokens, 0)) AS BIGINT) AS tokens, round(sum(coalesce(cost, 0)), 6) AS cost
             FROM c GROUP BY 1, 2""",
-        "report_no_latest": report_sql(False, None, None, False, False),
+        "report_no_latest": report_sql(False, None, None, False),
     }
     # S3 runs the batch operators on one micro-batch of message resources;
     # receipt order equals event order, bodies follow the resource layout.

@@ -63,7 +63,7 @@ def build_report(records: DataFrame, analysis: DataFrame, registry: DataFrame |
     parsed = stats.parse_dates(records)
     extent = stats.range_label(stats.date_extent(parsed), p.run_ts, p.days)
     sources = stats.issues_per_source(records)
-    totals = stats.source_totals(sources)
+    totals = stats.source_totals(records)
     parts: list[DataFrame] = []
 
     if p.front_matter:

@@ -25,7 +25,7 @@ from ..operators.select import select_messages
 from ..session import scratch_path
 from ..sources.costlog import append_cost_rows, good_rows, read_cost_log
 from ..sources.messages import read_messages
-from ..sources.registry import read_registry_file, registry_entries, write_registry_version
+from ..sources.registry import read_registry, registry_entries, write_registry_version
 from ..sources.report_sink import write_report
 from . import report as R
 
@@ -69,11 +69,13 @@ def run_summary(spark: SparkSession, messages_path: str, out_dir: str, p: Summar
         msgs = read_messages(spark, messages_path).withColumn("received_ts", F.timestamp_millis("internalDate")) \
                                                   .withColumn("ord", F.col("internalDate"))
         date_col, keep = None, []
+    n_quarantined = msgs.where("not decode_ok").count()
+    msgs = msgs.where("decode_ok")   # the others are the quarantine: see n_quarantined
     sel = select_messages(msgs, as_of=p.run_ts, days=p.days, label=p.label, from_email=p.from_email,
                           to_email=p.to_email, date_col=date_col)
-    recs = sel.select("ord", "subject", "date", "sender", "body", "body_format", *keep)
+    recs = sel.select("ord", "msg_id", "subject", "date", "sender", "body", "body_format", *keep)
     if recs.limit(1).count() == 0:                       # B7: nothing to summarise
-        return {"n_messages": 0}
+        return {"n_messages": 0, "n_quarantined": n_quarantined}
     r = route(spark, p.provider, p.custom_model)
     packed = prompts.pack_prompts(prompts.prompt_items(recs, p.batch_items), p.num_topics)
     scored_path = scratch_path(spark, "scored")
@@ -86,7 +88,7 @@ def run_summary(spark: SparkSession, messages_path: str, out_dir: str, p: Summar
     append_cost_rows(usage.withColumnRenamed("log_provider", "provider"), cost_log_path)
     n_topics = prompts.response_titles(content.select("batch_id", "text")).count()
 
-    registry = spark.read.parquet(registry_path) if registry_path else None
+    registry = read_registry(spark, registry_path or registry_root).drop("ord")
     cur = curated if curated is not None else sites.curated_sites(spark)
     rp = R.ReportParams(run_ts=p.run_ts, days=p.days, model_label=r["model_label"],
                         model_ts=p.run_ts.isoformat(), include_latest=p.include_latest, front_matter=p.front_matter)
@@ -97,7 +99,7 @@ def run_summary(spark: SparkSession, messages_path: str, out_dir: str, p: Summar
 
     resolved = sites.resolve_homepages(stats.issues_per_source(recs), registry, cur)
     new_registry = write_registry_version(sites.merge_registry(registry, resolved), registry_root)
-    return {"n_messages": recs.count(), "n_topics": n_topics, "file_name": name, "report": report_path,
+    return {"n_messages": recs.count(), "n_quarantined": n_quarantined, "n_topics": n_topics, "file_name": name, "report": report_path,
             "registry": new_registry, "scored": scored_path}
 
 
@@ -108,7 +110,8 @@ def run_cost_report(spark: SparkSession, log_path: str, as_of: dt.datetime,
 
 
 def run_validation(spark: SparkSession, registry_file: str) -> tuple[DataFrame, DataFrame]:
-    """Registry validation → (roll-up, listing lines)."""
+    """Validation of a registry file, or of the newest version below a
+    registry folder → (roll-up, listing lines)."""
     file_errors, entries = registry_entries(spark, registry_file)
     errs = quality.registry_errors(quality.variant_entries(entries))
     all_msgs = errs.select("ord", "rule_seq", "message").unionByName(
@@ -118,7 +121,7 @@ def run_validation(spark: SparkSession, registry_file: str) -> tuple[DataFrame,
 
 def run_review(spark: SparkSession, registry_file: str, decisions: DataFrame, registry_root: str) -> dict:
     """Apply decisions; write a new registry version only when something changed."""
-    reg = read_registry_file(spark, registry_file).drop("ord")
+    reg = read_registry(spark, registry_file).drop("ord")
     summary = review.review_summary(reg, decisions).first()
     if not summary["changed"]:
         return {"changed": False}

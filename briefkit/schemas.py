@@ -20,6 +20,8 @@ MESSAGE = T.StructType([
     T.StructField("internalDate", L),
     T.StructField("payload", PAYLOAD),
 ])
+# A line of an export: what does not parse is kept as it is.
+MESSAGE_LINE = T.StructType([*MESSAGE.fields, T.StructField("_corrupt_record", S)])
 
 # M2/M3: flat newsletter record; ``ord`` is the list order.
 RECORD = T.StructType([

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -70,9 +69,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file checks."""
+    """Strip a ``file:`` scheme."""
     return path[5:] if path.startswith("file:") else path
 
 
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on whatever file system holds it."""
+    p, fs = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names in a folder; none if it does not exist."""
+    p, fs = _file_system(spark, path)
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p))

@@ -23,7 +23,7 @@ def read_cost_log(spark: SparkSession, path: str) -> DataFrame:
     Text that does not parse is kept in ``_corrupt_record`` (one row per
     bad file or bad line) — quarantined, never dropped silently, never
     overwritten.  ``ord`` = (file order, position in the file)."""
-    if not exists(path):
+    if not exists(spark, path):
         return _empty(spark)
     reader = spark.read.option("wholetext", True)
     files = sorted(reader.text(path).inputFiles())

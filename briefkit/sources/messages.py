@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +11,11 @@ from ..operators.parse import parse_messages
 
 def read_message_resources(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """A1: exported message resources (JSON Lines or Parquet), fixed schema.
-    Malformed JSON lines yield NULL payloads, which parse to defaults."""
+    A line that does not parse is kept in ``_corrupt_record``; the parse marks
+    it ``decode_ok = false``, which is what the quarantine holds."""
     if fmt == "parquet":
         return spark.read.schema(schemas.MESSAGE).parquet(path)
-    return spark.read.schema(schemas.MESSAGE).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(schemas.MESSAGE_LINE).option("mode", "PERMISSIVE").json(path)
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -26,7 +25,8 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
 
 def read_records_json(spark: SparkSession, path: str) -> DataFrame:
     """A2: a JSON array (or JSON Lines) of records; missing keys are NULL.
-    List order becomes ``ord`` only when the file carries it."""
+    List order becomes ``ord`` only when the file carries it; records without
+    one count as last (F1)."""
     return spark.read.schema(schemas.RECORD).option("multiLine", True).json(path)
 
 
@@ -70,10 +70,3 @@ def to_message_resources(msgs: DataFrame) -> DataFrame:
         F.struct(headers.alias("headers"), parts.alias("parts"), body.alias("body")).alias("payload"),
     )
 
-
-def write_message_resources(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").json(path)
-
-
-def resources_json_lines(resources: list[dict]) -> str:
-    return "\n".join(json.dumps(r) for r in resources)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from .. import schemas
-from ..session import exists
+from ..operators.sequence import global_rank
+from ..session import children, exists
 
 EMPTY = "name string, url string, verified boolean"
 
@@ -17,7 +18,7 @@ EMPTY = "name string, url string, verified boolean"
 def read_registry_file(spark: SparkSession, path: str) -> DataFrame:
     """A5: a JSON object {name: {url, verified}} → (ord, name, url, verified).
     Missing file → empty.  Parsing happens on the executors (wholetext)."""
-    if not exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], EMPTY).withColumn("ord", F.lit(None).cast("long"))
     t = spark.read.option("wholetext", True).text(path)
     m = F.from_json(F.col("value"), schemas.T.MapType(schemas.S, schemas.REGISTRY_ENTRY))
@@ -32,8 +33,10 @@ def registry_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     message) when the file is missing, is not JSON, or its root is not an
     object; entries are (ord, name, value VARIANT) otherwise.
     """
+    if _versions(spark, path):
+        return spark.createDataFrame([], "category string, message string"), export_registry(spark, path)
     empty_ent = spark.createDataFrame([], "ord long, name string").withColumn("value", F.parse_json(F.lit("null")))
-    if not exists(path):
+    if not exists(spark, path):
         err = spark.createDataFrame([(cfg.REGISTRY_CATEGORY, cfg.MSG_FILE_MISSING.format(path=path))],
                                     "category string, message string")
         return err, empty_ent.limit(0)
@@ -50,10 +53,36 @@ def registry_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return errs, ent.select(F.col("ord").cast("long"), "name", "value")
 
 
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Folders of finished versions, the oldest first."""
+    root = root.rstrip("/")
+    return [f"{root}/{v}" for v in children(spark, root) if v.startswith("v-") and exists(spark, f"{root}/{v}/_SUCCESS")]
+
+
 def write_registry_version(df: DataFrame, root: str) -> str:
-    """Write the merged registry as a new version folder and return it.
-    The caller swaps its pointer atomically; the version being read is
-    never overwritten in place."""
-    path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+    """Write the merged registry as the next version folder and return it.
+    A version is valid once its writer has finished (``_SUCCESS``); the version
+    being read is never overwritten.  Two writers at once give two versions
+    with one number, of which the greater name counts."""
+    spark = df.sparkSession
+    taken = [int(v.rpartition("/")[2].split("-")[1]) for v in _versions(spark, root)]
+    path = f"{root.rstrip('/')}/v-{max(taken, default=0) + 1:010d}-{uuid.uuid4().hex}"
     df.select("name", "url", "verified").write.mode("errorifexists").parquet(path)
     return path
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """A5: (ord, name, url, verified) of a registry file, or of the newest
+    version below a folder that ``write_registry_version`` fills."""
+    if not (found := _versions(spark, path)):
+        return read_registry_file(spark, path)
+    return spark.read.parquet(found[-1]).select(F.lit(None).cast("long").alias("ord"), "name", "url", "verified")
+
+
+def export_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of the newest version as (ord, name, value VARIANT), as
+    ``registry_entries`` gives those of a file; ``ord`` follows the names."""
+    entry = F.to_json(F.struct("url", "verified"), {"ignoreNullFields": "false"})
+    named = global_rank(read_registry(spark, path).select("name", entry.alias("entry"), F.xxhash64("name").alias("_k")),
+                        ["_k", "name"], "ord", lead=[("_k", True)])
+    return named.select("ord", "name", F.parse_json("entry").alias("value"))

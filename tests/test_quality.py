@@ -41,9 +41,9 @@ def test_entry_rules(spark, tmp_dir):
         "nourl": {"verified": True},
         "noverified": {"url": "https://x.com"},
         "notobj": "https://x.com",
-        "badurl": {"url": "not-a-valid-url", "verified": True},
+        "badurl": {"url": "bakery dot example", "verified": True},
         "numurl": {"url": 5, "verified": True},
-        "track": {"url": "https://track.example.com/click?utm_source=x", "verified": False},
+        "track": {"url": "https://track.bakery.example/open?utm_campaign=7", "verified": False},
         "first": {"url": "https://dup.com", "verified": True},
         "second": {"url": "https://dup.com", "verified": True},
         "generic": {"url": "https://substack.com", "verified": True},
@@ -56,13 +56,13 @@ def test_entry_rules(spark, tmp_dir):
         "Missing 'url' field for newsletter 'nourl'",
         "Missing 'verified' field for newsletter 'noverified'",
         "Configuration for 'notobj' must be a dictionary",
-        "Invalid URL for 'badurl': not-a-valid-url",
+        "Invalid URL for 'badurl': bakery dot example",
         "URL for 'numurl' must be a string: 5",
-        "URL for 'track' appears to be a tracking/temporary URL: https://track.example.com/click?utm_source=x",
+        "URL for 'track' appears to be a tracking/temporary URL: https://track.bakery.example/open?utm_campaign=7",
         "Duplicate URL found: 'second' and 'first' both use https://dup.com",
         "URL for 'generic' is too generic, should be more specific: https://substack.com",
         "Newsletter name has leading/trailing whitespace: ' pad '",
-        "'verified' field for ' pad ' must be a boolean: \"yes\"",
+        "'verified' field for ' pad ' must be a boolean: 'yes'",
         "Newsletter name must be a non-empty string: '   '",
         "URL for 'nullurl' must be a string: None",
     ]
@@ -75,3 +75,22 @@ def test_typed_registry_read(spark, tmp_dir):
     listing = [r.line for r in quality.validation_listing(
         quality.registry_errors(quality.typed_entries(read_registry_file(spark, p)))).orderBy("line_no").collect()]
     assert listing == ["📁 Newsletter Websites:"]
+
+
+def test_repr_of_odd_values(spark, tmp_dir):
+    p = write(tmp_dir, {"x\u00a0": {"url": ["a", "b's"], "verified": True}, "y": {"url": "https://y.example.org", "verified": ["x"]}})
+    assert errors(spark, p) == [
+        "Newsletter name has leading/trailing whitespace: 'x\\xa0'",
+        "URL for 'x\u00a0' must be a string: ['a', \"b's\"]",
+        "'verified' field for 'y' must be a boolean: ['x']",
+    ]
+
+
+def test_versions_round_trip(spark, tmp_dir):
+    from briefkit.sources.registry import read_registry, write_registry_version
+
+    root = "file:" + os.path.join(tmp_dir, "reg")
+    for rows in ([("a", "https://a.com", True)], [("a", "https://a.com", True), ("b", "nope", False)]):
+        write_registry_version(spark.createDataFrame(rows, "name string, url string, verified boolean"), root)
+    assert sorted(r.name for r in read_registry(spark, root).collect()) == ["a", "b"]
+    assert errors(spark, root) == ["Invalid URL for 'b': nope"]

@@ -20,7 +20,7 @@ RUN = dt.datetime(2024, 1, 3, 8, 0)
 
 def expected(model=True, latest=True):
     # The original's layout, written out.
-    txt = "# DEFI NEWSLETTER SUMMARY\n"
+    txt = "# MESSAGE DIGEST\n"
     if model:
         txt += "## Generated with gpt-x\n\n"
     txt += "## January 01 to January 02, 2024, 09:00 (summary run at 2024-01-03 08:00)\n\n"
@@ -52,7 +52,7 @@ def test_full_text(spark):
 def test_toggle_and_front_matter(spark):
     rows = build(spark, include_latest=False, front_matter=True)
     text = R.report_text(rows).first().text
-    assert text == "---\nlayout: default\ntitle: DeFi Newsletter Summary - January 03, 2024\n---\n\n" + \
+    assert text == "---\nlayout: default\ntitle: Message digest - January 03, 2024\n---\n\n" + \
         expected(model=False, latest=False)
 
 
@@ -62,4 +62,4 @@ def test_sink_writes_ordered_parts(spark, tmp_dir):
     assert len(glob.glob(os.path.join(out, "part-*"))) >= 2
     assert concat_parts(out) == expected()
     name = R.report_file_name(spark.createDataFrame(ROWS, REC), R.ReportParams(run_ts=RUN)).first().file_name
-    assert name == "ai_newsletter_summary_20240103_0800_from_20240101.md"
+    assert name == "message_digest_20240103_0800_from_20240101.md"

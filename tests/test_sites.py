@@ -8,7 +8,7 @@ from briefkit.operators import sites, stats
 REC = "ord long, subject string, date string, sender string, body string, body_format string"
 
 
-def resolve(spark, rows, registry_rows=None, curated=None, max_broadcast=None):
+def resolve(spark, rows, registry_rows=None, curated=None):
     df = spark.createDataFrame([(i, "s", "d", s, b, None) for i, (s, b) in enumerate(rows)], REC)
     reg = spark.createDataFrame(registry_rows or [], "name string, url string, verified boolean")
     cur = curated if curated is not None else sites.curated_sites(spark)
@@ -48,8 +48,8 @@ def test_curated_paths_agree(spark):
     senders = spark.createDataFrame([("a", "xxtldraixx"), ("b", "theneuron"), ("c", "none"), ("d", "")],
                                     "sender string, norm string")
     cur = sites.curated_sites(spark)
-    small = {r.sender: r.curated_url for r in sites.curated_match(senders, cur).collect()}
-    big = {r.sender: r.curated_url for r in sites.curated_match(senders, cur, max_broadcast=0).collect()}
+    small = {r.sender: r.curated_url for r in sites.curated_match(senders, cur, fixed=True).collect()}
+    big = {r.sender: r.curated_url for r in sites.curated_match(senders, cur).collect()}
     assert small == big == {"a": "https://www.tldrnewsletter.com", "b": "https://www.theneurondaily.com"}
 
 

@@ -25,7 +25,7 @@ def test_rank_and_representative(spark):
     assert [s for s, _ in sorted(((r.sender, r.rank) for r in out.values()), key=lambda x: x[1])] == \
         ["B <b@x.com>", "A <a@x.com>", "C <c@x.com>", "D"]
     assert out["A <a@x.com>"].first.body == "a1" and out["A <a@x.com>"].issues == 2
-    t = stats.source_totals(stats.issues_per_source(df)).first()
+    t = stats.source_totals(df).first()
     assert (t.n_messages, t.n_sources) == (6, 4)
 
 
@@ -70,5 +70,22 @@ def test_broadcast_and_shuffle_paths_agree(spark):
     r = T.records(spark, SF)
     cols = ["sender", "issues", "first_ord", "rank", "first"]
     a = sorted(stats.issues_per_source(r).select(*cols).collect())
-    b = sorted(stats.issues_per_source(r, max_broadcast=0).select(*cols).collect())
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        b = sorted(stats.issues_per_source(r).select(*cols).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert a == b
+
+
+def test_records_that_share_or_lack_their_place(spark):
+    rows = [(5, "s1", "d1", "A", "x"), (5, "s2", "d2", "A", "y"), (5, "s1", "d1", "A", "z"), (None, "s", "d", "B", "b"),
+            (None, "t", "e", "B", "c"), (7, "s", "d", "C", "c"), (None, "s", "d", "C", "c")]
+    df = spark.createDataFrame(rows, "ord long, subject string, date string, sender string, body string")
+    out = {r.sender: r for r in stats.issues_per_source(df).collect()}
+    assert {k: (r.issues, r.first_ord, r["rank"]) for k, r in out.items()} == {"A": (3, 5, 1), "C": (2, 7, 2), "B": (2, None, 3)}
+    assert out["C"].first.body == "c" and stats.issues_per_source(df).count() == 3
+    assert tuple(stats.source_totals(df).first()) == (7, 3)
+    again = {r.sender: r.first for r in stats.issues_per_source(df.repartition(5)).collect()}
+    assert again == {k: r.first for k, r in out.items()}

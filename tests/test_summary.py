@@ -23,10 +23,10 @@ def test_summary_run(spark, tmp_dir):
     p = P.SummaryParams(run_ts=dt.datetime(2024, 1, 31, 9, 30), days=7, batch_items=20, front_matter=True)
     res = P.run_summary(spark, src, out, p, log, root, registry_path=reg0)
     assert res["n_messages"] > 0 and res["n_topics"] > 0
-    assert res["file_name"].startswith("ai_newsletter_summary_20240131_0930_from_2024012")
+    assert res["file_name"].startswith("message_digest_20240131_0930_from_2024012")
     text = concat_parts(res["report"])
-    assert text.startswith("---\nlayout: default\ntitle: DeFi Newsletter Summary - January 31, 2024\n---\n\n")
-    for heading in ("# DEFI NEWSLETTER SUMMARY", "## Generated with gpt-4.1-2025-04-14", "## TOP AI DEVELOPMENTS",
+    assert text.startswith("---\nlayout: default\ntitle: Message digest - January 31, 2024\n---\n\n")
+    for heading in ("# MESSAGE DIGEST", "## Generated with gpt-4.1-2025-04-14", "## TOP AI DEVELOPMENTS",
                     "## JUST IN: LATEST DEVELOPMENTS", "## NEWSLETTER SOURCES", "## METHODOLOGY"):
         assert heading in text
     n_batches = spark.read.parquet(res["scored"]).count()
