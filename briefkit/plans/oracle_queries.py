@@ -280,7 +280,7 @@ def oracle_queries() -> dict[str, str]:
             SELECT sender, {O.sender_name('sender')} AS name, {O.sender_email('sender')} AS email, issues, first_ord,
                    row_number() OVER (ORDER BY issues DESC, first_ord) AS rank, first_subject, first_date FROM g""",
         "issues_ties": _with(O.MSGS, """d AS (
-            SELECT sender, CASE WHEN label <> 'error' THEN date_diff('day', DATE '1970-01-01', CAST(received_ts AS DATE)) END AS o FROM msgs)""") +
+            SELECT sender, CASE WHEN label <> 'error' THEN date_diff('day', DATE '1970-01-01', CAST(event_ts AS DATE)) END AS o FROM msgs)""") +
             "SELECT sender, count(*) AS issues, min(o) AS first_ord, CAST(1 AS BIGINT) AS n_rows FROM d GROUP BY sender",
         "source_totals": _with(O.MSGS) + "SELECT count(*) AS n_messages, count(DISTINCT sender) AS n_sources FROM msgs",
         "date_extent": _with(O.MSGS, *extent_ctes()) + f"""
