@@ -35,7 +35,7 @@ RECALL = 0.995
 #: Paragraphs of a tile's side; a task compares two sides at most.
 CHUNK = 1024
 #: Word hashes that a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 U = np.uint64
 
 

@@ -19,8 +19,8 @@ Texts of one chunk are encoded word by word, each word once per task.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from .tokencount import MARK, model_bytes, whole_tokens
 
 #: Code points of a chunk, and of its neighbours that it sees on either side.
 CHUNK, MARGIN = 16_384, 64
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 NONE = -np.inf
 
 
@@ -48,7 +48,7 @@ class Pieces:
         self.gap = self.sp.encode("\n")  # an own byte piece: nothing merges with it
         if any("\n" in self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())):
             raise ValueError("a piece of this model holds a line end")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers: a small part of what lists take
 
     def part(self, marked: str) -> list[int]:
         """Ids of a string by itself, with no space mark put before it."""
@@ -92,12 +92,14 @@ class Pieces:
             self.known = {}
         new = [x for x in met - self.known.keys()]
         words = [x for x in new if x.strip(" ")]
-        self.known |= zip(words, self.sp.encode(words, num_threads=1))
+        for i in range(0, len(words), 10_000):
+            some = words[i:i + 10_000]
+            self.known |= ((w, array("i", ids).tobytes()) for w, ids in zip(some, self.sp.encode(some, num_threads=1)))
         for x in new:
             if not x.strip(" "):  # spaces that end a text
-                self.known[x] = self.part(MARK + x.replace(" ", MARK))
+                self.known[x] = array("i", self.part(MARK + x.replace(" ", MARK))).tobytes()
         get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, p)), np.int32) for p in parts]
+        return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
 
 
 class Chunk:
@@ -252,7 +254,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sp = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         for rows in batches:
-            yield pd.Series(sp.decode([x.tolist() for x in rows], num_threads=1), dtype=object)
+            yield pd.Series([sp.decode(x.tolist()) for x in rows], dtype=object)
 
     return encoded.withColumn(into, text(ids))
 

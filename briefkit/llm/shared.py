@@ -17,7 +17,7 @@ BLANK = " \t\n\x0b\x0c\r"
 
 #: Rows and bytes of one Arrow batch.  Texts may be long, so the default of
 #: 10,000 rows would hold far too much in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ from .shared import prepare
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 MARK = "▁"
 #: Pre-tokens that a task remembers; beyond it, it starts again with the whole tokens.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class PreTokens:
