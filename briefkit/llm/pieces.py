@@ -32,7 +32,7 @@ from .shared import prepare, stored
 from .tokencount import MARK, model_bytes, whole_tokens
 
 #: Code points of a chunk, and of its neighbours that it sees on either side.
-CHUNK, MARGIN = 16_384, 64
+CHUNK, MARGIN = 65_536, 64
 REMEMBERED = 300_000
 NONE = -np.inf
 
@@ -144,7 +144,7 @@ class Chunk:
             return out
         first, end = self.starts
         heads = [self._head(s, first) for s in self.left]
-        middle = len(self.p.part(self.text[first:end])) if end > first else 0
+        middle = len(self._middle())
         for j, (a, b) in enumerate(self.right):
             found = self.p.spans(self.p.part(self.text[end:self.hi + b]))
             if found and found[-1][0] == a + b:
@@ -153,12 +153,20 @@ class Chunk:
                         out[i, j] = -sum(len(x) for _, x in h) - middle - sum(len(x) for _, x in found)
         return out
 
+    def _middle(self) -> list[int]:
+        """Ids between the first and the last start of a word, by words."""
+        first, end = self.starts
+        return self.p.encode([self.text[first + 1:end].replace(MARK, " ")])[0].tolist() if end - first > 1 else self.p.part(self.text[first:end])
+
     def ids(self, s: int, t: int) -> list[int]:
         """Ids of the pieces that begin in the chunk, between two states."""
         _, b = self.right[t]
         if self._across(self.left[s]):
             return []
-        return [i for _, x in self._head(self.left[s], self.hi + b) or [] for i in x]
+        if self.starts is None:
+            return [i for _, x in self._head(self.left[s], self.hi + b) or [] for i in x]
+        head = [i for _, x in self._head(self.left[s], self.starts[0]) or [] for i in x]
+        return head + self._middle() + self.p.part(self.text[self.starts[1]:self.hi + b])
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
