@@ -33,7 +33,7 @@ def registry_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     message) when the file is missing, is not JSON, or its root is not an
     object; entries are (ord, name, value VARIANT) otherwise.
     """
-    if _versions(spark, path):
+    if _versions(spark, path) or "_SUCCESS" in children(spark, path):
         return spark.createDataFrame([], "category string, message string"), export_registry(spark, path)
     empty_ent = spark.createDataFrame([], "ord long, name string").withColumn("value", F.parse_json(F.lit("null")))
     if not exists(spark, path):
@@ -72,9 +72,11 @@ def write_registry_version(df: DataFrame, root: str) -> str:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """A5: (ord, name, url, verified) of a registry file, or of the newest
-    version below a folder that ``write_registry_version`` fills."""
-    if not (found := _versions(spark, path)):
+    """A5: (ord, name, url, verified) of a registry file, of one version's
+    folder, or of the newest version below a folder that
+    ``write_registry_version`` fills."""
+    found = _versions(spark, path) or ([path] if "_SUCCESS" in children(spark, path) else [])
+    if not found:
         return read_registry_file(spark, path)
     return spark.read.parquet(found[-1]).select(F.lit(None).cast("long").alias("ord"), "name", "url", "verified")
 

@@ -32,6 +32,15 @@ def test_summary_run(spark, tmp_dir):
     n_batches = spark.read.parquet(res["scored"]).count()
     assert good_rows(read_cost_log(spark, log)).count() == n_batches
     assert spark.read.parquet(res["registry"]).count() >= T.registry(spark, SF).count()
+    # validation and review read the version that the run has written
+    roll, listing = P.run_validation(spark, root)
+    assert roll.first().n_errors >= 0 and listing.count() > 0
+    before = sorted(map(tuple, spark.read.parquet(res["registry"]).collect()))
+    open_ = [r[0] for r in before if not r[2]]
+    done = P.run_review(spark, root, spark.createDataFrame([(open_[0], "a", None)], "name string, action string, new_url string"), root)
+    assert done["changed"] and done["registry"].rpartition("/")[2] > res["registry"].rpartition("/")[2]
+    after = sorted(map(tuple, spark.read.parquet(done["registry"]).collect()))
+    assert [r[0] for r in after if not r[2]] == open_[1:]
     # a second run over a window with no messages is a no-op
     p2 = P.SummaryParams(run_ts=dt.datetime(2030, 1, 1), days=1)
     assert P.run_summary(spark, src, out, p2, log, root)["n_messages"] == 0
