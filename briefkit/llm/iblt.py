@@ -90,6 +90,12 @@ def _groups(a: str, b: str, more: int) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(need))).cast("long") * more
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """Rows by id in as many partitions as the session shuffles to: the arrays
+    are small and the work on them is not, so they aren't coalesced by size."""
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def differences(keys: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
     """(id, arrays of digests) → (id, one column a side): how many digests the
     two arrays of a side don't share, recovered by peeling the difference of
@@ -101,7 +107,7 @@ def differences(keys: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame
     while True:
         parts = [F.struct(F.lit(i).alias("side"), _groups(a, b, more).alias("groups"), F.col(c).alias("digests"), F.lit(sign).alias("sign"))
                  for i, (a, b) in enumerate(sides.values()) for c, sign in ((a, 1), (b, -1))]
-        rows = todo.repartition("id").select("id", F.explode(F.array(*parts)).alias("s")).select("id", "s.*")
+        rows = _dealt(todo).select("id", F.explode(F.array(*parts)).alias("s")).select("id", "s.*")
         groups = cells(rows, more).groupBy("id", "side", "g").agg(F.collect_list(F.struct("p", "n", "x", "y")).alias("c")) \
                             .select("id", "side", peeled(F.col("c"), more).alias("d"))
         sums = [F.sum(F.when(F.col("side") == i, F.col("d"))).cast("int").alias(k) for i, k in enumerate(sides)]
@@ -123,7 +129,7 @@ def sketches(keys: DataFrame, columns: list[str]) -> DataFrame:
     checks of the cells that are not zero."""
     parts = [F.struct(F.lit(i).alias("side"), F.lit(1).cast("long").alias("groups"), F.col(c).alias("digests"), F.lit(1).alias("sign"))
              for i, c in enumerate(columns)]
-    rows = keys.repartition("id").select("id", F.explode(F.array(*parts)).alias("s")).select("id", "s.*")
+    rows = _dealt(keys).select("id", F.explode(F.array(*parts)).alias("s")).select("id", "s.*")
     def drawn(cells: Column) -> Column:
         return F.translate(F.base64(F.unhex(F.array_join(F.transform(F.array_sort(cells), lambda c: F.concat(
             F.lpad(F.hex(c["p"]), 2, "0"), F.lpad(F.hex(F.pmod(c["n"], F.lit(1 << 24))), 6, "0"),
