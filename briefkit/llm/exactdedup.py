@@ -147,6 +147,6 @@ def without_copies(docs: DataFrame) -> DataFrame:
     tested = docs.withColumn("_sha256", digest()).withColumn("_maybe", maybe(F.xxhash64("_sha256")))
     some = tested.where("_maybe").withColumn("_n", F.coalesce(F.length("text"), F.lit(0)))
     kept = stored(kept.distinct(), "kept")
-    won = some.join(kept, (some["_sha256"] == kept["_sha"]) & some["doc_id"].eqNullSafe(kept["_id"]))
+    won = some.join(kept.hint("merge"), (some["_sha256"] == kept["_sha"]) & some["doc_id"].eqNullSafe(kept["_id"]))
     one = won.groupBy("_sha256").agg(F.max_by(F.struct(*docs.columns), "_n").alias("_row")).select("_row.*")
     return back(tested.where("not _maybe").select(*docs.columns).unionByName(one))

@@ -161,7 +161,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     evenly, the first by their text's hash taking what is left over."""
     docs, back = aside(docs)
     found = stored(mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
-    met = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]))
+    # a shuffle join at any size: what is joined grows with the documents
+    met = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(found["_id"]))
     if not found.where("_rows > 1").isEmpty():
         k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *docs.columns))
         met = met.withColumn("_k", k).withColumn("_copies", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_k") <= F.col("_copies") % F.col("_rows")).cast("long"))

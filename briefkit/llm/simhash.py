@@ -169,4 +169,4 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     docs, back = aside(docs)
     found = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
     gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return back(docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti"))
+    return back(docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti"))
