@@ -67,21 +67,26 @@ class Hashes(dict):
 
 class Lines:
     """The paragraphs with a word of a batch of documents: ``doc`` (place in
-    the batch), ``line``, ``words``, ``shingles`` (hashes, flat) with ``starts``."""
+    the batch), ``line``, ``nth`` (number among the document's paragraphs),
+    ``words``, ``shingles`` (hashes, flat) with ``starts``."""
 
     def __init__(self, texts: list[bytes], known: Hashes, shingle: int = SHINGLE) -> None:
-        doc, line, sizes, hashes = [], [], [], []
+        doc, line, nth, sizes, hashes = [], [], [], [], []
         self.lines = []
         for d, t in enumerate(texts):
             rows = t.lower().split(b"\n")
             self.lines.append(len(rows))
+            n = 0
             for k, row in enumerate(rows):
                 if words := row.split():
                     doc.append(d)
                     line.append(k)
+                    nth.append(n)
+                    n += 1
                     sizes.append(len(words))
                     hashes += map(known.__getitem__, words)
         self.doc, self.line, self.words = np.array(doc, np.int64), np.array(line, np.int64), np.array(sizes, np.int64)
+        self.nth = np.array(nth, np.int64)
         h = np.array(hashes, U)
         ends = np.cumsum(self.words)
         first = ends - self.words
@@ -171,7 +176,7 @@ def _tiles(similar: float):
     return run
 
 
-ROWS = "row long, doc_id long, size long, line int, words int, h long, bands array<long>, set binary"
+ROWS = "row long, doc_id long, size long, line int, nth int, words int, h long, bands array<long>, set binary"
 
 
 def _candidates(data: DataFrame, number: int, rows: int, shingle: int) -> DataFrame:
@@ -193,13 +198,13 @@ def _candidates(data: DataFrame, number: int, rows: int, shingle: int) -> DataFr
             ids = pdf["doc_id"].astype("Int64")
             row = np.arange(at, at + len(pdf))
             at += len(pdf)
-            yield pd.DataFrame({"row": row, "doc_id": ids, "size": lines.lines, "line": -1, "words": 0, "h": 0, "bands": None, "set": None})
+            yield pd.DataFrame({"row": row, "doc_id": ids, "size": lines.lines, "line": -1, "nth": 0, "words": 0, "h": 0, "bands": None, "set": None})
             found = lines.bands(number, rows)
             hit = set_in(shared.value, found.ravel().view(np.int64)).reshape(found.shape)
             own, texts = np.flatnonzero(hit.any(axis=1)), lines.texts().view(np.int64)
             for s in range(0, len(own), 2000):
                 k = own[s:s + 2000]
-                yield pd.DataFrame({"row": row[lines.doc[k]], "doc_id": ids.iloc[lines.doc[k]].to_numpy(), "size": 0, "line": lines.line[k], "words": lines.words[k],
+                yield pd.DataFrame({"row": row[lines.doc[k]], "doc_id": ids.iloc[lines.doc[k]].to_numpy(), "size": 0, "line": lines.line[k], "nth": lines.nth[k], "words": lines.words[k],
                                     "h": texts[k], "bands": [found[i][hit[i]].view(np.int64) for i in k], "set": [lines.set_of(i) for i in k]})
 
     return stored(data.mapInPandas(picked, ROWS), "paragraphs")
@@ -236,22 +241,22 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     data = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_bytes(docs[text]).alias("data"))
     marked = _candidates(data, number, rows, shingle)
     labels = stored(_classes(marked, similar, chunk), "classes")
-    some = marked.where("line >= 0").select("row", "doc_id", "line", "words", "h")
-    named = some.join(labels, F.col("h") == F.col("node"), "left").select("row", "doc_id", "line", "words", F.coalesce("label", "h").alias("c"))
+    some = marked.where("line >= 0").select("row", "doc_id", "line", "nth", "words", "h")
+    named = some.join(labels, F.col("h") == F.col("node"), "left").select("row", "doc_id", "line", "nth", "words", F.coalesce("label", "h").alias("c"))
     named = stored(named, "named")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "line")
     firsts = stored(named.groupBy("c").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
     again = named.join(firsts, "c").where((F.col("row") != F.col("f.row")) | (F.col("line") != F.col("f.line"))) \
-        .select("row", "line", "words", F.col("f.doc_id").alias("from"))
+        .select("row", "line", "nth", "words", F.col("f.doc_id").alias("from"))
     # runs within a document, whose lines are at most those of one text
     w = Window.partitionBy("row").orderBy("line")
-    new = (F.col("line") != F.lag("line").over(w) + 1) | F.lag("line").over(w).isNull()
+    new = (F.col("nth") != F.lag("nth").over(w) + 1) | F.lag("nth").over(w).isNull()
     runs = again.withColumn("run", F.sum(new.cast("int")).over(w)).groupBy("row", "run").agg(
         F.min("line").alias("first"), F.max("line").alias("last"), F.count(F.lit(1)).alias("k"), F.sum("words").alias("words"),
         F.collect_set("from").alias("froms"))
     long = F.col("words") >= words
     out = stored(runs.groupBy("row").agg(
-        F.sum("k").alias("repeated_lines"), F.sum(F.when(long, F.col("k")).otherwise(0)).alias("removed_lines"),
+        F.sum("k").alias("repeated_lines"), F.sum(F.when(long, F.col("last") - F.col("first") + 1).otherwise(0)).alias("removed_lines"),
         F.sum(F.when(long, F.col("words")).otherwise(0)).alias("removed_words"),
         F.array_sort(F.collect_list(F.when(long, F.struct("first", "last")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(long, F.col("froms")))))).alias("first_docs")), "runs")

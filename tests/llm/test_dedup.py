@@ -157,3 +157,13 @@ def test_passages(docs, rows, none):
 def test_bands_have_the_recall():
     number, size = passages.bands(0.8, 0.995)
     assert 1 - (1 - 0.8 ** size) ** number >= 0.995
+
+
+def test_passages_over_blank_lines(spark):
+    """Three paragraphs of 40 words are one passage, whatever blank lines part them."""
+    parts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, "\n\n".join(parts)), (2, "own words\n" + "\n \n\n".join(parts) + "\n\nend"), (3, parts[0] + "\n\nother words here\n\n" + parts[1])]
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.repeated_lines, r.removed_lines, r.removed_words, [tuple(s) for s in r.spans], r.first_docs) for r in passages.repeated(one).collect()}
+    assert got == {1: (0, 0, 0, [], []), 2: (3, 7, 120, [(1, 7)], [1]), 3: (2, 0, 0, [], [])}
+    assert {r.doc_id: r.text for r in passages.without_passages(one).collect()} == {1: rows[0][1], 2: "own words\n\nend", 3: rows[2][1]}
