@@ -12,11 +12,22 @@ of the similar pairs, and components of these links are the classes.
 A paragraph repeats if one of its class comes before it (by document, then
 line).  Runs of such paragraphs with ``WORDS`` words or more are the passages
 that are removed: a short line that others also have is no passage by itself.
+
+Passages that are no whole lines are found by their words.  Every run of
+``WORDS`` words has an anchor, the least hash of the shorter runs (of half the
+words) in it, so anchors move with the text and equal runs have equal ones.
+Anchors go through the same Bloom filter; the runs whose anchor may be repeated
+leave their task as hashes, those in a row with one anchor as a cell.  Inside a
+passage cells are equal whole; only where an anchor has unlike cells, at the
+ends of passages, are these compared run by run.  A run that another place has
+before it is part of a passage.  The union of such runs is exact, up to 64-bit
+hashes: each passage is as long as what is repeated, wherever it stands.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +45,11 @@ SHINGLE, SIMILAR, WORDS = 5, 0.8, 50
 RECALL = 0.995
 #: Paragraphs of a tile's side; a task compares two sides at most.
 CHUNK = 1024
+#: Runs of words in one cell.
+RUNS = 4096
+#: Base of the runs' hashes and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 #: Word hashes that a task remembers.
 REMEMBERED = 300_000
 U = np.uint64
@@ -65,10 +81,40 @@ class Hashes(dict):
         return out
 
 
+def _sliding(op: np.ufunc, a: np.ndarray, size: int) -> np.ndarray:
+    """``op`` over every ``size`` neighbours."""
+    n = 1
+    while 2 * n <= size:
+        a = op(a[:-n], a[n:])
+        n *= 2
+    return op(a[:len(a) - (size - n)], a[size - n:])
+
+
+def word_runs(h: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of documents with so many words each → starts of the runs of
+    ``words`` words, their hashes and anchors, and every anchor once a place."""
+    words = max(words, 1)
+    short = (words + 1) // 2
+    n, none = len(h), np.zeros(0, U)
+    if n < words:
+        return np.zeros(0, np.int64), none, none, none
+    power, back = (np.cumprod(np.concatenate((np.ones(1, U), np.full(n - 1, U(b))))) for b in (BASE, INVERSE))
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(h * power)))
+    grams, whole = (_mix((sums[k:] - sums[:-k]) * back[:n - k + 1]) for k in (short, words))
+    many = words - short + 1
+    least = _sliding(np.minimum, grams, many)
+    inside = np.arange(words, n + 1) <= np.repeat(np.cumsum(sizes), sizes)[:n - words + 1]
+    pad = np.zeros(many - 1, U)
+    chosen = _sliding(np.maximum, np.concatenate((pad, np.where(inside, least, U(0)), pad)), many) == grams
+    at = np.flatnonzero(inside)
+    return at, whole[at], least[at], grams[chosen]
+
+
 class Lines:
     """The paragraphs with a word of a batch of documents: ``doc`` (place in
     the batch), ``line``, ``nth`` (number among the document's paragraphs),
-    ``words``, ``shingles`` (hashes, flat) with ``starts``."""
+    ``words``, ``shingles`` (hashes, flat) with ``starts``; ``hashes`` of all
+    words, ``total`` words of each document."""
 
     def __init__(self, texts: list[bytes], known: Hashes, shingle: int = SHINGLE) -> None:
         doc, line, nth, sizes, hashes = [], [], [], [], []
@@ -87,7 +133,8 @@ class Lines:
                     hashes += map(known.__getitem__, words)
         self.doc, self.line, self.words = np.array(doc, np.int64), np.array(line, np.int64), np.array(sizes, np.int64)
         self.nth = np.array(nth, np.int64)
-        h = np.array(hashes, U)
+        h = self.hashes = np.array(hashes, U)
+        self.total = np.bincount(self.doc, self.words, len(texts)).astype(np.int64)
         ends = np.cumsum(self.words)
         first = ends - self.words
         count = np.maximum(self.words - shingle + 1, 1)
@@ -179,16 +226,21 @@ def _tiles(similar: float):
 ROWS = "row long, doc_id long, size long, line int, nth int, words int, h long, bands array<long>, set binary"
 
 
-def _candidates(data: DataFrame, number: int, rows: int, shingle: int) -> DataFrame:
-    """Every document (a row with line -1) and its paragraphs that may repeat."""
+def _candidates(data: DataFrame, number: int, rows: int, shingle: int, run: int) -> DataFrame:
+    """Every document (a row with line -1), its paragraphs that may repeat, and
+    its cells that may (rows with line -2: the place of the first word in
+    ``words``, the anchor in ``h``, the hashes of the runs in ``bands``)."""
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         for pdf in batches:
-            yield pd.DataFrame({"h": Lines(pdf["data"].tolist(), known, shingle).bands(number, rows).ravel().view(np.int64)})
+            lines = Lines(pdf["data"].tolist(), known, shingle)
+            anchors = word_runs(lines.hashes, lines.total, run)[3]
+            yield pd.DataFrame({"h": np.concatenate((lines.bands(number, rows).ravel(), anchors)).view(np.int64)})
 
     breaks = F.length("data") - F.octet_length(F.translate(F.col("data").cast("string"), "\n", "")) + 1
-    total = data.agg(F.sum(breaks)).first()[0] or 0
-    twice = repeated_bits(data.select("data").mapInPandas(hashed, "h long"), filter_size(total * number))
+    total, size = (x or 0 for x in data.agg(F.sum(breaks), F.sum(F.length("data"))).first())
+    places = 4 * size // (6 * (run + 4))  # an anchor in about a quarter of a run's words, words of some six bytes
+    twice = repeated_bits(data.select("data").mapInPandas(hashed, "h long"), filter_size(total * number + places))
     shared = data.sparkSession.sparkContext.broadcast(twice)
 
     def picked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,6 +258,22 @@ def _candidates(data: DataFrame, number: int, rows: int, shingle: int) -> DataFr
                 k = own[s:s + 2000]
                 yield pd.DataFrame({"row": row[lines.doc[k]], "doc_id": ids.iloc[lines.doc[k]].to_numpy(), "size": 0, "line": lines.line[k], "nth": lines.nth[k], "words": lines.words[k],
                                     "h": texts[k], "bands": [found[i][hit[i]].view(np.int64) for i in k], "set": [lines.set_of(i) for i in k]})
+            at_word, whole, least, _ = word_runs(lines.hashes, lines.total, run)
+            own = np.flatnonzero(set_in(shared.value, least.view(np.int64)))
+            if not len(own):
+                continue
+            at_word, whole, least = at_word[own], whole[own].view(np.int64), least[own].view(np.int64)
+            begin = np.cumsum(lines.total) - lines.total
+            of = np.searchsorted(begin, at_word, "right") - 1
+            new = np.concatenate(([True], (np.diff(at_word) != 1) | (np.diff(of) != 0) | (least[1:] != least[:-1])))
+            nth = np.arange(len(own))
+            new |= (nth - np.maximum.accumulate(np.where(new, nth, 0))) % RUNS == 0
+            cuts = np.append(np.flatnonzero(new), len(own))
+            for s in range(0, len(cuts) - 1, 5000):
+                k = cuts[s:s + 5001]
+                d = of[k[:-1]]
+                yield pd.DataFrame({"row": row[d], "doc_id": ids.iloc[d].to_numpy(), "size": 0, "line": -2, "nth": 0, "words": at_word[k[:-1]] - begin[d],
+                                    "h": least[k[:-1]], "bands": [whole[a:b] for a, b in zip(k, k[1:])], "set": None})
 
     return stored(data.mapInPandas(picked, ROWS), "paragraphs")
 
@@ -223,13 +291,54 @@ def _classes(marked: DataFrame, similar: float, chunk: int) -> DataFrame:
     return components(tiles.select("v", "i", "j", "h", "set").mapInPandas(_tiles(similar), "a long, b long"))
 
 
+def _word_passages(marked: DataFrame, words: int) -> DataFrame:
+    """By row of documents that have any: passages, passage_words, passage_docs."""
+    cells = marked.where("line = -2").select("row", "doc_id", F.col("words").alias("i"), F.col("h").alias("v"), "bands",
+                                             F.size("bands").alias("m"), F.xxhash64("bands").alias("c"))
+    narrow = cells.select("row", "doc_id", "i", "v", "c", "m", (F.size(F.array_distinct("bands")) < F.col("m")).alias("odd"))
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "i")
+    kinds = stored(narrow.groupBy("v", "c").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n"), F.max("odd").alias("odd"))
+                   .select("v", "c", "n", "odd", F.col("f.doc_id").alias("from"), F.col("f.row").alias("first_row"), F.col("f.i").alias("first_i")), "cells")
+    # the first cell of each kind, run by run, where an anchor has unlike ones or a cell repeats a run
+    mixed = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.max("odd").alias("o")).where("k > 1 or o").select("v")
+    heads = stored(kinds.join(mixed, "v").select("v", "c", F.col("first_row").alias("row"), F.col("first_i").alias("i")), "heads")
+    runs = cells.select("row", "doc_id", "i", "bands").join(heads, ["row", "i"]) \
+        .select("row", "doc_id", "v", "c", "i", F.posexplode("bands").alias("k", "w")).withColumn("i", F.col("i") + F.col("k"))
+    runs = stored(runs.select("row", "doc_id", "v", "c", "i", "w"), "word_runs")
+    firsts = stored(runs.groupBy("w").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                    .select("w", F.col("f.doc_id").alias("from"), F.col("f.row").alias("first_row"), F.col("f.i").alias("first_i")), "first_runs")
+    seen = stored(runs.join(firsts, "w", "left"), "seen_runs")
+    own = F.when(F.col("first_row").isNull(), F.col("doc_id")).otherwise(F.col("from"))
+    sources = seen.groupBy("v", "c").agg(F.collect_set(own).alias("froms"))
+    again = seen.where("row != first_row or i != first_i").select("row", F.col("i").alias("a"), F.col("i").alias("b"), F.array("from").alias("froms"))
+    # the other cells of a kind stand before as a whole
+    others = narrow.join(kinds.where("n > 1").drop("odd"), ["v", "c"]).where("row != first_row or i != first_i")
+    others = others.join(sources, ["v", "c"], "left").select(
+        "row", F.col("i").alias("a"), (F.col("i") + F.col("m") - 1).alias("b"), F.coalesce("froms", F.array("from")).alias("froms"))
+    # within a document, as the runs of lines
+    w = Window.partitionBy("row").orderBy("a")
+    new = F.coalesce(F.col("a") > F.lag("b").over(w) + words, F.lit(True))
+    met = again.unionAll(others).withColumn("run", F.sum(new.cast("int")).over(w)).groupBy("row", "run").agg(
+        F.min("a").alias("first"), (F.max("b") + words - 1).alias("last"),
+        F.array_compact(F.array_distinct(F.flatten(F.collect_set("froms")))).alias("froms"))
+    return stored(met.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("passages"), F.sum(F.col("last") - F.col("first") + 1).alias("passage_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("froms")))).alias("passage_docs")), "word_passages")
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR,
              words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, lines, repeated_lines, removed_lines,
     removed_words, spans (array of struct first, last: the runs of lines,
     counted from 0, that are removed), first_docs (sorted ids of the documents
     that have the removed lines first), component_id (the smallest id among
-    documents that share removed passages with it, its own included).
+    documents that share removed passages with it, its own included), passages
+    (array of struct first, last: the longest runs of words, counted from 0
+    over the whole document, all of whose runs of ``words`` words stand before,
+    in an earlier document or in this one, in any case and with any blanks),
+    passage_words, passage_docs (sorted ids of the documents that have these
+    runs first).  Removed lines are whole ones, alike or equal; passages are
+    equal words within lines or across them.
 
     Null texts count as empty: one line without words.  Lines without words are
     part of a run but neither begin nor end one.  Null ids come last in the
@@ -239,7 +348,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     prepare(docs.sparkSession)
     number, rows = bands(similar)
     data = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_bytes(docs[text]).alias("data"))
-    marked = _candidates(data, number, rows, shingle)
+    words = max(words, 1)
+    marked = _candidates(data, number, rows, shingle, words)
     labels = stored(_classes(marked, similar, chunk), "classes")
     some = marked.where("line >= 0").select("row", "doc_id", "line", "nth", "words", "h")
     named = some.join(labels, F.col("h") == F.col("node"), "left").select("row", "doc_id", "line", "nth", "words", F.coalesce("label", "h").alias("c"))
@@ -260,21 +370,51 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
         F.sum(F.when(long, F.col("words")).otherwise(0)).alias("removed_words"),
         F.array_sort(F.collect_list(F.when(long, F.struct("first", "last")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(long, F.col("froms")))))).alias("first_docs")), "runs")
-    each = marked.where("line = -1").select("row", "doc_id", F.col("size").alias("lines")).join(out, "row", "left")
-    links = each.select(F.col("doc_id").alias("a"), F.explode("first_docs").alias("b"))
+    each = marked.where("line = -1").select("row", "doc_id", F.col("size").alias("lines")).join(out, "row", "left") \
+        .join(_word_passages(marked, words), "row", "left")
+    each = stored(each, "each")
+    links = each.select(F.col("doc_id").alias("a"), F.explode("first_docs").alias("b")) \
+        .unionAll(each.select("doc_id", F.explode("passage_docs")))
     joined = stored(components(links), "documents")
     spans = F.array().cast("array<struct<first:int,last:int>>")
     return each.join(joined, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "lines", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("repeated_lines", "removed_lines", "removed_words")],
         F.coalesce("spans", spans).alias("spans"), F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"),
-        F.coalesce("label", "doc_id").alias("component_id"))
+        F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("passages", spans).alias("passages"),
+        F.coalesce("passage_words", F.lit(0)).cast("long").alias("passage_words"),
+        F.coalesce("passage_docs", F.array().cast("array<bigint>")).alias("passage_docs"))
 
 
-def without_passages(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def without_passages(docs: DataFrame, found: DataFrame | None = None, words: bool = False) -> DataFrame:
     """The documents without the passages that others have before them, with
-    the columns of ``docs``; a document's other lines stay.  Ids are taken to be
-    unique."""
-    found = stored((found or repeated(docs)).where("removed_lines > 0").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), "cut")
+    the columns of ``docs``; a document's other lines stay.  With ``words`` the
+    words of passages within lines or across them go too, each with the blanks
+    after it but for line ends.  Ids are taken to be unique."""
+    found = repeated(docs) if found is None else found
+    found = stored(found.where("removed_lines > 0" + " or passage_words > 0" * words)
+                   .select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("passages").alias("_passages")), "cut")
     rows = F.filter(F.split("text", "\n", -1), lambda x, k: ~F.exists("_spans", lambda s: (s["first"] <= k) & (k <= s["last"])))
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.Series:
+        return pd.Series([_rest(*x) for x in zip(texts, spans, passages)], dtype=object)
+
+    left = rest("text", "_spans", "_passages") if words else F.array_join(rows, "\n")
     return docs.join(found, F.col("doc_id") == F.col("_id"), "left").withColumn(
-        "text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.array_join(rows, "\n"))).select(*docs.columns)
+        "text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+
+
+def _rest(text: str | None, spans, passages) -> str | None:
+    """A text without lines and without words."""
+    if text is None or spans is None:
+        return text
+    gone = {k for s in spans for k in range(s["first"], s["last"] + 1)}
+    cut = {k for s in passages for k in range(s["first"], s["last"] + 1)}
+    out, n = [], 0
+    for k, line in enumerate(text.split("\n")):
+        parts = re.split("([^ \t\x0b\x0c\r]+)", line)  # blanks, word, blanks, ...
+        kept = parts[0] + "".join(a + b for j, (a, b) in enumerate(zip(parts[1::2], parts[2::2])) if n + j not in cut)
+        n += len(parts) // 2
+        if k not in gone and (kept or not line):  # a line that was nothing but the passage goes with it
+            out.append(kept)
+    return "\n".join(out)

@@ -167,3 +167,43 @@ def test_passages_over_blank_lines(spark):
     got = {r.doc_id: (r.repeated_lines, r.removed_lines, r.removed_words, [tuple(s) for s in r.spans], r.first_docs) for r in passages.repeated(one).collect()}
     assert got == {1: (0, 0, 0, [], []), 2: (3, 7, 120, [(1, 7)], [1]), 3: (2, 0, 0, [], [])}
     assert {r.doc_id: r.text for r in passages.without_passages(one).collect()} == {1: rows[0][1], 2: "own words\n\nend", 3: rows[2][1]}
+
+
+def plain_word_passages(rows, words=50):
+    """Words whose run of that length stands before, by brute force."""
+    seen, out = {}, {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        again, froms = set(), set()
+        for i in range(len(w) - words + 1):
+            first = seen.setdefault(tuple(w[i:i + words]), (d, i))
+            if first != (d, i):
+                again |= set(range(i, i + words))
+                froms.add(first[0])
+        at = sorted(again)
+        starts, ends = [k for k in at if k - 1 not in again], [k for k in at if k + 1 not in again]
+        out[d] = (list(zip(starts, ends)), len(at), sorted(froms))
+    return out
+
+
+def test_passages_within_lines(spark, docs, rows):
+    import random
+
+    rnd = random.Random(4)
+    own = lambda n: " ".join(f"u{rnd.random()}" for _ in range(n))
+    part, short = own(50), own(49)
+    w = part.split()
+    more = [(5001, f"{own(300)} {part} {own(9)}"), (5002, f"{own(7)} {part.upper()} {own(200)}"), (5003, f"{own(80)}\n{own(3)} " + " ".join(w[:20]) + "\n\n" + " ".join(w[20:]) + f" {own(4)}"),
+            (5004, f"{own(30)} {short} {own(30)}"), (5005, f"{own(8)} {short} {own(8)}"), (5006, own(60) + " a b" * 40), (5007, part)]
+    data = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0]) + more
+    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    found = passages.repeated(one).cache()
+    want = plain_word_passages(data)
+    got = {r.doc_id: ([tuple(s) for s in r.passages], r.passage_words, r.passage_docs) for r in found.collect()}
+    assert got == want
+    assert want[5002] == ([(7, 56)], 50, [5001]) and want[5003] == ([(83, 132)], 50, [5001]) and want[5005][1] == 0 and want[5006][1] == 78
+    assert {r.doc_id: r.component_id for r in found.collect() if r.doc_id > 5000} == {5001: 5001, 5002: 5001, 5003: 5001, 5004: 5004, 5005: 5005, 5006: 5006, 5007: 5001}
+    cut = {r.doc_id: r.text for r in passages.without_passages(one, found, words=True).collect()}
+    texts = dict(data)
+    left = lambda d: [x for x in texts[d].split() if x.lower() not in w]
+    assert cut[5001] == texts[5001] and all(cut[d].split() == left(d) for d in (5002, 5003, 5007))
