@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ctw, exactdedup, iblt, langid, mixing, passages, pieces, simhash, tokencount, warc
+from . import ctw, exactdedup, iblt, langid, mixing, passages, pieces, simhash, tokencount, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+#: The rules that op12 judges by.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -88,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
+    "op12_url_filters": op12_url_filters,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,4 +124,14 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
     FOR i IN range(32)], '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f""",
+    "op12_url_filters": r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT row_number() OVER () AS n, page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM p),
+r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT any_value(page_id) AS page_id, any_value(host) AS host, any_value(u.path) AS path,
+  max_by(h || p, length(h || p)) AS rule, coalesce(max_by(v, length(h || p)), 'allow') AS verdict
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(u.path, p) GROUP BY n""",
 }
