@@ -148,6 +148,9 @@ ZONE_OFFSETS_HHMM = {
 # Items per prompt.  The original packs everything into one prompt; here a
 # prompt is bounded so no group grows with the corpus.
 PROMPT_BATCH_ITEMS = 50
+# Replies merged by one prompt, and prompts whose answers a task commits at once.
+MERGE_FAN_IN = 10
+PROMPTS_PER_COMMIT = 64
 
 # Registry validation messages (slots: name, url, first owner, value repr).
 MSG_BLANK_NAME = "Newsletter name must be a non-empty string: {name_repr}"

@@ -83,3 +83,6 @@ SCORED = T.StructType([
     T.StructField("attempt", T.IntegerType()),
     T.StructField("model", S),
 ])
+
+# Ledger of answers (E4): SCORED keyed by the hash of what was asked.
+LEDGER = T.StructType([T.StructField("key", S)] + SCORED.fields[1:])
