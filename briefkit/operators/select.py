@@ -43,9 +43,9 @@ def message_predicate(as_of: dt.date | dt.datetime | None = None, days: int | No
 
 
 def select_messages(df: DataFrame, **kw) -> DataFrame:
+    """One filter; Catalyst pushes its scan-level parts into the reader."""
     if kw.get("date_col") is None:
         kw.pop("date_col", None)
-    """One filter; Catalyst pushes its scan-level parts into the reader."""
     return df.where(message_predicate(**kw))
 
 
@@ -57,10 +57,14 @@ def cost_cutoff(as_of: dt.datetime, days: int | None) -> str | None:
 
 
 def cost_lookback(log: DataFrame, as_of: dt.datetime, days: int | None) -> DataFrame:
-    """Lexicographic ``timestamp >= cutoff``; a missing timestamp is ''."""
+    """Lexicographic ``timestamp >= cutoff``; a missing timestamp is ''.
+    A log with a ``day`` partition (the day its time starts with, NULL if it
+    starts with none) is read from the cutoff's day on."""
     cutoff = cost_cutoff(as_of, days)
     if cutoff is None:
         return log
+    if "day" in log.columns:
+        log = log.where((F.col("day") >= F.lit(dt.date.fromisoformat(cutoff[:10]))) | F.col("day").isNull())
     return log.where(F.coalesce(F.col("timestamp"), F.lit("")) >= F.lit(cutoff))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.parse import parse_messages
+from .jsonarray import read_json_arrays
 
 
 def read_message_resources(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -24,10 +25,12 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
 
 
 def read_records_json(spark: SparkSession, path: str) -> DataFrame:
-    """A2: a JSON array (or JSON Lines) of records; missing keys are NULL.
-    List order becomes ``ord`` only when the file carries it; records without
-    one count as last (F1)."""
-    return spark.read.schema(schemas.RECORD).option("multiLine", True).json(path)
+    """A2: JSON arrays (or JSON Lines) of records; missing keys are NULL.  A
+    file is read by several tasks.  ``ord`` is the file's own where it has one,
+    else file by file the place in the list; text that does not parse is in
+    ``_corrupt_record``."""
+    r = read_json_arrays(spark, path, schemas.RECORD, place="_place")
+    return r.withColumn("ord", F.coalesce("ord", "_place")).drop("_place")
 
 
 def records_from_json_text(spark: SparkSession, text: str) -> DataFrame:
