@@ -8,20 +8,25 @@ Computed columns carry the same names as in ``plans.oracle``.
 from __future__ import annotations
 
 import datetime as dt
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import clean_body, strip_css, strip_elements
-from ..functions.responses import topic_titles
+from ..functions.markdown import clean_markdown
+from .. import config as cfg
+from ..functions.responses import topic_titles, topics
 from ..functions.text import (email_domain, is_breaking, normalize, registry_key, sender_email, sender_name,
                               short_sender)
 from ..functions.urls import drop_tracking, extract_urls, homepage_from_body
-from ..operators import costs, prompts, quality, review, scoring, sites, stats
+from ..operators import costs, digest, prompts, quality, review, scoring, sites, stats
 from ..operators.parse import parse_messages
 from ..operators.select import cost_lookback, select_messages
+from ..session import scratch_path
 from ..sources import tables as T
-from ..sources.messages import to_message_resources
+from ..sources.costlog import append_cost_rows, compact_cost_log, good_rows, read_cost_log
+from ..sources.messages import read_records_json, to_message_resources
 from . import report as R
 
 # Run parameters (the clock is a parameter, never read inside operators).
@@ -123,6 +128,12 @@ def clean_html(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", clean_body(F.col("html")).alias("cleaned"))
 
 
+def clean_markup(spark: SparkSession, sf: str) -> DataFrame:
+    """Structured cleaning of nested lists, marks, quotes, tables, references
+    and unclosed scripts."""
+    return T.markup(spark, sf).select("doc_id", clean_markdown(F.col("html")).alias("cleaned"))
+
+
 def css_strip(spark: SparkSession, sf: str) -> DataFrame:
     p = T.spread(T.read_table(spark, sf, "pages"), "page_id")
     return p.select("page_id", strip_css(strip_elements(F.col("html"))).alias("stripped"))
@@ -145,6 +156,29 @@ def cost_shares(spark: SparkSession, sf: str) -> DataFrame:
                                                        "pct_tokens", "cost_per_1k")])
 
 
+def cost_log_appends(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 + F12: the log's rows appended in four commits, the second of them
+    compacted with the first; groups in the order of their first append."""
+    log, root = T.cost_log(spark, sf), scratch_path(spark, "cost-log")
+    for k in range(4):
+        append_cost_rows(log.where(F.col("ord") % 4 == 3 - k), root, order="ord")
+        if k == 1:
+            compact_cost_log(spark, root)
+    g = costs.cost_rollup(good_rows(read_cost_log(spark, root)), RUN_TS, COST_DAYS)
+    place = F.row_number().over(Window.partitionBy("level").orderBy("first_ord"))
+    return g.select("level", "key", "runs", "tokens", place.cast("bigint").alias("place"))
+
+
+def json_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: files that each hold one JSON array, read by ranges; the place of a
+    record in its array becomes its order."""
+    path = scratch_path(spark, "json-arrays")
+    T.write_json_arrays(T.chat_records(spark, sf), path)
+    r = read_records_json(spark, path)
+    file_no, place = F.shiftright("ord", 40), F.col("ord").bitwiseAND((1 << 40) - 1)
+    return r.select(file_no.alias("file_no"), place.alias("place"), "subject", "sender", "date", F.md5("body").alias("body_md5"))
+
+
 def cost_lookback_q(spark: SparkSession, sf: str) -> DataFrame:
     return cost_lookback(T.cost_log(spark, sf), RUN_TS, DAYS).select("ord", "timestamp", "provider", "model")
 
@@ -264,6 +298,21 @@ def score_stub(spark: SparkSession, sf: str) -> DataFrame:
                     F.get(t, 0).alias("first_topic"))
 
 
+def report_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 + E3: one list of topics for each of two reports, of all messages
+    and of those with one label, merged from the replies to all batches."""
+    m = _with_labels(spark, sf)
+    packed = [prompts.pack_prompts(prompts.prompt_items(x)).select(F.lit(i).cast("long").alias("report_id"), "batch_id", "prompt")
+              for i, x in enumerate((m, select_messages(m, label=LABEL)))]
+    score = partial(scoring.score_once, model=MODEL, ledger=scratch_path(spark, "ledger"),
+                    client_factory=partial(scoring.TopicClient, cfg.DEFAULT_NUM_TOPICS))
+    replies = prompts.response_content(score(packed[0].unionByName(packed[1]))).select("report_id", "batch_id", "text")
+    final, _ = digest.one_reply(replies, score)
+    t = final.select("report_id", F.posexplode(topics(F.col("text"))).alias("pos", "t"))
+    mentions = F.regexp_extract("t.body", r"Mentions:\*\* (\d+)", 1).cast("bigint")
+    return t.select("report_id", F.col("pos").cast("bigint").alias("pos"), F.col("t.title").alias("title"), mentions.alias("mentions"))
+
+
 def report_sections(spark: SparkSession, sf: str) -> DataFrame:
     recs = T.records(spark, sf)
     analysis = prompts.response_content(_scored(spark, sf)).select("batch_id", "text")
@@ -282,7 +331,6 @@ def report_no_latest(spark: SparkSession, sf: str) -> DataFrame:
 def _stream_source(spark, sf, n_files=4):
     """Message resources derived from the tables, written as JSON files
     under the shared checkpoint folder (the stream's input)."""
-    from ..session import scratch_path
     src = scratch_path(spark, "stream-src")
     res = to_message_resources(T.messages(spark, sf))
     res.repartition(n_files, "id").write.json(src)
@@ -290,16 +338,14 @@ def _stream_source(spark, sf, n_files=4):
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    from ..session import scratch_path
     from ..streaming import pipelines as S
     src, sink, ck = _stream_source(spark, sf), scratch_path(spark, "s1-out"), scratch_path(spark, "s1-ckpt")
-    S.ingest_stream(spark, src, sink, ck, max_files_per_trigger=1).awaitTermination()
+    S.ingest_stream(spark, src, sink, ck, max_files_per_trigger=1, clean=clean_body).awaitTermination()
     return spark.read.parquet(sink).select("msg_id", "subject", "body_format", "decode_ok", "body_md5",
                                            F.md5("cleaned").alias("cleaned_md5"))
 
 
 def stream_cost(spark: SparkSession, sf: str) -> DataFrame:
-    from ..session import scratch_path
     from ..streaming import pipelines as S
     src, sink, ck = scratch_path(spark, "s2-src"), scratch_path(spark, "s2-out"), scratch_path(spark, "s2-ckpt")
     T.cost_log(spark, sf).drop("ord").repartitionByRange(4, "timestamp").write.json(src)
@@ -310,7 +356,6 @@ def stream_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_registry(spark: SparkSession, sf: str) -> DataFrame:
-    from ..session import scratch_path
     from ..streaming import pipelines as S
     src, root, ck = _stream_source(spark, sf), scratch_path(spark, "s3-reg"), scratch_path(spark, "s3-ckpt")
     initial = scratch_path(spark, "s3-initial")
@@ -332,10 +377,13 @@ QUERIES = {
     "select_by_address": select_by_address,
     "message_parse": message_parse,
     "clean_html": clean_html,
+    "clean_markup": clean_markup,
     "strip_css": css_strip,
     "cost_rollup": cost_rollup,
     "cost_shares": cost_shares,
     "cost_lookback": cost_lookback_q,
+    "cost_log_appends": cost_log_appends,
+    "json_records": json_records,
     "body_urls": body_urls,
     "homepage_pick": homepage_pick,
     "homepage_resolve": homepage_resolve,
@@ -354,6 +402,7 @@ QUERIES = {
     "usage_rows": usage_rows,
     "response_topics": response_topics,
     "score_stub": score_stub,
+    "report_topics": report_topics,
     "report_sections": report_sections,
     "report_no_latest": report_no_latest,
     "stream_ingest": stream_ingest,

@@ -259,6 +259,22 @@ def report_sql(front: bool, model_label: str | None, model_ts: str | None, lates
     return q
 
 
+def topic_rounds_sql(rounds: int = 8) -> str:
+    """The batches' counts of subjects, cut to the first topics, then summed
+    and cut again for each ten neighbours; a last batch stays as it is."""
+    top = f"QUALIFY row_number() OVER (PARTITION BY report_id, b ORDER BY k DESC, title) <= {cfg.DEFAULT_NUM_TOPICS}"
+    ctes = [O.MSGS, f"""r AS (SELECT 0 AS report_id, ord, subject FROM msgs
+            UNION ALL SELECT 1, ord, subject FROM msgs WHERE label = {O.q(C.LABEL)})""",
+            f"s AS (SELECT report_id, subject, (row_number() OVER (PARTITION BY report_id ORDER BY ord) - 1) // {B} AS b FROM r)",
+            f"""t0 AS (SELECT report_id, b, subject AS title, count(*) AS k FROM s
+            WHERE {O.strip('subject')} <> '' GROUP BY report_id, b, subject {top})"""]
+    ctes += [f"""t{i} AS (SELECT report_id, b, title, CAST(sum(n) AS BIGINT) AS k
+            FROM (SELECT report_id, b // {cfg.MERGE_FAN_IN} AS b, title, k AS n FROM t{i - 1}) GROUP BY report_id, b, title {top})"""
+             for i in range(1, rounds + 1)]
+    return _with(*ctes) + f"""SELECT CAST(report_id AS BIGINT) AS report_id,
+            row_number() OVER (PARTITION BY report_id ORDER BY k DESC, title) - 1 AS pos, title, k AS mentions FROM t{rounds}"""
+
+
 def provider_values() -> str:
     rows = ", ".join("(" + ", ".join(O.q(v) for v in r) + ")" for r in cfg.PROVIDER_MODELS)
     return f"pm AS (SELECT * FROM (VALUES {rows}) AS t(provider, routed_model, model_label, direct_model))"
@@ -313,6 +329,16 @@ def oracle_queries() -> dict[str, str]:
                    date, sender, recipient, md5(b) AS body_md5, length(b) AS body_chars, fmt AS body_format,
                    true AS decode_ok FROM x""",
         "clean_html": f"SELECT page_id, {O.clean_body('html')} AS cleaned FROM pages",
+        # the markdown that the adapter's markup stands for, built from the lines
+        "clean_markup": f"""WITH p AS (
+              SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), {NL}),
+                lambda x: trim(regexp_replace(regexp_replace(x, '[^a-z ]', '', 'g'), ' +', ' ', 'g'))), lambda x: x <> '') AS l FROM documents),
+            d AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE ['none'] END AS l FROM p)
+            SELECT doc_id, '## ' || l[1] || {NL} || {NL} || 'by **' || l[1] || '** and *' || l[-1] || '*' || {NL} || '1. ' || l[1] || {NL} || '   * '
+              || array_to_string(l, {NL} || '   * ') || {NL} || '2. **' || l[-1] || '**' || {NL} || {NL} || '> ' || l[1] || {NL} || '>' || {NL} || '> ' || l[-1]
+              || {NL} || {NL} || '| line | text |' || {NL} || '| --- | --- |' || {NL}
+              || array_to_string(list_transform(range(1, len(l) + 1), lambda i: '| ' || i || ' | ' || l[i] || ' |'), {NL})
+              || {NL} || {NL} || 'éé€… <b> &unknown;' AS cleaned FROM d""",
         "strip_css": f"SELECT page_id, {strip_css_sql('html')} AS stripped FROM pages",
         "cost_rollup": _with(*rollup_ctes()) + "SELECT level, key, runs, tokens, round(cost, 6) AS cost, first_ord FROM g",
         "cost_shares": _with(*rollup_ctes(), "t AS (SELECT * FROM g WHERE level = 'total')") + """
@@ -329,6 +355,18 @@ def oracle_queries() -> dict[str, str]:
             FROM g""",
         "cost_lookback": _with(COST_LOG) + f"""SELECT ord, timestamp, provider, model FROM c
             WHERE coalesce(timestamp, '') >= '{(C.RUN_TS - dt.timedelta(days=C.DAYS)).isoformat()}'""",
+        "cost_log_appends": _with(COST_LOG, f"""w AS (
+              SELECT coalesce(provider, 'unknown') AS provider, coalesce(model, 'unknown') AS model, coalesce(total_tokens, 0) AS tk,
+                     (3 - ord % 4) * 1000000000000 + ord AS p FROM c
+              WHERE coalesce(timestamp, '') >= '{(C.RUN_TS - dt.timedelta(days=C.COST_DAYS)).isoformat()}')""", """g AS (
+              SELECT 'total' AS level, NULL AS key, count(*) AS runs, CAST(sum(tk) AS BIGINT) AS tokens, min(p) AS p FROM w
+              UNION ALL SELECT 'provider', provider, count(*), CAST(sum(tk) AS BIGINT), min(p) FROM w GROUP BY provider
+              UNION ALL SELECT 'model', model, count(*), CAST(sum(tk) AS BIGINT), min(p) FROM w GROUP BY model)""") + """
+            SELECT level, key, runs, tokens, row_number() OVER (PARTITION BY level ORDER BY p) AS place FROM g""",
+        "json_records": f"""
+            SELECT dense_rank() OVER (ORDER BY conv_id // 64) - 1 AS file_no, row_number() OVER (PARTITION BY conv_id // 64 ORDER BY conv_id, turn) - 1 AS place,
+                   '{{' || role AS subject, role || ' <a@b.c>' AS sender, CAST(conv_id AS VARCHAR) AS date,
+                   md5(text || CASE WHEN turn % 2 = 0 THEN {NL} || '"}}], {{\\" [' ELSE '}}\\\\' END) AS body_md5 FROM conversations""",
         "body_urls": _with(O.MSGS) + f"""
             SELECT ord, len(coalesce(regexp_extract_all(body, {url_rx}, 0), [])) AS n_urls,
                    array_to_string(list_filter(coalesce(regexp_extract_all(body, {url_rx}, 0), []),
@@ -403,6 +441,7 @@ def oracle_queries() -> dict[str, str]:
             SELECT batch_id, 'ok' AS status, 1 AS attempt, '{C.MODEL}' AS model,
                    len(regexp_extract_all(text, {title_rx}, 1)) AS n_topics,
                    regexp_extract_all(text, {title_rx}, 1)[1] AS first_topic FROM an""",
+        "report_topics": topic_rounds_sql(),
         "report_sections": report_sql(True, C.MODEL_LABEL, C.MODEL_TS, True),
         "stream_ingest": _with(O.MSGS, f"""x AS (
               SELECT *, CASE WHEN label IN ('view', 'click') THEN body

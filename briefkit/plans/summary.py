@@ -7,22 +7,27 @@
 * ``run_review``      — batch review of the registry (J1–J3, A6).
 
 They compose the operators and own the I/O; the operators stay pure.
-Scored responses are written once to the shared folder and read back, so
-the model is called exactly once per prompt whatever uses the replies.
+Prompts go through a ledger of answers, so the model is called once per
+prompt whatever uses the replies; with ``SummaryParams.ledger`` a run that
+failed goes on with the prompts still unanswered.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import partial, reduce
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as cfg
-from ..operators import costs, prompts, quality, review, scoring, sites, stats
+from ..functions.markdown import clean_markdown
+from ..functions.responses import topic_titles
+from ..operators import costs, digest, prompts, quality, review, scoring, sites, stats
 from ..operators.select import select_messages
 from ..session import scratch_path
+from ..session import stored as saved
 from ..sources.costlog import append_cost_rows, good_rows, read_cost_log
 from ..sources.messages import read_messages
 from ..sources.registry import read_registry, registry_entries, write_registry_version
@@ -43,6 +48,10 @@ class SummaryParams:
     include_latest: bool = True
     front_matter: bool = False
     batch_items: int = cfg.PROMPT_BATCH_ITEMS
+    fan_in: int = cfg.MERGE_FAN_IN        # replies merged by one prompt
+    system: str | None = None             # system message of every prompt
+    max_tokens: int | None = None         # output cap of every prompt
+    ledger: str | None = None             # folder of answers kept between runs
 
 
 def route(spark: SparkSession, provider: str, custom_model: str | None) -> dict:
@@ -77,23 +86,25 @@ def run_summary(spark: SparkSession, messages_path: str, out_dir: str, p: Summar
     if recs.limit(1).count() == 0:                       # B7: nothing to summarise
         return {"n_messages": 0, "n_quarantined": n_quarantined}
     r = route(spark, p.provider, p.custom_model)
-    packed = prompts.pack_prompts(prompts.prompt_items(recs, p.batch_items), p.num_topics)
+    packed = prompts.pack_prompts(prompts.prompt_items(recs, p.batch_items, clean=clean_markdown), p.num_topics)
+    score = partial(scoring.score_once, model=r["model"], ledger=p.ledger or scratch_path(spark, "ledger"), client_factory=client_factory,
+                    fallback_factory=fallback_factory, fallback_model=r["direct_model"], system=p.system, max_tokens=p.max_tokens)
+    first = saved(score(packed.select(F.lit(0).cast("long").alias("report_id"), "batch_id", "prompt")), "replies")
+    final, merges = digest.one_reply(prompts.response_content(first).select("report_id", "batch_id", "text"), score, p.num_topics, p.fan_in)
+    analysis = saved(final.select(F.col("report_id").alias("batch_id"), "text"), "analysis")
     scored_path = scratch_path(spark, "scored")
-    scoring.score_prompts(packed, r["model"], client_factory, fallback_factory, r["direct_model"]) \
-        .write.parquet(scored_path)
-    content = prompts.response_content(spark.read.parquet(scored_path))
+    reduce(DataFrame.unionByName, merges, first).write.parquet(scored_path)
 
-    usage = prompts.usage_rows(content.select("batch_id", "response", F.col("model"),
-                                              F.lit(r["log_provider"]).alias("log_provider")), p.run_ts)
-    append_cost_rows(usage.withColumnRenamed("log_provider", "provider"), cost_log_path)
-    n_topics = prompts.response_titles(content.select("batch_id", "text")).count()
+    usage = prompts.usage_rows(spark.read.parquet(scored_path).select("batch_id", "response", "model",
+                                                                      F.lit(r["log_provider"]).alias("log_provider")), p.run_ts)
+    append_cost_rows(usage.withColumnRenamed("log_provider", "provider"), cost_log_path, order="batch_id")
+    n_topics = analysis.select(F.explode(topic_titles(F.col("text")))).count()
 
     registry = read_registry(spark, registry_path or registry_root).drop("ord")
     cur = curated if curated is not None else sites.curated_sites(spark)
     rp = R.ReportParams(run_ts=p.run_ts, days=p.days, model_label=r["model_label"],
                         model_ts=p.run_ts.isoformat(), include_latest=p.include_latest, front_matter=p.front_matter)
-    rows = R.build_report(recs, content.select("batch_id", F.coalesce("text", F.lit("")).alias("text")),
-                          registry, cur, rp)
+    rows = R.build_report(recs, analysis, registry, cur, rp)
     name = R.report_file_name(recs, rp).first().file_name
     report_path = write_report(rows, f"{out_dir.rstrip('/')}/{name}")
 

@@ -12,12 +12,16 @@ joins, over whole tables:
 * ``registry``  — one site per page label, as the registry file holds it.
 * ``curated``   — sites served from a ``www.`` host, as a curated list.
 * ``site_rows`` — one registry row per page, for the data-quality rules.
+* ``markup``    — one HTML body per document that holds its lines in nested
+  lists, a quote, a table and marks, and ends in an unclosed script.
+* ``chat_records`` — one message record per conversation turn, with texts that
+  hold quotes, brackets and backslashes.
 * ``decisions`` — review decisions derived from the registry rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -171,3 +175,39 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     indent = F.when(F.col("lang") == "de", F.lit("  ")).otherwise(F.lit(""))
     return d.select("doc_id", F.concat(indent, F.lit("### "), F.col("doc_id").cast("string"), F.lit(". "),
                                        F.col("text")).alias("analysis"))
+
+
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, html): each document's lines (a-z and single spaces only; the
+    line ``none`` if there is none) as structured markup."""
+    plain = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[^a-z ]", ""), " +", " ")))
+    lines = F.filter(plain, lambda x: x != "")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("none"))).alias("lines"))
+    a, z = F.get("lines", 0), F.element_at("lines", -1)
+    rows = F.transform("lines", lambda x, i: F.concat(F.lit("<tr class=r><td>"), (i + 1).cast("string"), F.lit("<td align='left'>"), x, F.lit("</td></tr>")))
+    html = F.concat(
+        F.lit('<div class="body"><h2 id=t>'), a, F.lit("</h2><p>by <b>"), a, F.lit(" </b>and <em>"), z, F.lit("</em></p>"),
+        F.lit('<ol start="3"><li>'), a, F.lit("<UL><li>"), F.array_join("lines", "</li><li>"), F.lit("</UL><li><strong>"), z, F.lit("</strong></ol>"),
+        F.lit("<blockquote><p>"), a, F.lit("</p><p>"), z, F.lit("</p></blockquote>"),
+        F.lit("<table><tr><th>line</th><th>text</th></tr>"), F.array_join(rows, ""), F.lit("</table>"),
+        F.lit('<p>&#233;&eacute;&#x20AC;&hellip; &lt;b&gt; &unknown;</p><script>var t = "</p>'), a)
+    return d.select("doc_id", html.alias("html"))
+
+
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_no, place, subject, date, sender, body): 64 conversations a file."""
+    c = read_table(spark, sf_dir, "conversations")
+    body = F.concat(F.col("text"), F.when(F.col("turn") % 2 == 0, F.lit('\n"}], {\\" [')).otherwise(F.lit("}\\\\")))
+    return c.select(F.floor(F.col("conv_id") / 64).alias("file_no"), ((F.col("conv_id") % 64) * 1000 + F.col("turn")).alias("place"),
+                    F.concat(F.lit("{"), F.col("role")).alias("subject"), F.col("conv_id").cast("string").alias("date"),
+                    F.concat(F.col("role"), F.lit(" <a@b.c>")).alias("sender"), body.alias("body"))
+
+
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """One JSON array a file, of the rows of each ``file_no`` by ``place``."""
+    here = Window.partitionBy("file_no").orderBy("place")
+    text = F.to_json(F.struct(*[c for c in rows.columns if c not in ("file_no", "place")]))
+    first, last = F.row_number().over(here) == 1, F.lead("place").over(here).isNull()
+    lines = rows.select("file_no", "place", F.concat(F.when(first, "[").otherwise(""), text, F.when(last, "]").otherwise(",")).alias("line"))
+    named = lines.withColumn("file", F.lpad(F.col("file_no").cast("string"), 12, "0"))
+    named.repartition("file").sortWithinPartitions("file", "place").select("line", "file").write.partitionBy("file").text(path)

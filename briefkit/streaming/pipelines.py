@@ -14,13 +14,15 @@ idempotent per micro-batch (a replayed batch rewrites the same folder).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import config as cfg
 from .. import schemas
-from ..functions.html import clean_body
+from ..functions.markdown import clean_markdown
 from ..operators import sites, stats
 from ..operators.parse import parse_messages
 
@@ -40,7 +42,7 @@ def stream_records(spark: SparkSession, source_dir: str, max_files_per_trigger:
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                  max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, available_now: bool = True, clean: Callable[..., Column] = clean_markdown) -> StreamingQuery:
     """Parsed records with their cleaned text appended to Parquet,
     partitioned by the receipt date so a look-back (B1) on ``received_ts``
     prunes whole partitions.  The cleaned text is computed once here and
@@ -49,7 +51,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     m = stream_records(spark, source_dir, max_files_per_trigger)
     received = F.timestamp_millis("internalDate")
     out = m.select("msg_id", "ord", "labels", "subject", "date", "sender", "recipient", "body", "body_format",
-                   "decode_ok", F.md5("body").alias("body_md5"), clean_body(F.col("body")).alias("cleaned"),
+                   "decode_ok", F.md5("body").alias("body_md5"), clean(F.col("body")).alias("cleaned"),
                    received.alias("received_ts"), F.to_date(received).alias("received_date"))
     w = out.writeStream.format("parquet").partitionBy("received_date").option("path", sink_dir) \
            .option("checkpointLocation", checkpoint_dir)
