@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import config as cfg
 from ..functions.dates import with_parsed_date
 from ..functions.text import clean_subject, is_breaking, short_sender
-from ..session import scratch_path
+from ..session import stored
+from .bloom import may_hold
 from .sequence import global_rank
 
 
@@ -18,7 +19,7 @@ from .sequence import global_rank
 _LAST = (1 << 62) - 1
 
 
-def _keyed(records: DataFrame, *cols) -> DataFrame:
+def keyed(records: DataFrame, *cols) -> DataFrame:
     """Records with their place ``_o`` (NULL ``ord`` last) and, for records
     that share it, ``_t`` (hash of the message id, or of subject and date)."""
     tie = [c for c in ("msg_id",) if c in records.columns] or ["subject", "date"]
@@ -29,7 +30,7 @@ def source_counts(records: DataFrame) -> DataFrame:
     """(sender, issues, _o, _t): issues per raw sender string and the
     place of its first record.  Reads and shuffles narrow columns only; both
     aggregates combine map-side, so a hot sender is a row per task."""
-    per = _keyed(records).groupBy("sender", "_o").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_t"))
+    per = keyed(records).groupBy("sender", "_o").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_t"))
     return per.groupBy("sender").agg(F.sum("_n").alias("issues"), F.min("_o").alias("_first"), F.min_by("_t", "_o").alias("_t")) \
               .withColumnRenamed("_first", "_o")
 
@@ -44,15 +45,16 @@ def issues_per_source(records: DataFrame) -> DataFrame:
     """F1 + F2 + F4: ``ranked_sources`` with each sender's first record, one
     row per sender whatever records share or lack ``ord``.
 
-    The ranked table is written to the shared folder, so its real size decides
-    whether the one pass over the full records looks it up in memory
-    (``spark.sql.autoBroadcastJoinThreshold``) or joins by shuffle.
+    The ranked table is written to the shared folder.  The one pass over the
+    full records tests a Bloom filter of the first records' places, so about
+    one record a sender, with its body, meets the table; the table's real size
+    decides whether that is a lookup in memory
+    (``spark.sql.autoBroadcastJoinThreshold``) or a join by shuffle.
     """
-    spark = records.sparkSession
-    path = scratch_path(spark, "sources")
-    ranked_sources(records).write.parquet(path)
-    g = spark.read.parquet(path).withColumnsRenamed({"sender": "_s", "_o": "_go", "_t": "_gt"})
-    full = _keyed(records, F.struct("subject", "date", "body").alias("first"))
+    g = stored(ranked_sources(records), "sources")
+    chosen = may_hold(g, "sender", "_o", "_t")
+    g = g.withColumnsRenamed({"sender": "_s", "_o": "_go", "_t": "_gt"})
+    full = keyed(records, F.struct("subject", "date", "body").alias("first")).where(chosen)
     met = full.join(g, F.col("sender").eqNullSafe(F.col("_s")) & (F.col("_o") == F.col("_go")) & (F.col("_t") == F.col("_gt")))
     return met.groupBy("sender", "issues", "rank", "_o").agg(F.min_by("first", F.xxhash64("first")).alias("first")).select(
         "sender", F.when(F.col("_o") != _LAST, F.col("_o")).alias("first_ord"), "issues", "first", "rank")
