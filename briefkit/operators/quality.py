@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import config as cfg
 from ..functions.text import py_repr, py_strip
 from ..functions.urls import is_generic_url, is_tracking_url, is_valid_url
+from ..session import stored
 from .sequence import global_rank
 
 RULES = ["I1", "I2", "I3", "I4", "I5", "I6", "I7", "I8", "I9", "I10", "I11"]
@@ -120,6 +121,26 @@ def validation_rollup(errors: DataFrame, category: str = cfg.REGISTRY_CATEGORY)
         F.lit(category).alias("category"), (F.col("n_errors") == 0).alias("is_valid"), "n_errors")
 
 
+def validation_report(errors: DataFrame, categories: list[str]) -> DataFrame:
+    """F13 over several categories: one row per error in file order —
+    (category_no, category, is_valid, all_valid, n_errors, error_no, message) —
+    and one without an error for each category that is valid.
+
+    ``errors`` has category, ord, rule_seq, message.  The list of a category
+    stays rows, numbered across key ranges, so no category is gathered in one
+    task; the per-category counts are as many rows as there are categories."""
+    spark = errors.sparkSession
+    names = spark.createDataFrame([(i, c) for i, c in enumerate(categories)], "category_no int, category string")
+    e = errors.select("category", "ord", "rule_seq", "message").join(F.broadcast(names), "category")
+    ranked = stored(global_rank(e, [F.col("category_no"), F.col("ord"), F.col("rule_seq"), F.col("message")], "at", lead=[("category_no", True), ("ord", True)]), "errors")
+    counts = ranked.groupBy("category").agg(F.count(F.lit(1)).alias("n_errors"), F.min("at").alias("first"))
+    total = counts.select(F.coalesce(F.sum("n_errors"), F.lit(0))).scalar()
+    flags = names.join(F.broadcast(counts), "category", "left").select(
+        "category", "category_no", F.coalesce("n_errors", F.lit(0)).alias("n_errors"), "first", (total == 0).alias("all_valid"))
+    return flags.join(ranked.select("category", "at", "message"), "category", "left").select(
+        "category_no", "category", (F.col("n_errors") == 0).alias("is_valid"), "all_valid", "n_errors", (F.col("at") - F.col("first") + 1).alias("error_no"), "message")
+
+
 def validation_listing(errors: DataFrame, category: str = cfg.REGISTRY_CATEGORY) -> DataFrame:
     """Listing lines in file order; line 0 is the category heading."""
     title = category.replace("_", " ").title()
