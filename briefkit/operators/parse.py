@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as cfg
+from .. import schemas
+from ..functions.common import let
 
 
 def header(headers: Column, name: str, default: str) -> Column:
@@ -16,18 +18,18 @@ def header(headers: Column, name: str, default: str) -> Column:
 def b64url_text(data: Column) -> Column:
     """base64url → bytes → UTF-8 text; NULL when either step fails."""
     b = F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64"))
-    s = b.cast("string")
-    return F.when(F.is_valid_utf8(s), s)
+    return let(b.cast("string"), lambda s: F.when(F.is_valid_utf8(s), s))
 
 
 def _last_part(parts: Column, mime: str) -> Column:
     return F.try_element_at(F.filter(parts, lambda p: p["mimeType"] == mime), F.lit(-1))
 
 
-def parse_messages(msgs: DataFrame) -> DataFrame:
+def parse_messages(msgs: DataFrame, raw: bool = False) -> DataFrame:
     """C1–C5.  Output: id, labels, subject, date, sender, recipient, body,
     body_format, decode_ok (false when a line or a chosen part could not be decoded:
-    the original aborts the whole run there; the build flags the row)."""
+    the original aborts the whole run there; the build flags the row).  With
+    ``raw``, also what such a row came from: the line, or the message as JSON."""
     p = F.col("payload")
     parts = p["parts"]
     has_parts = parts.isNotNull()
@@ -42,7 +44,9 @@ def parse_messages(msgs: DataFrame) -> DataFrame:
     fmt = F.when(kind == "html", F.lit("html")).when(kind.isNotNull(), F.lit("plain"))
     text = b64url_text(data)
     hs = p["headers"]
-    whole = F.col("_corrupt_record").isNull() if "_corrupt_record" in msgs.columns else F.lit(True)
+    line = F.col("_corrupt_record") if "_corrupt_record" in msgs.columns else F.lit(None).cast("string")
+    whole = line.isNull()
+    more = [line.alias("raw_line"), F.when(whole & kind.isNotNull() & text.isNull(), F.to_json(F.struct(*schemas.MESSAGE.names))).alias("raw_message")] if raw else []
     return msgs.select(
         F.col("id").alias("msg_id"),
         F.coalesce(F.col("labelIds"), F.array().cast("array<string>")).alias("labels"),
@@ -54,4 +58,5 @@ def parse_messages(msgs: DataFrame) -> DataFrame:
         fmt.alias("body_format"),
         (whole & (kind.isNull() | text.isNotNull())).alias("decode_ok"),
         F.col("internalDate"),
+        *more,
     )

@@ -18,7 +18,7 @@ from . import commitlog
 from .jsonarray import read_json_arrays
 
 _COST_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.COST.fields)
-_STORED = f"{_COST_DDL}, pos long, seq long, batch string, day date"
+_STORED = f"{_COST_DDL}, pos long, seq long, day date"
 #: Places that one append may have: ``ord`` = number of the append * PLACES + place.
 PLACES = 1 << 40
 #: Appends after which the log is compacted.
@@ -42,15 +42,11 @@ def read_cost_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_commits(spark: SparkSession, root: str) -> DataFrame:
-    live = commitlog.commits(spark, root)
-    if not live:
-        return spark.createDataFrame([], f"ord long, {_COST_DDL}, _corrupt_record string, day date")
-    data = spark.read.schema(_STORED).option("basePath", f"{root.rstrip('/')}/data").parquet(*[commitlog.batch_path(root, c.batch) for c in live])
-    # the number of the append: kept in a compacted row, else that of its folder
-    number = F.create_map(*[F.lit(v) for c in live for v in (c.batch, c.seq)])
-    seq = F.coalesce("seq", F.element_at(number, F.col("batch")))
-    return data.select((seq * F.lit(PLACES) + F.col("pos")).alias("ord"), *[f.name for f in schemas.COST.fields],
-                       F.lit(None).cast("string").alias("_corrupt_record"), "day")
+    """``ord`` counts on from the number of the append, which a compacted row
+    keeps and any other has from its folder."""
+    seq = F.coalesce("seq", "_rank")
+    return commitlog.read(spark, root, _STORED).select(
+        (seq * F.lit(PLACES) + F.col("pos")).alias("ord"), *[f.name for f in schemas.COST.fields], F.lit(None).cast("string").alias("_corrupt_record"), "day")
 
 
 def good_rows(log: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ idempotent per micro-batch (a replayed batch rewrites the same folder).
 * S2 ``cost_stream``     — cost rows → daily windows per provider with a
   watermark for late rows; each micro-batch's updated windows are written
   to their own folder, and ``read_cost_windows`` keeps the newest value.
-* S3 ``registry_stream`` — per micro-batch homepage resolution (H3–H5)
-  merged into a new registry version folder.
+* S3 ``registry_stream`` — per micro-batch homepage resolution (H3–H5) of the
+  keys it touches, as deltas (``registry_state``).
+
+``deliveries`` has S1 with a quarantine and resent messages, and S2 by provider
+and model with the late rows kept.
 """
 
 from __future__ import annotations
@@ -23,21 +26,23 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import config as cfg
 from .. import schemas
 from ..functions.markdown import clean_markdown
-from ..operators import sites, stats
+from ..operators import sites
 from ..operators.parse import parse_messages
+from . import registry_state
 
 
 def _trigger(w, available_now: bool):
     return w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
 
 
-def stream_records(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_records(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None, raw: bool = False) -> DataFrame:
     """A1 + C1–C5 on a stream of exported message files.  ``ord`` is the
-    server receipt time (``internalDate``), the list order of a mailbox."""
+    server receipt time (``internalDate``), the list order of a mailbox;
+    ``raw`` as in ``parse_messages``."""
     r = spark.readStream.schema(schemas.MESSAGE_LINE)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    m = parse_messages(r.json(source_dir))
+    m = parse_messages(r.json(source_dir), raw)
     return m.withColumn("ord", F.col("internalDate"))
 
 
@@ -98,26 +103,22 @@ def read_cost_windows(spark: SparkSession, sink_dir: str) -> DataFrame:
 
 
 def registry_stream(spark: SparkSession, source_dir: str, registry_root: str, checkpoint_dir: str,
-                    curated: DataFrame | None = None, initial: str | None = None,
-                    available_now: bool = True) -> StreamingQuery:
-    """S3: for every micro-batch, resolve the batch's senders against the
-    newest registry version and write the merged registry as version k
-    (``registry_root/v=k``); a replayed batch rewrites the same version."""
-    m = stream_records(spark, source_dir)
+                    curated: DataFrame | None = None, initial: str | None = None, available_now: bool = True,
+                    max_files_per_trigger: int | None = None, compact_every: int = registry_state.COMPACT_EVERY) -> StreamingQuery:
+    """S3: every micro-batch updates the keys of its senders
+    (``registry_state``).  After any number of batches the registry is what
+    the batch operators give for all messages together."""
+    m = stream_records(spark, source_dir, max_files_per_trigger)
     cur = curated if curated is not None else sites.curated_sites(spark)
+    registry_state.start(spark, registry_root, spark.read.parquet(initial) if initial else None)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        prev = f"{registry_root}/v={batch_id - 1}" if batch_id > 0 else initial
-        old = spark.read.parquet(prev) if prev else None
-        src = stats.issues_per_source(batch.select("ord", "subject", "date", "sender", "body", "body_format"))
-        merged = sites.merge_registry(old, sites.resolve_homepages(src, old, cur))
-        merged.write.mode("overwrite").parquet(f"{registry_root}/v={batch_id}")
+        records = batch.select("ord", "subject", "date", "sender", "body", "body_format")
+        registry_state.upsert(spark, registry_root, records, cur, batch_id, compact_every)
 
     w = m.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_dir)
     return _trigger(w, available_now).start()
 
 
 def latest_registry(spark: SparkSession, registry_root: str) -> DataFrame:
-    d = spark.read.parquet(registry_root)
-    newest = d.select(F.max("v")).scalar()
-    return d.where(F.col("v") == newest).drop("v")
+    return registry_state.read_state(spark, registry_root)
