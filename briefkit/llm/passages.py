@@ -28,12 +28,12 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,7 +227,7 @@ ROWS = "row long, doc_id long, size long, line int, nth int, words int, h long,
 
 
 def _candidates(data: DataFrame, number: int, rows: int, shingle: int, run: int) -> DataFrame:
-    """Every document (a row with line -1), its paragraphs that may repeat, and
+    """Every document (a row with line -1, the text's hash in ``h``), its paragraphs that may repeat, and
     its cells that may (rows with line -2: the place of the first word in
     ``words``, the anchor in ``h``, the hashes of the runs in ``bands``)."""
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,13 +244,13 @@ def _candidates(data: DataFrame, number: int, rows: int, shingle: int, run: int)
     shared = data.sparkSession.sparkContext.broadcast(twice)
 
     def picked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, at = Hashes(), uuid.uuid4().int >> 65 & ~((1 << 36) - 1)
+        known, at = Hashes(), TaskContext.get().partitionId() << 33  # a task's rows have numbers of their own
         for pdf in batches:
             lines = Lines(pdf["data"].tolist(), known, shingle)
             ids = pdf["doc_id"].astype("Int64")
             row = np.arange(at, at + len(pdf))
             at += len(pdf)
-            yield pd.DataFrame({"row": row, "doc_id": ids, "size": lines.lines, "line": -1, "nth": 0, "words": 0, "h": 0, "bands": None, "set": None})
+            yield pd.DataFrame({"row": row, "doc_id": ids, "size": lines.lines, "line": -1, "nth": 0, "words": 0, "h": pdf["text_h"], "bands": None, "set": None})
             found = lines.bands(number, rows)
             hit = set_in(shared.value, found.ravel().view(np.int64)).reshape(found.shape)
             own, texts = np.flatnonzero(hit.any(axis=1)), lines.texts().view(np.int64)
@@ -338,16 +338,17 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     in an earlier document or in this one, in any case and with any blanks),
     passage_words, passage_docs (sorted ids of the documents that have these
     runs first).  Removed lines are whole ones, alike or equal; passages are
-    equal words within lines or across them.
+    equal words within lines or across them.  text_h is a hash of the text.
 
     Null texts count as empty: one line without words.  Lines without words are
     part of a run but neither begin nor end one.  Null ids come last in the
     order of documents; rows that repeat an id are documents like others, in
-    the order of an arbitrary number; an empty table gives no rows; other
-    columns are not read."""
+    the order of the table's partitions; an empty table gives no rows; other
+    columns are not read.  A very long text takes some tens of bytes a word in
+    one task."""
     prepare(docs.sparkSession)
     number, rows = bands(similar)
-    data = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_bytes(docs[text]).alias("data"))
+    data = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_bytes(docs[text]).alias("data")).withColumn("text_h", F.xxhash64("data"))
     words = max(words, 1)
     marked = _candidates(data, number, rows, shingle, words)
     labels = stored(_classes(marked, similar, chunk), "classes")
@@ -370,7 +371,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
         F.sum(F.when(long, F.col("words")).otherwise(0)).alias("removed_words"),
         F.array_sort(F.collect_list(F.when(long, F.struct("first", "last")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(long, F.col("froms")))))).alias("first_docs")), "runs")
-    each = marked.where("line = -1").select("row", "doc_id", F.col("size").alias("lines")).join(out, "row", "left") \
+    each = marked.where("line = -1").select("row", "doc_id", F.col("size").alias("lines"), F.col("h").alias("text_h")).join(out, "row", "left") \
         .join(_word_passages(marked, words), "row", "left")
     each = stored(each, "each")
     links = each.select(F.col("doc_id").alias("a"), F.explode("first_docs").alias("b")) \
@@ -382,17 +383,25 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
         F.coalesce("spans", spans).alias("spans"), F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"),
         F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("passages", spans).alias("passages"),
         F.coalesce("passage_words", F.lit(0)).cast("long").alias("passage_words"),
-        F.coalesce("passage_docs", F.array().cast("array<bigint>")).alias("passage_docs"))
+        F.coalesce("passage_docs", F.array().cast("array<bigint>")).alias("passage_docs"), "text_h")
 
 
 def without_passages(docs: DataFrame, found: DataFrame | None = None, words: bool = False) -> DataFrame:
     """The documents without the passages that others have before them, with
     the columns of ``docs``; a document's other lines stay.  With ``words`` the
     words of passages within lines or across them go too, each with the blanks
-    after it but for line ends.  Ids are taken to be unique."""
+    after it but for line ends.  Rows that repeat an id are told apart by their
+    text, and where they repeat that too by their number, as they are alike."""
     found = repeated(docs) if found is None else found
-    found = stored(found.where("removed_lines > 0" + " or passage_words > 0" * words)
-                   .select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("passages").alias("_passages")), "cut")
+    copy = Window.partitionBy("_id", "_h").orderBy("_gone")
+    gone = (F.col("removed_lines") + (F.col("passage_words") if words else F.lit(0))).alias("_gone")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_h").alias("_h"), F.col("spans").alias("_spans"), F.col("passages").alias("_passages"), gone)
+    found = stored(found.withColumn("_copy", F.row_number().over(copy)).where("_gone > 0"), "cut")
+    alike = Window.partitionBy("doc_id", "_text_h").orderBy(F.lit(0))
+    some = docs.withColumn("_text_h", F.xxhash64(text_bytes("text")))
+    touched = some.join(found.select("_id", "_h").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")), "left_semi")
+    others = some.join(found.select("_id", "_h").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")), "left_anti")
+    touched = touched.withColumn("_nth", F.row_number().over(alike))
     rows = F.filter(F.split("text", "\n", -1), lambda x, k: ~F.exists("_spans", lambda s: (s["first"] <= k) & (k <= s["last"])))
 
     @F.pandas_udf("string")
@@ -400,8 +409,9 @@ def without_passages(docs: DataFrame, found: DataFrame | None = None, words: boo
         return pd.Series([_rest(*x) for x in zip(texts, spans, passages)], dtype=object)
 
     left = rest("text", "_spans", "_passages") if words else F.array_join(rows, "\n")
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left").withColumn(
-        "text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")) & (F.col("_nth") == F.col("_copy"))
+    cut = touched.join(found, same, "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    return cut.select(*docs.columns).unionByName(others.select(*docs.columns))
 
 
 def _rest(text: str | None, spans, passages) -> str | None:
