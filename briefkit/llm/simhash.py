@@ -139,6 +139,20 @@ def close_links(fps: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) ->
                 .mapInPandas(_tiles(max_bits), "a long, b long")
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, max_bits: int) -> DataFrame:
+    """A row a document: doc_id, text_h (hash of the text), fp, label (of its
+    component), component_id."""
+    prepare(docs.sparkSession)
+    fps = stored(docs.select(docs[doc_id].cast("long").alias("doc_id"), fingerprints(docs, text, shingle).alias("fp"), F.xxhash64(docs[text]).alias("text_h")), "fps")
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    labels = components(close_links(distinct.select("fp"), max_bits))
+    label = F.coalesce(F.col("label"), F.col("fp")).alias("label")
+    named = stored(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "rep", label), "named")
+    least = stored(named.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
+    named = stored(named.join(least, "label").select("fp", "label", "component_id"), "component")
+    return fps.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
@@ -149,24 +163,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     document give a row each; null ids are kept, and never the smallest unless
     no other id is reached (then component_id is null); an empty table gives no
     rows; other columns are not read."""
-    spark = docs.sparkSession
-    prepare(spark)
-    fps = stored(docs.select(docs[doc_id].cast("long").alias("doc_id"), fingerprints(docs, text, shingle).alias("fp")), "fps")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    labels = components(close_links(distinct.select("fp"), max_bits))
-    label = F.coalesce(F.col("label"), F.col("fp")).alias("label")
-    named = stored(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "rep", label), "named")
-    least = stored(named.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
-    named = stored(named.join(least, "label").select("fp", "component_id"), "component")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(named, "fp").select("doc_id", hexed, "component_id")
+    return _grouped(docs, doc_id, text, shingle, max_bits).select("doc_id", hexed, "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents without near-duplicates: of each component the document
-    with the smallest id stays (documents without an id all stay; of rows that
-    repeat the smallest id, all do).  The columns are those of ``docs``."""
+    """The documents without near-duplicates, with the columns of ``docs``: of
+    each component the row with the smallest id stays, of several with that id
+    the one whose text has the smallest hash.
+
+    Rows are told apart by id and text, so an unlike text that shares an id
+    with a copy stays.  Rows that repeat both are one: all of them stay or go.
+    Documents without an id all stay."""
     docs, back = aside(docs)
-    found = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
-    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return back(docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti"))
+    found = stored(_grouped(docs, "doc_id", "text", shingle, max_bits).where("doc_id is not null").select("doc_id", "text_h", "label"), "grouped")
+    first = stored(found.groupBy("label").agg(F.min(F.struct("doc_id", "text_h")).alias("f")), "first")
+    gone = found.join(first, "label").where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("text_h") != F.col("f.text_h")))
+    gone = stored(gone.select(F.col("doc_id").alias("_gone"), F.col("text_h").alias("_h")).distinct(), "gone")
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    return back(own.join(gone.hint("merge"), (F.col("doc_id") == F.col("_gone")) & (F.col("_own") == F.col("_h")), "left_anti"))
