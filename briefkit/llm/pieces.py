@@ -245,10 +245,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK) -
     whole = F.coalesce(F.col(text), F.lit(""))
     is_long = F.length(whole) >= chunk
     few = docs.where(~is_long).withColumns({"ids": short(whole), "chunks": F.lit(1)})
-    many = docs.where(is_long).withColumn("_key", F.sha2(whole, 256))
-    texts = many.groupBy("_key").agg(F.first(whole).alias("text")).withColumnRenamed("_key", "key")
-    found = _giant(texts, shared, chunk)
-    long = many.join(found, many["_key"] == found["key"]).drop("_key", "key")
+    many = docs.where(is_long).withColumn("_pieces_key", F.sha2(whole, 256))
+    texts = many.groupBy("_pieces_key").agg(F.first(whole).alias("text")).withColumnRenamed("_pieces_key", "key")
+    found = _giant(texts, shared, chunk).withColumnRenamed("key", "_pieces_found")
+    long = many.join(found, many["_pieces_key"] == found["_pieces_found"])
     return few.unionByName(long.select(*few.columns))
 
 

@@ -207,3 +207,35 @@ def test_passages_within_lines(spark, docs, rows):
     texts = dict(data)
     left = lambda d: [x for x in texts[d].split() if x.lower() not in w]
     assert cut[5001] == texts[5001] and all(cut[d].split() == left(d) for d in (5002, 5003, 5007))
+
+
+def test_simhash_stage_decides_by_row(spark):
+    """An unlike text that shares an id with a near copy stays; of several
+    near copies with the smallest id one stays."""
+    a = " ".join(f"w{i % 37}" for i in range(400))
+    near, unlike = a + " w1", " ".join(f"x{i * i % 91}" for i in range(300))
+    assert (plain_simhash(a) ^ plain_simhash(near)).bit_count() <= 4 < (plain_simhash(a) ^ plain_simhash(unlike)).bit_count()
+    rows = [(1, a, "p"), (2, a, "q"), (2, unlike, "r"), (3, near, "s"), (None, a, "t"), (4, unlike, "u"), (1, near, "v")]
+    left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()
+    assert sorted(r.label for r in left if r.label not in "pv") == ["r", "t"]
+    assert sum(r.label in "pv" for r in left) == 1
+
+
+def test_passages_of_many_tasks_and_repeated_ids(spark):
+    """Rows are told apart whatever tasks they come from and ids they share."""
+    import random
+
+    rnd = random.Random(6)
+    own = lambda n: " ".join(f"u{rnd.random()}" for _ in range(n))
+    part = own(60)
+    rows = [(i % 40, own(70) if i % 3 else f"{own(5)}\n{part}\n{own(5)}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    found = passages.repeated(df).cache()
+    with_part = sum(part in t for _, t in rows)
+    assert found.count() == 120 and found.where("removed_words = 60").count() == with_part - 1
+    assert found.where("removed_words > 0").count() == with_part - 1   # no other row is reported
+    left = passages.without_passages(df, found).collect()
+    assert len(left) == 120 and sum(part in r.text for r in left) == 1
+    assert Counter(r.doc_id for r in left) == Counter(r[0] for r in rows)
+    alike = spark.createDataFrame([(1, part), (1, part), (1, part), (2, "own words")], "doc_id long, text string")
+    assert sorted(r.text for r in passages.without_passages(alike).collect()) == ["", "", "own words", part]

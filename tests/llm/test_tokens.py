@@ -233,3 +233,15 @@ def test_tree_is_a_distribution():
 def test_packing():
     x = np.array([0, 3, 3 << 40, (1 << 63) + 5], np.uint64)
     assert np.array_equal(ctw.unpack(ctw.pack(x, True), True), x) and np.array_equal(ctw.unpack(ctw.pack(x, False), False), x)
+
+
+def test_encoding_keeps_columns_with_its_own_names(spark):
+    """Columns that the operator uses itself, on short and giant texts."""
+    giant = "some words and more " * 60
+    rows = [(1, "short text", "a", 7, "k"), (2, giant, "b", 8, "l"), (3, giant, None, 9, "m"), (4, None, "d", 1, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, k int, _key string")
+    got = pieces.encode(df, PATH, chunk=200)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert got.columns == [*df.columns, "ids", "chunks"]
+    assert sorted((r.doc_id, r.text, r.key, r.k, r._key, list(r.ids)) for r in got.collect()) == [(*r, sp.encode(r[1] or "")) for r in rows]
+    assert got.where("doc_id = 2").first().chunks > 1
