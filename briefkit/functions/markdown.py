@@ -8,7 +8,8 @@ folded over a stack of open elements in higher-order functions, on the JVM:
   they are not closed; comments, ``meta``, ``link`` and all attributes go;
 * a closing tag closes what was opened inside its element, and is ignored when
   nothing of its kind is open; an ``li``, ``tr`` or ``td`` ends the one before
-  it; what is open at the end is closed;
+  it (so a closing tag right before one of these needs no step); what is open
+  at the end is closed;
 * ``ul`` items start with ``* ``, ``ol`` items with their number, indented to
   the text of the item around them; ``blockquote`` lines start with ``> ``;
 * ``b``/``strong`` become ``**``, ``i``/``em`` ``*``, ``code`` a backtick, with
@@ -46,140 +47,173 @@ KEPT_RX = rf"(?i)<(/?(?:{KEPT}))/?>"
 BREAK_RX = (r"(?i)</?(?:p|div|br|hr|thead|tbody|tfoot|article|section|header|footer|nav|main|aside|pre|title|head|body|html"
             r"|form|fieldset|figure|figcaption|address|dl|dt|dd|center)/?>|</h[1-6]>")
 OTHER_RX = rf"(?i)</?(?!(?:{KEPT})>)[a-z][a-z0-9:\-]*/?>|<[a-z/][^>]*\z"
+#: A closing tag right before a tag that closes the same element itself.
+IMPLIED_RX = r"(?i)</(?:t[dh]>(?=\s*<(?:t[dh]|/?tr|/table)>)|tr>(?=\s*<(?:tr|/table)>)|li>(?=\s*<(?:li|/[uo]l)>))"
 REFERENCE_RX = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|[^&]+|&"
 
-#: What has a line of its own; the others stand in the text.
-LINED = ("ul", "ol", "li", "blockquote", "table", "tr", "td")
-STATE = "struct<out:string,st:array<struct<tag:string,pre:string,n:int,close:string>>,pend:string>"
+#: One letter a tag; a closing tag has the capital one.
+LETTERS = {"ul": "u", "ol": "o", "li": "l", "blockquote": "q", "table": "t", "tr": "r", "td": "d", "th": "d", "b": "b", "strong": "b", "i": "i", "em": "i", "code": "c"}
+CODES = {f"<{tag}>": letter for tag, letter in LETTERS.items()} | {f"</{tag}>": letter.upper() for tag, letter in LETTERS.items()}
+#: The stack is a string with the innermost element first: u, o lists; 2 to 9
+#: items, by the width of their mark; q quote; t table, r row, d cell; b, i, c
+#: marks.  Capitals are the same without an effect of their own: Q in a cell,
+#: B, I, C inside one of their kind; R is a row with a rule to come below it.
+PLAIN = ("3456789QRBIC", "2222222qrbic")
+COUNTED = "otrR"     # with a counter each: items, rows, cells
+SPACE = " \t\r\n\x0b\x0c"
 
 
-def _has(st: Column, *tags: str) -> Column:
-    return F.exists(st, lambda e: e["tag"].isin(*tags))
+def _state(out: Column, st: Column, cnt: Column, pend: Column) -> Column:
+    return F.struct(out.alias("out"), st.alias("st"), cnt.alias("cnt"), pend.alias("pend"))
 
 
-def _last(st: Column, test) -> Column:
-    """Place from 1 of the innermost open element that fits, or 0."""
-    return F.coalesce(F.array_max(F.transform(st, lambda e, i: F.when(test(e), i + 1).otherwise(0))), F.lit(0))
+def _where(st: Column, letter: Column) -> Column:
+    """Place from 1 of the innermost element with that letter, or 0."""
+    return F.position(letter, st)
+
+
+def _counters(st: Column) -> Column:
+    return F.length(st) - F.length(F.translate(st, COUNTED, ""))
 
 
 def _prefix(st: Column) -> Column:
-    return F.array_join(F.transform(st, lambda e: e["pre"]), "")
+    """What each line starts with inside the open quotes and items."""
+    x = F.reverse(F.translate(st, "uotrdbicQRBIC", ""))
+    full = F.replace(x, F.lit("q"), F.lit("> "))
+    for width in range(2, 10):
+        full = F.replace(full, F.lit(str(width)), F.lit(" " * width))
+    return F.when(x == "", "").otherwise(full)
+
+
+def _line(st: Column) -> Column:
+    """A line break there: a space in a cell."""
+    return F.when(F.contains(st, F.lit("d")), " ").otherwise(F.concat(F.lit("\n"), _prefix(st)))
 
 
-def _closed(st: Column, keep: Column) -> Column:
-    """What the closing of all elements after the first ``keep`` adds: ends of
-    marks and cells, and the rule below a table's first row."""
-    rule = F.concat(F.lit("\n"), _prefix(st), F.lit("|"))
-    end = F.transform(F.slice(st, keep + 1, F.size(st) - keep),
-                      lambda e: F.when((e["tag"] == "tr") & (e["close"] == "first"), F.concat(rule, F.repeat(F.lit(" --- |"), e["n"]))).otherwise(e["close"]))
-    return F.array_join(F.reverse(F.transform(end, lambda c: F.when(c == "first", "").otherwise(c))), "")
+def _gap(st: Column) -> Column:
+    """The break around lists, quotes and tables: a line more outside items."""
+    item = F.translate(st, PLAIN[0], PLAIN[1]).contains("2")
+    return F.when(F.contains(st, F.lit("d")), " ").when(item, F.concat(F.lit("\n"), _prefix(st))).otherwise(F.concat(F.lit("\n\n"), _prefix(st)))
 
 
-def _element(tag: Column | str, pre: Column | str = "", close: Column | str = "") -> Column:
-    def col(x):
-        return F.lit(x) if isinstance(x, str) else x
-    return F.array(F.struct(col(tag).alias("tag"), col(pre).alias("pre"), F.lit(0).alias("n"), col(close).alias("close")))
+def _closed(st: Column, popped: Column, cnt: Column) -> Column:
+    """What the closing of the popped elements adds: ends of marks and cells,
+    and the rule below a table's first row."""
+    def ends(x: Column) -> Column:
+        for letter, end in (("b", B_OFF), ("i", I_OFF), ("c", "`"), ("d", " |")):
+            x = F.replace(x, F.lit(letter), F.lit(end))
+        cells = F.get(cnt, _counters(F.substring_index(popped, "R", 1)))
+        rule = F.concat(F.lit("\n"), _prefix(st), F.lit("|"), F.repeat(F.lit(" --- |"), cells))
+        return F.when(x.contains("R"), F.replace(x, F.lit("R"), rule)).otherwise(x)
+    return let(F.translate(popped, "uotrqQBIC23456789", ""), lambda x: F.when(x == "", "").otherwise(ends(x)))
 
 
-def _counted(st: Column, at: Column) -> Column:
-    """The stack with one more counted for the element at place ``at``."""
-    return F.transform(st, lambda e, i: F.struct(e["tag"].alias("tag"), e["pre"].alias("pre"),
-                                                 (e["n"] + F.when(i + 1 == at, 1).otherwise(0)).alias("n"), e["close"].alias("close")))
+def _raised(cnt: Column, at: Column) -> Column:
+    return F.transform(cnt, lambda n, i: n + F.when(i == at, 1).otherwise(0))
 
 
-def _state(out: Column, st: Column, pend: Column) -> Column:
-    return F.struct(out.alias("out"), st.alias("st"), pend.alias("pend"))
+def _pushed(cnt: Column) -> Column:
+    return F.concat(F.array(F.lit(0)), cnt)
 
 
 def _with_text(s: Column, pair: Column) -> Column:
     """The text before a tag: what is pending first, its lines behind the
     marks of the open blocks, in a cell on one line."""
-    name = pair["name"]
-    lead = F.when(s["pend"].isNotNull(), F.regexp_replace(pair["text"], r"^\s+", "")).otherwise(pair["text"])
-    text = F.when(name.isNull() | name.isin(*LINED), F.regexp_replace(lead, r"\s+\z", "")).otherwise(lead)
+    code = pair["code"]
+    lead = F.when(s["pend"].isNotNull(), F.ltrim(pair["text"], F.lit(SPACE))).otherwise(pair["text"])
+    text = F.when(code.isNull() | ~F.lower(code).isin("b", "i", "c"), F.rtrim(lead, F.lit(SPACE))).otherwise(lead)
 
     def add(t: Column) -> Column:
-        line = F.when(_has(s["st"], "td"), F.lit(" ")).otherwise(F.concat(F.lit("\n"), _prefix(s["st"])))
-        said = F.concat(s["out"], F.coalesce(s["pend"], F.lit("")), F.replace(t, F.lit("\n"), line))
-        return F.when(t == "", s).otherwise(_state(said, s["st"], F.lit(None).cast("string")))
-    return let(text, add)
+        body = F.when(t.contains("\n"), F.replace(t, F.lit("\n"), _line(s["st"]))).otherwise(t)
+        return F.when(t == "", s).otherwise(_state(F.concat(s["out"], F.coalesce(s["pend"], F.lit("")), body), s["st"], s["cnt"], F.lit(None).cast("string")))
+    return F.when(pair["text"] == "", s).otherwise(let(text, add))
+
+
+def _first_of(st: Column, own: str, wall: str) -> Column:
+    """Elements to close before an ``li``, ``tr`` or ``td``: up to the open one
+    of its kind, unless that is outside the list, table or row around."""
+    plain = F.translate(st, "3456789QRBICo", "2222222qrbicu")
+    return let(F.struct(F.instr(plain, own).alias("o"), F.instr(plain, wall).alias("w")),
+               lambda v: F.when((v["o"] > 0) & ((v["w"] == 0) | (v["o"] < v["w"])), v["o"]).otherwise(0))
 
 
 def _with_tag(s: Column, pair: Column) -> Column:
     """The stack after a tag, and what the tag adds."""
-    name, off, st = pair["name"], pair["off"], s["st"]
-    size = F.size(st)
-    own = _last(st, lambda e: e["tag"] == name)
-    wall = F.when(off, F.lit(0)).when(name == "li", _last(st, lambda e: e["tag"].isin("ul", "ol"))) \
-        .when(name == "tr", _last(st, lambda e: e["tag"] == "table")).otherwise(_last(st, lambda e: e["tag"] == "tr"))
-    cut = F.when((off | name.isin("li", "tr", "td")) & (own > wall), own - 1).otherwise(size)
+    code, st = pair["code"], s["st"]
+    kind = F.translate(F.lower(code), "l", "2")
+    off = code != F.lower(code)
+    nothing = F.lit(None).cast("string")
+    pops = F.when(off, _where(F.translate(st, *PLAIN), kind)) \
+        .when(code == "l", _first_of(st, "2", "u")).when(code == "r", _first_of(st, "r", "t")).when(code == "d", _first_of(st, "d", "r")).otherwise(0)
 
     def after(k: Column) -> Column:
-        def parted(v: Column) -> Column:
-            keep, out = v["keep"], v["out"]
-            cell, item, pre = _has(keep, "td"), _has(keep, "li"), _prefix(keep)
-            space = F.lit(" ")
-            line = F.when(cell, space).otherwise(F.concat(F.lit("\n"), pre))
-            gap = F.when(cell, space).when(item, F.concat(F.lit("\n"), pre)).otherwise(F.concat(F.lit("\n\n"), pre))
-            near = _last(keep, lambda e: e["tag"].isin("ul", "ol"))
-            numbered = F.get(keep, near - 1)
-            mark = F.when(numbered["tag"] == "ol", F.concat((numbered["n"] + 1).cast("string"), F.lit(". "))).otherwise("* ")
-            table = _last(keep, lambda e: e["tag"] == "table")
-            row = F.get(keep, table - 1)["n"]
-            said = F.coalesce(s["pend"], F.lit(""))
-
-            def mark_on(tag: str, on: str, end: str) -> Column:
-                again = _has(keep, tag)
-                return _state(F.concat(out, said, F.when(again, "").otherwise(on)),
-                              F.concat(keep, _element(tag, "", F.when(again, "").otherwise(end))), F.lit(None).cast("string"))
-
-            nothing = F.lit(None).cast("string")
-            closing = F.when(own == 0, s).otherwise(_state(out, keep, F.when(name.isin("ul", "ol", "blockquote", "table"), gap).when(name == "li", line)
-                                                           .when(name.isin("tr", "td"), "").otherwise(s["pend"])))
-            first = F.coalesce(row, F.lit(1)) == 0
-            return F.when(off, closing) \
-                .when(name.isin("ul", "ol"), _state(out, F.concat(keep, _element(name)), gap)) \
-                .when(name == "li", let(mark, lambda m: _state(F.concat(out, line, m), F.concat(
-                    _counted(keep, near), _element("li", F.repeat(F.lit(" "), F.length(m)))), F.lit("")))) \
-                .when(name == "blockquote", _state(out, F.concat(keep, _element("blockquote", F.when(cell, "").otherwise("> "))),
-                                                   F.concat(gap, F.when(cell, "").otherwise("> ")))) \
-                .when(name == "table", _state(out, F.concat(keep, _element("table")), gap)) \
-                .when(name == "tr", _state(F.concat(out, F.when(first & ~cell & ~item, "\n").otherwise(""), line, F.lit("|")), F.concat(
-                    _counted(keep, table), _element("tr", "", F.when(first & ~cell, "first").otherwise(""))), F.lit(""))) \
-                .when(name == "td", _state(F.concat(out, F.lit(" ")), F.concat(
-                    _counted(keep, _last(keep, lambda e: e["tag"] == "tr")), _element("td", "", " |")), F.lit(""))) \
-                .when(name == "b", mark_on("b", B_ON, B_OFF)) \
-                .when(name == "i", mark_on("i", I_ON, I_OFF)) \
-                .when(name == "code", mark_on("code", "`", "`")) \
-                .otherwise(_state(out, st, nothing))
-        return let(F.struct(F.slice(st, F.lit(1), k).alias("keep"), F.concat(s["out"], _closed(st, k)).alias("out")), parted)
-
-    return F.when(name.isNull(), s).otherwise(let(cut, after))
+        popped = F.substring(st, F.lit(1), k)
+        kept = F.when(k == 0, _state(s["out"], st, s["cnt"], s["pend"])).otherwise(_state(
+            F.concat(s["out"], _closed(st, popped, s["cnt"])), F.substr(st, k + 1), F.slice(s["cnt"], _counters(popped) + 1, F.size(s["cnt"])), s["pend"]))
+
+        def open_or_close(v: Column) -> Column:
+            keep, cnt, out = v["st"], v["cnt"], v["out"]
+
+            def item(m: Column) -> Column:
+                width = F.least(F.length(m["mark"]), F.lit(9)).cast("string")
+                return _state(F.concat(out, _line(keep), m["mark"]), F.concat(width, keep), F.when(m["at"] >= 0, _raised(cnt, m["at"])).otherwise(cnt), F.lit(""))
+
+            def mark(at: Column) -> Column:
+                number = _counters(F.substring(keep, F.lit(1), at - 1))
+                return let(F.when((at > 0) & (F.substring(keep, at, F.lit(1)) == "o"), number).otherwise(-1), lambda j: F.struct(
+                    j.alias("at"), F.when(j >= 0, F.concat((F.get(cnt, j) + 1).cast("string"), F.lit(". "))).otherwise("* ").alias("mark")))
+
+            def row(j: Column) -> Column:
+                bare = ~F.contains(keep, F.lit("d"))
+                first = bare & (F.coalesce(F.get(cnt, j), F.lit(1)) == 0)
+                loose = ~F.translate(keep, *PLAIN).contains("2")
+                return _state(F.concat(out, F.when(first & loose, "\n").otherwise(""), _line(keep), F.lit("|")),
+                              F.concat(F.when(first, "R").otherwise("r"), keep), _pushed(_raised(cnt, j)), F.lit(""))
+
+            def marked(letter: str, sign: str) -> Column:
+                again = F.translate(keep, *PLAIN).contains(letter)
+                return _state(F.concat(out, F.coalesce(v["pend"], F.lit("")), F.when(again, "").otherwise(sign)),
+                              F.concat(F.when(again, letter.upper()).otherwise(letter), keep), cnt, nothing)
+
+            inner_list = F.instr(F.translate(keep, "o", "u"), "u")
+            return F.when(off, F.when(k == 0, s).otherwise(_state(out, keep, cnt, F.when(kind.isin("u", "o", "q", "t"), _gap(keep)).when(kind == "2", _line(keep))
+                                                                  .when(kind.isin("r", "d"), "").otherwise(v["pend"])))) \
+                .when(code == "l", let(let(inner_list, mark), item)) \
+                .when(code == "d", _state(F.concat(out, F.lit(" ")), F.concat(F.lit("d"), keep),
+                                          _raised(cnt, _counters(F.substring(keep, F.lit(1), _where(F.translate(keep, "R", "r"), F.lit("r")) - 1))), F.lit(""))) \
+                .when(code == "r", let(_counters(F.substring(keep, F.lit(1), F.instr(keep, "t") - 1)), row)) \
+                .when(code == "b", marked("b", B_ON)).when(code == "i", marked("i", I_ON)).when(code == "c", marked("c", "`")) \
+                .when(code == "u", _state(out, F.concat(F.lit("u"), keep), cnt, _gap(keep))) \
+                .when(code == "o", _state(out, F.concat(F.lit("o"), keep), _pushed(cnt), _gap(keep))) \
+                .when(code == "t", _state(out, F.concat(F.lit("t"), keep), _pushed(cnt), _gap(keep))) \
+                .otherwise(let(F.contains(keep, F.lit("d")), lambda cell: _state(
+                    out, F.concat(F.when(cell, "Q").otherwise("q"), keep), cnt, F.concat(_gap(keep), F.when(cell, "").otherwise("> ")))))
+        return let(kept, open_or_close)
+
+    return F.when(code.isNull(), s).otherwise(let(pops, after))
 
 
 def _fold(x: Column) -> Column:
     """The text with its kept tags turned into marks, by a stack."""
+    names = F.create_map(*[F.lit(v) for pair in CODES.items() for v in pair])
+
     def pairs(t: Column) -> Column:
-        def pair(k: Column) -> Column:
-            tag = F.lower(F.get(t, 2 * k + 1))
-            name = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.translate(tag, "</>", ""), "^strong$", "b"), "^em$", "i"), "^th$", "td")
-            return F.struct(F.get(t, 2 * k).alias("text"), name.alias("name"), tag.startswith("</").alias("off"))
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / 2).cast("int")), pair)
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / 2).cast("int")), lambda k: F.struct(
+            F.get(t, 2 * k).alias("text"), F.element_at(names, F.lower(F.get(t, 2 * k + 1))).alias("code")))
 
     def blocks(p: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(p), F.lit(BLOCK)), lambda i: F.slice(p, i, F.lit(BLOCK)))
 
     def step(s: Column, pair: Column) -> Column:
-        return let(_with_text(s, pair), lambda v: _with_tag(v, pair)).cast(STATE)
+        return let(_with_text(s, pair), lambda v: _with_tag(v, pair))
 
     def block(s: Column, part: Column) -> Column:
-        start = _state(F.lit(""), s["st"], s["pend"]).cast(STATE)
-        return let(F.aggregate(part, start, step), lambda v: _state(F.concat(s["out"], v["out"]), v["st"], v["pend"])).cast(STATE)
+        start = _state(F.lit(""), s["st"], s["cnt"], s["pend"])
+        return let(F.aggregate(part, start, step), lambda v: _state(F.concat(s["out"], v["out"]), v["st"], v["cnt"], v["pend"]))
 
-    empty = F.lit(None).cast(STATE)
-    start = F.coalesce(empty, _state(F.lit(""), F.array().cast("array<struct<tag:string,pre:string,n:int,close:string>>"), F.lit(None).cast("string")).cast(STATE))
+    start = _state(F.lit(""), F.lit(""), F.array().cast("array<int>"), F.lit(None).cast("string"))
     end = let(F.split(x, CUT), lambda t: F.aggregate(blocks(pairs(t)), start, block))
-    return let(end, lambda s: F.concat(s["out"], _closed(s["st"], F.lit(0))))
+    return let(end, lambda s: F.concat(s["out"], _closed(s["st"], s["st"], s["cnt"])))
 
 
 def decode_references(x: Column) -> Column:
@@ -215,7 +249,7 @@ def clean_markdown(html: Column, body_format: Column | None = None) -> Column:
         x = F.replace(x, F.lit(f"{HEAD}{n}"), F.lit("#" * n))
     x = F.regexp_replace(F.regexp_replace(x, BREAK_RX, "\n"), OTHER_RX, "")
     x = F.regexp_replace(F.regexp_replace(x, SPACES_RX, " "), r" ?\n ?", "\n")
-    x = let(F.regexp_replace(x, KEPT_RX, CUT + "<$1>" + CUT), lambda v: F.when(v.contains(CUT), _fold(v)).otherwise(v))
+    x = let(F.regexp_replace(F.regexp_replace(x, IMPLIED_RX, ""), KEPT_RX, CUT + "<$1>" + CUT), lambda v: F.when(v.contains(CUT), _fold(v)).otherwise(v))
     for on, off in ((B_ON, B_OFF), (I_ON, I_OFF)):
         x = F.regexp_replace(F.regexp_replace(x, rf"{on}(\s+)", f"$1{on}"), rf"(\s+){off}", f"{off}$1")
         x = F.replace(x, F.lit(on + off), F.lit(""))
