@@ -11,19 +11,20 @@ from .. import config as cfg
 from .. import schemas
 from ..operators.sequence import global_rank
 from ..session import children, exists
+from .jsonarray import read_json_members
 
 EMPTY = "name string, url string, verified boolean"
 
 
 def read_registry_file(spark: SparkSession, path: str) -> DataFrame:
     """A5: a JSON object {name: {url, verified}} → (ord, name, url, verified).
-    Missing file → empty.  Parsing happens on the executors (wholetext)."""
+    A missing file, or one that is no JSON object, is empty.  The file is read
+    by several tasks (``jsonarray``)."""
     if not exists(spark, path):
         return spark.createDataFrame([], EMPTY).withColumn("ord", F.lit(None).cast("long"))
-    t = spark.read.option("wholetext", True).text(path)
-    m = F.from_json(F.col("value"), schemas.T.MapType(schemas.S, schemas.REGISTRY_ENTRY))
-    return t.select(F.posexplode(m).alias("ord", "name", "e")).select(
-        F.col("ord").cast("long"), "name", F.col("e.url").alias("url"), F.col("e.verified").alias("verified"))
+    _, members = read_json_members(spark, path)
+    return members.select("ord", "name", F.from_json("json", schemas.REGISTRY_ENTRY).alias("e")) \
+        .select("ord", "name", F.col("e.url").alias("url"), F.col("e.verified").alias("verified"))
 
 
 def registry_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -35,22 +36,14 @@ def registry_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """
     if _versions(spark, path) or "_SUCCESS" in children(spark, path):
         return spark.createDataFrame([], "category string, message string"), export_registry(spark, path)
-    empty_ent = spark.createDataFrame([], "ord long, name string").withColumn("value", F.parse_json(F.lit("null")))
     if not exists(spark, path):
         err = spark.createDataFrame([(cfg.REGISTRY_CATEGORY, cfg.MSG_FILE_MISSING.format(path=path))],
                                     "category string, message string")
-        return err, empty_ent.limit(0)
-    t = spark.read.option("wholetext", True).text(path)
-    doc = t.select("value", F.try_parse_json(F.col("value")).alias("v"))
-    is_obj = F.coalesce(F.schema_of_variant(F.col("v")).startswith("OBJECT"), F.lit(False))
-    errs = doc.select(
-        F.lit(cfg.REGISTRY_CATEGORY).alias("category"),
-        F.when(F.col("v").isNull(), F.lit(cfg.MSG_BAD_JSON.format(path=path, err="parse error")))
-         .when(~is_obj, F.lit(cfg.MSG_ROOT_NOT_OBJECT.format(path=path))).alias("message"),
-    ).where(F.col("message").isNotNull())
-    ent = doc.where(is_obj).select(F.posexplode(F.from_json(F.col("value"), "map<string,variant>"))
-                                   .alias("ord", "name", "value"))
-    return errs, ent.select(F.col("ord").cast("long"), "name", "value")
+        return err, spark.createDataFrame([], "ord long, name string").withColumn("value", F.parse_json(F.lit("null")))
+    faults, members = read_json_members(spark, path)
+    message = F.when(F.col("fault") == "invalid", F.lit(cfg.MSG_BAD_JSON.format(path=path, err="parse error"))).otherwise(F.lit(cfg.MSG_ROOT_NOT_OBJECT.format(path=path)))
+    return faults.select(F.lit(cfg.REGISTRY_CATEGORY).alias("category"), message.alias("message")), \
+        members.select("ord", "name", F.parse_json("json").alias("value"))
 
 
 def _versions(spark: SparkSession, root: str) -> list[str]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 from briefkit.session import scratch_path
-from briefkit.sources.jsonarray import PLACES, _fragments, read_json_arrays
+from briefkit.sources.jsonarray import PLACES, _fragments, read_json_arrays, read_json_members
 from briefkit.sources.messages import read_records_json
 
 SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.StringType()),
@@ -84,3 +84,25 @@ def scratch(spark):
     path = scratch_path(spark, "t-json").removeprefix("file:")
     os.makedirs(path)
     return path
+
+
+def members(spark, path):
+    faults, found = read_json_members(spark, path)
+    return [r.fault for r in faults.collect()], [(r.ord, r.name, json.loads(r.json)) for r in found.orderBy("ord").collect()]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_one_object_is_read_by_many_tasks(spark, tmp_dir, small_ranges, indent):
+    data = {f"n{i}" + "}{\"\\"[i % 4:]: r for i, r in enumerate(rows(200, 5))}
+    data |= {"plain": 5, "none": None, "list": [1, {"x": {}}], "text": "}", "last": {"url": "u", "verified": True}, "after": "z"}
+    path = put(tmp_dir, one=json.dumps(data, indent=indent))
+    assert members(spark, path) == ([], [(i, k, v) for i, (k, v) in enumerate(data.items())])
+
+
+def test_objects_as_the_original_reads_them(spark, tmp_dir):
+    cases = {'{"a": 1}': [("a", 1)], "{}": [], " \n{ }\n": [], '{"a": {"x": 1}, "b": {}, "a": {"x": 2}}': [("a", {"x": 2}), ("b", {})], '{"a": "}", "b": {"c": "}"}}': [("a", "}"), ("b", {"c": "}"})]}
+    for text, want in cases.items():
+        assert members(spark, put(tmp_dir, x=text)) == ([], [(i, *w) for i, w in enumerate(want)]), text
+    for text, fault in {'{"a": {"x": 1}': "invalid", '{"a": {"x": 1}} more': "invalid", '{"a": {"x": }}': "invalid", '{"a" {"x": 1}}': "invalid", "[]": "no object",
+                        '[{"a": 1}]': "no object", "5": "no object", "nonsense": "invalid", '{"a": {"x": 1}, "b": "open}': "invalid"}.items():
+        assert members(spark, put(tmp_dir, x=text)) == ([fault], []), text
