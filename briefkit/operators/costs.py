@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as cfg
+from ..session import stored
 from .select import cost_lookback
 
-LEVELS = {3: "total", 1: "provider", 2: "model"}
-
 
 def cost_rollup(log: DataFrame, as_of: dt.datetime, days: int | None = cfg.DEFAULT_COST_DAYS) -> DataFrame:
     """Totals, by provider and by model in one pass.
@@ -42,11 +41,12 @@ def cost_rollup(log: DataFrame, as_of: dt.datetime, days: int | None = cfg.DEFAU
 def cost_shares(rollup: DataFrame) -> DataFrame:
     """shares of the total and cost per 1k tokens.
 
-    The totals come from the roll-up's own total row as a scalar subquery
-    (evaluated once, no join).  Run and token shares exist for providers
+    The roll-up, a row a group, is written once, so the log is read once; the
+    totals come from its total row as a scalar subquery (no join).  Run and token shares exist for providers
     only; a zero denominator gives 0 for the cost share (as the original)
     and NULL elsewhere.
     """
+    rollup = stored(rollup, "rollup")
     tot = rollup.where(F.col("level") == "total").select(
         F.struct(F.max("cost").alias("cost"), F.max("runs").alias("runs"), F.max("tokens").alias("tokens")))
     t = tot.scalar()  # one scalar subquery for all three totals

@@ -41,9 +41,10 @@ def ranked_sources(records: DataFrame) -> DataFrame:
                        lead=[("issues", False), ("_o", True)])
 
 
-def issues_per_source(records: DataFrame) -> DataFrame:
+def issues_per_source(records: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
     """F1 + F2 + F4: ``ranked_sources`` with each sender's first record, one
-    row per sender whatever records share or lack ``ord``.
+    row per sender whatever records share or lack ``ord``.  ``narrow`` is the
+    same records without bodies, if the caller has them stored.
 
     The ranked table is written to the shared folder.  The one pass over the
     full records tests a Bloom filter of the first records' places, so about
@@ -51,7 +52,7 @@ def issues_per_source(records: DataFrame) -> DataFrame:
     decides whether that is a lookup in memory
     (``spark.sql.autoBroadcastJoinThreshold``) or a join by shuffle.
     """
-    g = stored(ranked_sources(records), "sources")
+    g = stored(ranked_sources(records if narrow is None else narrow), "sources")
     chosen = may_hold(g, "sender", "_o", "_t")
     g = g.withColumnsRenamed({"sender": "_s", "_o": "_go", "_t": "_gt"})
     full = keyed(records, F.struct("subject", "date", "body").alias("first")).where(chosen)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..operators import sites, stats
+from ..session import stored
 
 ROW = "section_ord int, part_ord long, line_ord long, line string"
 SECTIONS = {"front": 0, "title": 1, "model": 2, "range": 3, "analysis_head": 4, "analysis": 5,
@@ -58,12 +59,17 @@ def analysis_rows(analysis: DataFrame) -> DataFrame:
 
 def build_report(records: DataFrame, analysis: DataFrame, registry: DataFrame | None, curated: DataFrame,
                  p: ReportParams) -> DataFrame:
-    """K1–K5: every section of the report as rows."""
+    """K1–K5: every section of the report as rows.
+
+    The records without their bodies, with their dates parsed, are written
+    once: dates, latest items, counts and ranks all read that narrow table,
+    and the bodies are read in the one pass that looks up first records."""
     spark = records.sparkSession
-    parsed = stats.parse_dates(records)
+    bodies = [c for c in ("body", "body_format", "cleaned") if c in records.columns]
+    parsed = stored(stats.parse_dates(records.drop(*bodies)), "dated")
     extent = stats.range_label(stats.date_extent(parsed), p.run_ts, p.days)
-    sources = stats.issues_per_source(records)
-    totals = stats.source_totals(records)
+    sources = stats.issues_per_source(records, parsed)
+    totals = stats.source_totals(parsed)
     parts: list[DataFrame] = []
 
     if p.front_matter:
