@@ -8,7 +8,7 @@ Computed columns carry the same names as in ``plans.oracle``.
 from __future__ import annotations
 
 import datetime as dt
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -224,6 +224,22 @@ def quality_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return quality.validation_rollup(_errors(spark, sf))
 
 
+CATEGORIES = ["newsletter_websites", "untyped_entries", "registry", "curated_sites", "curated_names"]
+
+
+def quality_report(spark: SparkSession, sf: str) -> DataFrame:
+    """the errors of several categories in file order, one flag for each
+    and one for all: the pages' sites, entries of the wrong types (I1, I3–I6,
+    I11), the registry, and the curated list with and without its urls."""
+    reg = T.page_sites(spark, sf).groupBy(F.col("site").alias("name")).agg(F.min("page_id").alias("ord"), F.min("url").alias("url"))
+    cur = T.curated(spark, sf).withColumn("verified", F.lit(True))
+    blank = cur.select("ord", F.concat(F.lit(" "), F.col("name")).alias("name"), F.lit(None).cast("string").alias("url"), "verified")
+    typed = [quality.typed_entries(t) for t in (T.site_rows(spark, sf), reg.withColumn("verified", F.col("url").startswith("https://")), cur, blank)]
+    entries = [typed[0], quality.variant_entries(T.untyped_entries(spark, sf)), *typed[1:]]
+    errors = [quality.registry_errors(e).withColumn("category", F.lit(c)) for c, e in zip(CATEGORIES, entries)]
+    return quality.validation_report(reduce(DataFrame.unionByName, errors), CATEGORIES)
+
+
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     return review.review_queue(T.registry(spark, sf))
 
@@ -299,11 +315,12 @@ def score_stub(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_topics(spark: SparkSession, sf: str) -> DataFrame:
-    """E2 + E3: one list of topics for each of two reports, of all messages
-    and of those with one label, merged from the replies to all batches."""
-    m = _with_labels(spark, sf)
+    """E2 + E3: one list of topics for each of two reports, of all messages of
+    the conversations and of their users', merged from the replies to all
+    batches."""
+    m = T.chat_messages(spark, sf)
     packed = [prompts.pack_prompts(prompts.prompt_items(x)).select(F.lit(i).cast("long").alias("report_id"), "batch_id", "prompt")
-              for i, x in enumerate((m, select_messages(m, label=LABEL)))]
+              for i, x in enumerate((m, m.where(F.col("sender").startswith("user"))))]
     score = partial(scoring.score_once, model=MODEL, ledger=scratch_path(spark, "ledger"),
                     client_factory=partial(scoring.TopicClient, cfg.DEFAULT_NUM_TOPICS))
     replies = prompts.response_content(score(packed[0].unionByName(packed[1]))).select("report_id", "batch_id", "text")
@@ -360,10 +377,52 @@ def stream_registry(spark: SparkSession, sf: str) -> DataFrame:
     src, root, ck = _stream_source(spark, sf), scratch_path(spark, "s3-reg"), scratch_path(spark, "s3-ckpt")
     initial = scratch_path(spark, "s3-initial")
     T.registry(spark, sf).write.parquet(initial)
-    S.registry_stream(spark, src, root, ck, curated=T.curated(spark, sf), initial=initial).awaitTermination()
+    S.registry_stream(spark, src, root, ck, curated=T.curated(spark, sf), initial=initial, max_files_per_trigger=1, compact_every=3).awaitTermination()
     return S.latest_registry(spark, root)
 
 
+def _resent(spark: SparkSession, sf: str) -> str:
+    """Files of messages, of which some come again in a later file and some
+    are broken: every purchase is sent twice, signups have a body that is no
+    base64, lines of errors are cut in half."""
+    src = scratch_path(spark, "s1-resent")
+    res = to_message_resources(T.messages(spark, sf))
+    label = F.get("labelIds", 0)
+    wrong = res.withColumn("payload", F.when(label == "signup", F.col("payload").withField(
+        "parts", F.transform("payload.parts", lambda p: p.withField("body", F.struct(F.lit("%%%").alias("data")))))).otherwise(F.col("payload")))
+    line = F.to_json(F.struct(*wrong.columns))
+    lines = wrong.select(label.alias("label"), F.xxhash64("id").alias("h"), F.when(label == "error", F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line).alias("line"))
+    again = lines.where("label = 'purchase'").withColumn("h", F.xxhash64("h"))
+    lines.unionByName(again).select("line", F.pmod("h", F.lit(4)).alias("file")).repartition("file").write.partitionBy("file").text(src)
+    return src
+
+
+def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken lines and bodies go to the quarantine, resent messages are
+    taken once, over several micro-batches."""
+    from ..streaming import deliveries as D
+    src, root = _resent(spark, sf), scratch_path(spark, "s1-log")
+    D.ingest_log_stream(spark, src, root, scratch_path(spark, "s1-log-ckpt"), max_files_per_trigger=1, clean=clean_body).awaitTermination()
+    good = D.read_messages_log(spark, root).select("msg_id", F.lit("message").alias("kind"), F.md5("cleaned").alias("content_md5"))
+    bad = D.read_quarantine(spark, root)
+    return good.unionByName(bad.select("msg_id", F.col("reason").alias("kind"), F.lit(None).cast("string").alias("content_md5")))
+
+
+def stream_cost_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows by provider and by model, and the rows behind the watermark;
+    the log comes in four parts, of which the third is older than allowed.  The
+    stream stops after each part and goes on from its checkpoint."""
+    from ..streaming import deliveries as D
+    src, root, ck = scratch_path(spark, "s2-levels"), scratch_path(spark, "s2-log"), scratch_path(spark, "s2-log-ckpt")
+    week = F.floor(F.dayofmonth(F.to_date(F.substring("timestamp", 1, 10))) / 8)
+    for k in (1, 2, 0, 3):   # the first days come third
+        T.cost_log(spark, sf).where(week == k).drop("ord").write.mode("append").json(src)
+        D.cost_levels_stream(spark, src, root, ck, delay_hours=48).awaitTermination()
+    w = D.read_cost_levels(spark, root).select(_ts("window_start").alias("window_start"), "level", "key", "runs", "tokens", _r(F.col("cost")).alias("cost"))
+    late = D.read_late(spark, root).groupBy(F.col("reason").alias("key")).agg(F.count(F.lit(1)).alias("runs"), F.sum("total_tokens").alias("tokens"), F.sum("cost").alias("cost"))
+    return w.unionByName(late.select(F.lit(None).cast("string").alias("window_start"), F.lit("late").alias("level"), "key", "runs", "tokens", _r(F.col("cost")).alias("cost")))
+
+
 QUERIES = {
     "issues_per_source": issues_per_source,
     "issues_ties": issues_ties,
@@ -391,6 +450,7 @@ QUERIES = {
     "source_lines": source_lines,
     "registry_quality": registry_quality,
     "quality_rollup": quality_rollup,
+    "quality_report": quality_report,
     "review_queue": review_queue,
     "review_apply": review_apply,
     "review_summary": review_summary,
@@ -408,4 +468,6 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_cost": stream_cost,
     "stream_registry": stream_registry,
+    "stream_quarantine": stream_quarantine,
+    "stream_cost_levels": stream_cost_levels,
 }

@@ -152,6 +152,32 @@ def errors_ctes() -> list[str]:
           FROM e3 WHERE reach AND verified IS NULL)"""]
 
 
+def report_errors_sql() -> str:
+    """each category's errors, numbered in file order."""
+    def errs(sr: str) -> str:
+        return _with(*[sr if c is SITE_ROWS else c for c in errors_ctes()]) + "SELECT ord, rule_seq, message FROM errs"
+
+    site = "CASE k WHEN 0 THEN '  ' ELSE site || '-' || CAST(page_id AS VARCHAR) END"
+    untyped = f"""WITH {O.PAGE_SITE}, u AS (SELECT *, page_id % 10 AS k FROM page_site), m AS (SELECT page_id AS ord, k, {site} AS name FROM u)
+        SELECT ord, CASE k WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 7 THEN 11 WHEN 8 THEN 11 ELSE 6 END AS rule_seq,
+          CASE k WHEN 0 THEN 'Newsletter name must be a non-empty string: ''  '''
+            WHEN 1 THEN 'Configuration for ''' || name || ''' must be a dictionary' WHEN 2 THEN 'Configuration for ''' || name || ''' must be a dictionary'
+            WHEN 3 THEN 'Missing ''url'' field for newsletter ''' || name || '''' WHEN 4 THEN 'Missing ''verified'' field for newsletter ''' || name || ''''
+            WHEN 5 THEN 'URL for ''' || name || ''' must be a string: 5' WHEN 6 THEN 'URL for ''' || name || ''' must be a string: None'
+            WHEN 7 THEN '''verified'' field for ''' || name || ''' must be a boolean: ''yes''' WHEN 8 THEN '''verified'' field for ''' || name || ''' must be a boolean: None'
+            ELSE 'URL for ''' || name || ''' must be a string: [''a'', ''b'']' END AS message FROM m"""
+    reg = "sr AS (SELECT min(page_id) AS ord, site AS name, min(url) AS url, starts_with(min(url), 'https://') AS verified FROM page_site GROUP BY site)"
+    cur = "sr AS (SELECT min(page_id) AS ord, {0} AS name, {1} AS url, true AS verified FROM page_site WHERE starts_with(host, 'www.') GROUP BY site)"
+    parts = [errs(SITE_ROWS), untyped, errs(reg), errs(cur.format("site", "'https://www.' || site || '.example.com'")), errs(cur.format("' ' || site", "CAST(NULL AS VARCHAR)"))]
+    each = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS category_no, * FROM ({p})" for i, p in enumerate(parts))
+    names = ", ".join(f"({i}, {O.q(c)})" for i, c in enumerate(C.CATEGORIES))
+    return f"""WITH a AS ({each}), c AS (SELECT * FROM (VALUES {names}) AS t(category_no, category))
+        SELECT c.category_no, category, count(message) OVER (PARTITION BY c.category_no) = 0 AS is_valid, (SELECT count(*) FROM a) = 0 AS all_valid,
+          count(message) OVER (PARTITION BY c.category_no) AS n_errors,
+          CASE WHEN message IS NOT NULL THEN row_number() OVER (PARTITION BY c.category_no ORDER BY ord, rule_seq) END AS error_no, message
+        FROM c LEFT JOIN a USING (category_no)"""
+
+
 def strip_css_sql(x: str) -> str:
     return O.apply_steps(x, html.ELEMENT_STEPS + html.CSS_STEPS)
 
@@ -263,8 +289,8 @@ def topic_rounds_sql(rounds: int = 8) -> str:
     """The batches' counts of subjects, cut to the first topics, then summed
     and cut again for each ten neighbours; a last batch stays as it is."""
     top = f"QUALIFY row_number() OVER (PARTITION BY report_id, b ORDER BY k DESC, title) <= {cfg.DEFAULT_NUM_TOPICS}"
-    ctes = [O.MSGS, f"""r AS (SELECT 0 AS report_id, ord, subject FROM msgs
-            UNION ALL SELECT 1, ord, subject FROM msgs WHERE label = {O.q(C.LABEL)})""",
+    ctes = ["""m AS (SELECT conv_id * 1000 + turn AS ord, role, split_part(text, ' ', 1) AS subject FROM conversations)""",
+            "r AS (SELECT 0 AS report_id, ord, subject FROM m UNION ALL SELECT 1, ord, subject FROM m WHERE starts_with(role, 'user'))",
             f"s AS (SELECT report_id, subject, (row_number() OVER (PARTITION BY report_id ORDER BY ord) - 1) // {B} AS b FROM r)",
             f"""t0 AS (SELECT report_id, b, subject AS title, count(*) AS k FROM s
             WHERE {O.strip('subject')} <> '' GROUP BY report_id, b, subject {top})"""]
@@ -384,6 +410,7 @@ def oracle_queries() -> dict[str, str]:
         "registry_quality": _with(*errors_ctes()) + "SELECT * FROM errs",
         "quality_rollup": _with(*errors_ctes()) + f"""
             SELECT '{cfg.REGISTRY_CATEGORY}' AS category, count(*) = 0 AS is_valid, count(*) AS n_errors FROM errs""",
+        "quality_report": report_errors_sql(),
         "review_queue": _with(O.PAGE_SITE, REGISTRY) + "SELECT name, url FROM reg WHERE NOT coalesce(verified, false)",
         "review_apply": _with(O.PAGE_SITE, REGISTRY, DECISIONS, f"""j AS (
               SELECT reg.*, CASE WHEN NOT coalesce(reg.verified, false) THEN lower({O.strip('dec.action')}) END AS act,
@@ -457,6 +484,19 @@ def oracle_queries() -> dict[str, str]:
                    coalesce(provider, 'unknown') AS provider, count(*) AS runs,
                    CAST(sum(coalesce(total_tokens, 0)) AS BIGINT) AS tokens, round(sum(coalesce(cost, 0)), 6) AS cost
             FROM c GROUP BY 1, 2""",
+        "stream_quarantine": _with(O.MSGS) + f"""
+            SELECT CASE WHEN label <> 'error' THEN msg_id END AS msg_id,
+                   CASE label WHEN 'signup' THEN 'undecodable body' WHEN 'error' THEN 'not a message' ELSE 'message' END AS kind,
+                   CASE WHEN label IN ('view', 'click') THEN md5({O.clean_body('body')})
+                        WHEN label = 'purchase' THEN md5({O.clean_body('subject')}) END AS content_md5 FROM msgs""",
+        "stream_cost_levels": _with(COST_LOG, """p AS (
+              SELECT *, CAST(timestamp AS TIMESTAMP) AS t, day(CAST(timestamp AS TIMESTAMP)) // 8 AS wk FROM c)""", """x AS (
+              SELECT *, coalesce(wk = 0 AND date_trunc('day', t) + INTERVAL 1 DAY <= (SELECT max(t) FROM p WHERE wk IN (1, 2)) - INTERVAL 48 HOUR, false) AS late FROM p)""", """k AS (
+              SELECT t, 'provider' AS level, coalesce(provider, 'unknown') AS key, total_tokens, cost FROM x WHERE NOT late
+              UNION ALL SELECT t, 'model', coalesce(model, 'unknown'), total_tokens, cost FROM x WHERE NOT late)""") + f"""
+            SELECT strftime(date_trunc('day', t), '{TS_SQL}') AS window_start, level, key, count(*) AS runs,
+                   CAST(sum(coalesce(total_tokens, 0)) AS BIGINT) AS tokens, round(sum(coalesce(cost, 0)), 6) AS cost FROM k GROUP BY 1, 2, 3
+            UNION ALL SELECT NULL, 'late', 'late', count(*), CAST(sum(total_tokens) AS BIGINT), round(sum(cost), 6) FROM x WHERE late HAVING count(*) > 0""",
         "report_no_latest": report_sql(False, None, None, False),
     }
     # S3 runs the batch operators on one micro-batch of message resources;

@@ -16,6 +16,8 @@ joins, over whole tables:
   lists, a quote, a table and marks, and ends in an unclosed script.
 * ``chat_records`` — one message record per conversation turn, with texts that
   hold quotes, brackets and backslashes.
+* ``untyped_entries`` — one registry entry per page with wrong or missing types.
+* ``chat_messages`` — one message record per conversation turn.
 * ``decisions`` — review decisions derived from the registry rows.
 """
 
@@ -211,3 +213,25 @@ def write_json_arrays(rows: DataFrame, path: str) -> None:
     lines = rows.select("file_no", "place", F.concat(F.when(first, "[").otherwise(""), text, F.when(last, "]").otherwise(",")).alias("line"))
     named = lines.withColumn("file", F.lpad(F.col("file_no").cast("string"), 12, "0"))
     named.repartition("file").sortWithinPartitions("file", "place").select("line", "file").write.partitionBy("file").text(path)
+
+
+def untyped_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, name, value VARIANT): one entry per page, most of them wrong, each
+    page number in its own way."""
+    p = page_sites(spark, sf_dir)
+    k = F.col("page_id") % 10
+    url = F.concat(F.lit("https://"), F.col("site"), F.lit(".example.com/p"), F.col("page_id").cast("string"))
+    json = (F.when(k == 0, F.concat(F.lit('{"url": "'), url, F.lit('", "verified": true}'))).when(k == 1, '["a", "b"]').when(k == 2, '"text"')
+            .when(k == 3, '{"verified": true}').when(k == 4, F.concat(F.lit('{"url": "'), url, F.lit('"}'))).when(k == 5, '{"url": 5, "verified": true}')
+            .when(k == 6, '{"url": null, "verified": true}').when(k == 7, F.concat(F.lit('{"url": "'), url, F.lit('", "verified": "yes"}')))
+            .when(k == 8, F.concat(F.lit('{"url": "'), url, F.lit('", "verified": null}'))).otherwise('{"url": ["a", "b"], "verified": false}'))
+    name = F.when(k == 0, "  ").otherwise(F.concat(F.col("site"), F.lit("-"), F.col("page_id").cast("string")))
+    return p.select(F.col("page_id").alias("ord"), name.alias("name"), F.parse_json(json).alias("value"))
+
+
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message record per conversation turn: the subject is the text's
+    first word, the sender the role."""
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.substring_index("text", " ", 1).alias("subject"), F.col("conv_id").cast("string").alias("date"),
+                    F.concat(F.col("role"), F.lit(" <a@b.c>")).alias("sender"), F.col("text").alias("body"), F.lit("plain").alias("body_format"))
