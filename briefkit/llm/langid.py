@@ -28,8 +28,10 @@ from .shared import aside, prepare, remainder
 
 #: Bound of the training sample: rows and code points of a language.
 SAMPLE_ROWS, SAMPLE_CHARS = 48, 24_000
-#: Letters with a symbol of their own; further ones share one.
-LETTERS = 61
+#: The most frequent letters of the samples have one symbol each; every other
+#: letter of a sample is a lead and trails, so it too has its own spelling.
+#: Only letters that no sample has share a symbol.
+LETTERS, LEADS, TRAILS = 61, 8, 16
 SEGMENT = 512
 UNKNOWN = "und"
 PAD, GAP, OTHER, FIRST = 0, 1, 2, 3
@@ -53,10 +55,52 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _squeezed(symbols: np.ndarray) -> np.ndarray:
-    """Runs of what is no letter become one gap."""
-    gap = symbols == GAP
-    return symbols[~(gap & np.concatenate(([False], gap[:-1])))]
+@dataclass
+class Alphabet:
+    """How code points are spelled in symbols."""
+    symbol: np.ndarray  # by code point: its first symbol
+    rank: np.ndarray    # by code point: row of ``tails``
+    tails: np.ndarray   # the trails of letters that begin with a lead
+    width: int
+
+    def spell(self, text: str) -> np.ndarray:
+        """A text's symbols; runs of what is no letter become one gap."""
+        points = _points(text)
+        out = self.symbol[points]
+        gap = out == GAP
+        kept = ~(gap & np.concatenate(([False], gap[:-1])))
+        out = out[kept]
+        if not len(self.tails):
+            return out
+        points, long = points[kept], out >= FIRST + LETTERS
+        n = self.tails.shape[1]
+        size = 1 + n * long.astype(np.int64)
+        spelled = np.repeat(out, size)
+        at = (np.cumsum(size) - size)[long]
+        spelled[at[:, None] + np.arange(1, n + 1)] = self.tails[self.rank[points[long]]]
+        return spelled
+
+
+def alphabet(counts: Counter) -> Alphabet:
+    """From the counts of lower-case letters, by code point."""
+    letter, lower = _letters()
+    order = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    first = np.where(letter, OTHER, GAP).astype(np.uint8)
+    few, rest = order[:LETTERS], np.array(order[LETTERS:], np.int64)
+    code = np.full(0x110000, -1, np.int64)   # by lower-case code point: place among all
+    code[order] = np.arange(len(order))
+    place = np.where(letter, code[lower], -1)
+    own = place >= 0
+    n = 0
+    while LEADS * TRAILS ** n < len(rest):
+        n += 1
+    lead = FIRST + LETTERS + (np.arange(len(rest)) // TRAILS ** n if len(rest) else np.zeros(0, np.int64))
+    begin = np.concatenate((FIRST + np.arange(len(few)), lead)).astype(np.uint8)
+    first[own] = begin[place[own]]
+    index = np.arange(len(rest))
+    tails = np.stack([index // TRAILS ** k % TRAILS for k in reversed(range(n))], 1) if n else np.zeros((0, 0), np.int64)
+    width = FIRST + LETTERS + (LEADS + TRAILS if len(rest) else 0)
+    return Alphabet(first, np.where(place >= LETTERS, place - LETTERS, 0).astype(np.int32), (FIRST + LETTERS + LEADS + tails).astype(np.uint8), width)
 
 
 def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
@@ -103,13 +147,13 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # by code point
+    letters: Alphabet
     tables: list[np.ndarray]
     bits: list[float]  # of a phrase
 
     def rates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol, by text and language; whether a text has a letter."""
-        rows = [_squeezed(self.symbol[_points(t)]) for t in texts]
+        rows = [self.letters.spell(t) for t in texts]
         has = np.array([bool((r >= OTHER).any()) for r in rows], bool)
         sizes = np.array([len(r) for r in rows], np.int64)
         parts = -(-sizes // SEGMENT)
@@ -152,12 +196,9 @@ def fit(samples: dict[str, str]) -> Model:
     seen: Counter[int] = Counter()
     for v in points.values():
         seen.update(lower[v[letter[v]]].tolist())
-    symbol = np.where(letter, OTHER, GAP).astype(np.uint8)
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
-        symbol[np.flatnonzero(lower == c)] = FIRST + i
-    width = FIRST + LETTERS
-    texts = [_squeezed(symbol[v]) for v in points.values()]
-    return Model(list(points), symbol, [automaton(t, width) for t in texts], [float(np.log2(len(t) + 1)) for t in texts])
+    letters = alphabet(seen)
+    texts = [letters.spell(samples[k]) for k in points]
+    return Model(list(points), letters, [automaton(t, letters.width) for t in texts], [float(np.log2(len(t) + 1)) for t in texts])
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
@@ -180,7 +221,7 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPL
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.tables, model.bits))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.letters, model.tables, model.bits))
 
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
