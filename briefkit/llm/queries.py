@@ -58,11 +58,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, as read back from the archives it was written to."""
+    """Every page, as read back from the archives it was written to.  Bytes
+    that cannot be read fail the query."""
     path = scratch_path(spark, "warc")
     warc.write_pages(_table(spark, sf_dir, "pages"), path)
-    found = warc.read_archives(spark, path, payloads=False).where("kind = 'record'")
-    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+    found = warc.read_archives(spark, path, payloads=False)
+    lost = F.raise_error(F.concat_ws(" ", F.lit("unreadable bytes:"), "path", "start", "stop", "reason")).cast("long")
+    return found.select(F.when(F.col("kind") == "gap", lost).otherwise(warc.page_of(F.col("record_id"))).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
                         warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 

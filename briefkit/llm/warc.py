@@ -25,9 +25,14 @@ from pyspark.sql import functions as F
 
 from .shared import prepare, stored
 
-#: Records of one archive: with the length of a page it bounds an archive's
-#: size, which the reader holds in a task.
-RECORDS = 2048
+#: Records and bytes of one archive, which the reader holds in a task.  Pages
+#: go to archives by size class, with as many records as the bytes allow, so
+#: only a single page of more bytes makes a larger archive.
+RECORDS, BYTES = 2048, 1 << 28
+#: Each size class has pages this many times as long as the one before.
+CLASS = 16
+#: Bytes that are inflated at a time.
+SLICE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -53,8 +58,22 @@ def _urn(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
 
 
-def write_pages(pages: DataFrame, path: str, least: int = 0, date: str = DATE, records: int = RECORDS) -> None:
-    """Write a record per row of ``pages`` (page_id, url, html) below ``path``.
+def _classes(longest: int, records: int, size: int) -> list[tuple[int, int, int]]:
+    """(least bytes, most bytes, records of an archive) of the size classes of
+    pages up to ``longest`` bytes."""
+    out, low, n = [], 0, records
+    while True:
+        high = max(1, size // n)
+        out.append((low, high, n))
+        if longest < high or n == 1:
+            out[-1] = (low, max(high, longest + 1), n)
+            return out
+        low, n = high, max(1, n // CLASS)
+
+
+def write_pages(pages: DataFrame, path: str, least: int = 0, date: str = DATE, records: int = RECORDS, size: int = BYTES) -> None:
+    """Write a record per row of ``pages`` (page_id, url, html) below ``path``,
+    in archives of ``records`` records and about ``size`` bytes at most.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the
     smallest id is a response, the others revisit it; pages without an id, or
@@ -83,7 +102,10 @@ def write_pages(pages: DataFrame, path: str, least: int = 0, date: str = DATE, r
         _line("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("block").cast("binary")))),
         _line("Content-Type", "application/http;msgtype=response"),
         _line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"))
-    x.select(F.concat(head, "block").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).text(path)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    for low, high, n in _classes(longest, records, size):   # one for pages of usual length
+        part = x.where((F.octet_length("html") >= low) & (F.octet_length("html") < high))
+        part.select(F.concat(head, "block").alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", n).text(path)
 
 
 class Damaged(Exception):
@@ -150,14 +172,19 @@ def payload(r: Record) -> tuple[bytes | None, int | None, str | None]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    inflate = zlib.decompressobj(31)
+    """A gzip member's content and its end; read slice by slice, so a member
+    costs its own length wherever it stands."""
+    inflate, view, out = zlib.decompressobj(31), memoryview(data), []
     try:
-        out = inflate.decompress(data[at:])
+        while at < len(data) and not inflate.eof:
+            part = view[at:at + SLICE]
+            out.append(inflate.decompress(part))
+            at += len(part)
     except zlib.error as e:
         raise Damaged(f"gzip member: {e}") from None
     if not inflate.eof:
         raise Damaged("gzip member without an end")
-    return out, len(data) - len(inflate.unused_data)
+    return b"".join(out), at - len(inflate.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
@@ -165,6 +192,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     between them, ("gap", start, stop, reason).  Bytes are those of the file;
     all records of a gzip member have the member's."""
     at, bad, reason = 0, -1, ""
+    version = member = -1   # the next places, each searched for once
     while at < len(data):
         try:
             if data[at:at + 3] == MEMBER:
@@ -179,9 +207,11 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
         except Damaged as e:
             if bad < 0:
                 bad, reason = at, str(e)
-            nexts = [x for x in (VERSION.search(data, at + 1),) if x]
-            places = [x.start() for x in nexts] + [x for x in (data.find(MEMBER, at + 1),) if x >= 0]
-            at = min(places, default=len(data))
+            if version <= at:
+                version = found.start() if (found := VERSION.search(data, at + 1)) else len(data)
+            if member <= at:
+                member = place if (place := data.find(MEMBER, at + 1)) >= 0 else len(data)
+            at = min(version, member)
             continue
         if bad >= 0:
             yield "gap", bad, at, reason
