@@ -245,3 +245,40 @@ def test_encoding_keeps_columns_with_its_own_names(spark):
     assert got.columns == [*df.columns, "ids", "chunks"]
     assert sorted((r.doc_id, r.text, r.key, r.k, r._key, list(r.ids)) for r in got.collect()) == [(*r, sp.encode(r[1] or "")) for r in rows]
     assert got.where("doc_id = 2").first().chunks > 1
+
+
+def scripts():
+    dice = random.Random(3)
+
+    def text(base, n):
+        words = ["".join(chr(base + dice.randrange(n)) for _ in range(dice.randint(2, 6))) for _ in range(80)]
+        return lambda: " ".join(dice.choices(words, k=60))
+    return {"large": text(0x4E00, 200), "larger": text(0x4F00, 900), "latin": text(ord("a"), 26), "cyrillic": text(0x430, 32)}
+
+
+def test_scripts_of_many_letters_are_told_apart():
+    kinds = scripts()
+    samples = {k: "\n".join(f() for _ in range(20)) for k, f in kinds.items()}
+    model = langid.fit(samples)
+    for k, f in kinds.items():
+        assert model.predict([f() for _ in range(20)])[0] == [k] * 20
+    letters = {c for t in samples.values() for c in t.lower() if c.isalpha()}
+    assert len(letters) > 300
+    assert len({tuple(model.letters.spell(c).tolist()) for c in letters}) == len(letters)
+
+
+def test_rates_by_brute_force():
+    """Phrases by substring search over spelled segments, bits by definition."""
+    kinds = scripts()
+    samples = {k: "\n".join(f() for _ in range(3)) for k, f in kinds.items()}
+    model = langid.fit(samples)
+    texts = [f() + " 42 " + f() for f in kinds.values()] + ["", "!?", "ж", "a" * 1500, "日本 unknown ß"]
+    rates, has = model.rates(texts)
+    for i, t in enumerate(texts):
+        symbols = model.letters.spell(t)
+        assert has[i] == any(c.isalpha() for c in t)
+        for j, lang in enumerate(model.langs):
+            known = "".join(map(chr, model.letters.spell(samples[lang])))
+            parts = ["".join(map(chr, symbols[a:a + langid.SEGMENT])) for a in range(0, len(symbols), langid.SEGMENT)]
+            want = sum(phrases(p, known) for p in parts) * math.log2(len(known) + 1) / max(len(symbols), 1)
+            assert rates[i, j] == pytest.approx(want), (t[:20], lang)

@@ -192,3 +192,41 @@ def test_targets_far_above_a_source(spark):
     found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     by = {s: (sum(r.taken for r in found if r.source == s), next(r.target for r in found if r.source == s)) for s in "abc"}
     assert by["a"] == (120, 120.0) and by["c"] == (0, 0.0) and abs(by["b"][0] - by["b"][1]) <= 20
+
+
+def test_gzip_members_cost_their_own_length():
+    """4,000 members; a damaged one among them, and false beginnings of
+    members in the gap, are passed over."""
+    import time
+
+    members = [gzip.compress(record(n, b"p" * 5000 + bytes([n % 251]) * 4000)) for n in range(4000)]
+    began = time.time()
+    assert sum(kind == "record" for kind, *_ in warc.salvage(b"".join(members))) == 4000
+    assert time.time() - began < 20
+    members[7] = members[7][:40] + b"\x1f\x8b\x08" * 3000 + members[7][60:]
+    found = [kind for kind, *_ in warc.salvage(b"".join(members[:20]))]
+    assert found.count("record") == 19 and found.count("gap") == 1
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    sizes = [10] * 40 + [3000] * 12 + [60_000] * 3 + [400_000]
+    rows = [(i, "u", chr(97 + i % 26) * n + str(i)) for i, n in enumerate(sizes)]
+    path = scratch_path(spark, "warc")
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, records=64, size=64_000)
+    files = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert max(f.length for f in files) < 410_000 and sorted(f.length for f in files)[-2] < 64_000 + 64 * 700
+    back = {int(r.record_id[10:-1]): bytes(r.payload).decode() for r in warc.read_archives(spark, path).collect()}
+    assert back == {i: h for i, _, h in rows}
+
+
+def test_the_query_fails_on_bytes_it_cannot_read(spark, monkeypatch, tmp_path):
+    from briefkit.llm import queries
+
+    write = warc.write_pages
+
+    def damaged(pages, path):
+        write(pages, path)
+        spark.createDataFrame([("no record",)], "value string").coalesce(1).write.mode("append").text(path)
+    monkeypatch.setattr(queries.warc, "write_pages", damaged)
+    with pytest.raises(Exception, match="unreadable bytes"):
+        queries.op8_warc(spark, "/root/testdata/sf0.001").collect()
