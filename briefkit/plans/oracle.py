@@ -1,23 +1,29 @@
 """DuckDB SQL equivalents of the registered queries (the correctness oracle).
 
 Each string runs on DuckDB with the driver's tables registered as views.
-Regexes are RE2 here (no look-around, no back-references, ``'g'`` for
-global replace); the Spark side uses the Java forms in ``briefkit.functions``.
-Both are written from the same rules; the DuckDB text is independent SQL,
-not generated from the Spark plan.
+Patterns are written here in RE2's own terms (no look-around, no
+back-references, ``'g'`` for global replace) from the rules of the survey, and
+not taken from the Spark side; only word lists, fixed texts and run parameters
+are shared (``config``, ``catalog``).
 """
 
 from __future__ import annotations
 
-import re
-
 from .. import config as cfg
-from ..functions import dates, html, responses, text, urls
 
-SENDER_RX = text.SENDER_RX.replace("(?d)", "")
-DATE_RX = dates.DATE_RX.replace("(?d)", "")
-TITLE_RX = responses.TITLE_RX.replace("(?d)", "")
-URL_RX = urls.URL_RX
+# White space as Python's str.isspace() has it: ASCII blanks, the separators
+# 1C to 1F, NEL, and all Unicode separators.
+_W = r"\s\v\x1c-\x1f\x{85}\p{Z}"
+WS, INK = f"[{_W}]", f"[^{_W}]"
+WORD = r"\p{L}\p{N}_"
+
+SENDER_RX = f"^(.*?){WS}*<(.+?)>"
+TITLE_RX = rf"###{WS}*\p{{Nd}}+\.{WS}*([^\n]*)\n"
+URL_RX = rf"https?://[{WORD}.\-]+(?:/[{WORD}./?%&=\-]*)?"
+DATE_RX = (rf"^{WS}*(?:[^,{_W}]*,{WS}*|(?i:sun|mon|tue|wed|thu|fri|sat){WS}+)?"
+           rf"(?:(\d\d?),?{WS}+([A-Za-z]+)|([A-Za-z]+){WS}+(\d\d?),?)"
+           rf"{WS}+(\d{{1,4}}),?{WS}+(\d\d?):(\d\d?)(?::(\d\d?))?"
+           rf"(?:{WS}*([+-]\d+)|{WS}+({INK}+))?(?:{WS}.*)?$")
 
 
 def q(s: str) -> str:
@@ -120,16 +126,16 @@ def short_sender(x: str) -> str:
 
 
 def normalize(x: str) -> str:
-    return f"regexp_replace(lower({x}), {q(cfg.RX_NORMALIZE[1])}, '', 'g')"
+    return f"regexp_replace(lower({x}), '[^0-9a-z]+', '', 'g')"
 
 
 def email_domain(x: str) -> str:
-    return f"regexp_replace(regexp_extract({x}, '([^@]*)$', 1), {q(cfg.RX_MAIL_PREFIX[1])}, '')"
+    return f"regexp_replace(regexp_extract({x}, '([^@]*)$', 1), '^(newsletter|mail|news|info)[.]', '')"
 
 
 def clean_subject(x: str) -> str:
-    s1 = strip(f"regexp_replace({x}, {q(cfg.RX_SUBJECT_TAG[1].replace('(?d)', ''))}, '')")
-    return strip(f"regexp_replace({s1}, {q(cfg.RX_SUBJECT_PREFIX[1].replace('(?d)', ''))}, '')")
+    s1 = strip(f"regexp_replace({x}, '^\\[[^\\]\\n]*\\]', '')")
+    return strip(f"regexp_replace({s1}, '^[^:\\n]*:', '')")
 
 
 def breaking(x: str) -> str:
@@ -148,18 +154,33 @@ def homepage_from_body(x: str) -> str:
     return f"coalesce(list_filter({kept}, lambda u: {path} IN ({roots}))[1], ({kept})[1])"
 
 
-def apply_steps(x: str, steps) -> str:
-    """The shared HTML step list as nested DuckDB calls ($n → \\n)."""
-    c = x
-    for kind, a, b, _guard in steps:
-        if kind == "rx":
-            rep = re.sub(r"[$](\d)", lambda m: "\\" + m.group(1), b)
-            c = f"regexp_replace({c}, {q(a)}, {q(rep)}, 'g')"
-        else:
-            c = f"replace({c}, {q(a)}, {q(b)})"
-    return c
+def _gsub(x: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, new in steps:
+        x = f"regexp_replace({x}, {q(pattern)}, {q(new)}, 'g')"
+    return x
+
+
+#: Elements that go with their content (to the end if not closed), then
+#: the attributes of every tag that has more than its name.
+ELEMENTS = [(r"(?is)<!--.*?-->|<script\b[^>]*>.*?(</script\s*>|\z)|<style\b[^>]*>.*?(</style\s*>|\z)|<(meta|link)\b[^>]*>|<![^>]*>", ""),
+            (r"<([A-Za-z][A-Za-z0-9:\-]*)[^A-Za-z0-9:>\-][^>]*>", r"<\1>")]
+#: D3: media blocks, then rules of classes, then any braces.
+CSS = [(r"@media[^{]+\{[^}]+\}", ""), (rf"\.[{WORD}\-]+[^{{]*\{{[^}}]+\}}", ""), (r"\{[^}]+\}", "")]
+#: Headings, blocks, items, other and cut-off tags.
+TAGS = [(f"<[hH]{n}>", "\n" + "#" * n + " ") for n in range(1, 7)] + [
+    (r"(?i)</?(html|head|body|title|p|div|br|hr|pre|blockquote|table|thead|tbody|tr|ul|ol|article|section|header|footer|nav|main|aside)>|</h[1-6]>", "\n"),
+    (r"(?i)<li>", "\n* "), (r"</?[A-Za-z][A-Za-z0-9:\-]*>|<[A-Za-z/][^>]*\z", "")]
+REFERENCES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "copy": "©", "middot": "·",
+              "mdash": "—", "ndash": "–", "hellip": "…", "amp": "&"}
+SPACES = [(r"[ \t]{2,}|\t", " "), (r" \n ?|\n ", "\n"), (r"\n{3,}", "\n\n")]
+
+
+def strip_css(x: str) -> str:
+    return _gsub(x, ELEMENTS + CSS)
 
 
 def clean_body(x: str) -> str:
-    c = apply_steps(x, html.ELEMENT_STEPS + html.CSS_STEPS + html.MARKDOWN_STEPS)
-    return f"coalesce({strip(c)}, {q(cfg.CLEAN_ERROR)})"
+    c = _gsub(strip_css(x), TAGS)
+    for name, char in REFERENCES.items():   # & last, so that nothing is decoded twice
+        c = f"replace({c}, {q('&' + name + ';')}, {q(char)})"
+    return f"coalesce({strip(_gsub(c, SPACES))}, {q(cfg.CLEAN_ERROR)})"

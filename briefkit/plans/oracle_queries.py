@@ -6,7 +6,6 @@ import datetime as dt
 import re
 
 from .. import config as cfg
-from ..functions import html
 from ..operators.prompts import PROMPT_HEAD
 from . import catalog as C
 from . import oracle as O
@@ -178,10 +177,6 @@ def report_errors_sql() -> str:
         FROM c LEFT JOIN a USING (category_no)"""
 
 
-def strip_css_sql(x: str) -> str:
-    return O.apply_steps(x, html.ELEMENT_STEPS + html.CSS_STEPS)
-
-
 def block_sql() -> str:
     item = f"CAST((seq - 1) % {B} + 1 AS BIGINT)"
     return (f"'NEWSLETTER #' || CAST({item} AS VARCHAR) || {NL} || 'SUBJECT: ' || coalesce(subject, 'None') || {NL}"
@@ -365,7 +360,7 @@ def oracle_queries() -> dict[str, str]:
               || {NL} || {NL} || '| line | text |' || {NL} || '| --- | --- |' || {NL}
               || array_to_string(list_transform(range(1, len(l) + 1), lambda i: '| ' || i || ' | ' || l[i] || ' |'), {NL})
               || {NL} || {NL} || 'éé€… <b> &unknown;' AS cleaned FROM d""",
-        "strip_css": f"SELECT page_id, {strip_css_sql('html')} AS stripped FROM pages",
+        "strip_css": f"SELECT page_id, {O.strip_css('html')} AS stripped FROM pages",
         "cost_rollup": _with(*rollup_ctes()) + "SELECT level, key, runs, tokens, round(cost, 6) AS cost, first_ord FROM g",
         "cost_shares": _with(*rollup_ctes(), "t AS (SELECT * FROM g WHERE level = 'total')") + """
             SELECT level, key, runs, tokens, first_ord, round(cost, 6) AS cost,
