@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as cfg
+from .common import let
 
 
 # Sender "Name <address>" (Python re.match anchors at the start only).
@@ -70,13 +71,37 @@ def truncate_item(c: Column, limit: int = cfg.ITEM_CHAR_LIMIT) -> Column:
     return F.concat(F.substring(c, 1, limit), F.lit(cfg.ITEM_SUFFIX))
 
 
+#: What repr() escapes beyond Latin-1: characters that are not printable.
+_UNPRINTABLE_RX = r"[[\p{C}\p{Z}]&&[^\x00-\xFF]]"
+
+
 def py_repr(c: Column) -> Column:
-    """repr() of a Python str: quotes, backslash, \\n \\t \\r, and the blanks and
-    control characters below U+0100 that are not printable, as \\xNN."""
+    """repr() of a Python str: quotes, backslash, \\n \\t \\r, and what is not
+    printable as \\xNN, \\uNNNN or \\UNNNNNNNN (by the JVM's Unicode tables)."""
     esc = F.regexp_replace(c, r"\\", r"\\\\")
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace(esc, "\n", r"\\n"), "\t", r"\\t"), "\r", r"\\r")
     for n in [*range(0x01, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA1), 0xAD]:
         esc = F.replace(esc, F.lit(chr(n)), F.lit(f"\\x{n:02x}"))
+
+    def char(x: Column) -> Column:
+        code = F.lower(F.hex(F.encode(x, "UTF-32")))
+        return F.when(~x.rlike(_UNPRINTABLE_RX), x).when(code.startswith("0000"), F.concat(F.lit("\\u"), F.substring(code, 5, 4))) \
+            .otherwise(F.concat(F.lit("\\U"), code))
+
+    esc = let(esc, lambda v: F.when(v.rlike(_UNPRINTABLE_RX), F.array_join(F.transform(F.regexp_extract_all(v, F.lit("(?s)."), 0), char), "")).otherwise(v))
     dq = esc.contains("'") & ~esc.contains('"')
     return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'")))
+
+
+def json_repr(json: Column) -> Column:
+    """repr() of the Python value that compact JSON text stands for: strings as
+    above, True, False, None, and a blank after each comma and colon."""
+    def token(t: Column) -> Column:
+        said = py_repr(F.variant_get(F.try_parse_json(t), "$", "string"))
+        plain = F.replace(F.replace(t, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
+        for name, value in (("true", "True"), ("false", "False"), ("null", "None")):
+            plain = F.replace(plain, F.lit(name), F.lit(value))
+        return F.when(t.startswith('"'), said).otherwise(plain)
+    tokens = F.regexp_extract_all(json, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]+'), 0)
+    return F.array_join(F.transform(tokens, token), "")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as cfg
-from ..functions.text import py_repr, py_strip
+from ..functions.text import json_repr, py_repr, py_strip
 from ..functions.urls import is_generic_url, is_tracking_url, is_valid_url
 from ..session import stored
 from .sequence import global_rank
@@ -35,12 +35,9 @@ def typed_entries(rows: DataFrame) -> DataFrame:
 
 
 def _variant_repr(v: Column) -> Column:
-    j, kind = F.to_json(v), F.schema_of_variant(v)
-    return F.when(F.is_variant_null(v), F.lit("None")).when(j == "true", F.lit("True")) \
-            .when(j == "false", F.lit("False")) \
-            .when(kind == "STRING", py_repr(F.variant_get(v, "$", "string"))) \
-            .when(kind == "ARRAY<STRING>", F.concat(F.lit("["), F.array_join(
-                F.transform(F.variant_get(v, "$", "array<string>"), py_repr), ", "), F.lit("]"))).otherwise(j)
+    """repr() of a JSON value; an object's members come by name, as a VARIANT
+    keeps them."""
+    return F.when(v.isNotNull(), json_repr(F.to_json(v)))
 
 
 def variant_entries(entries: DataFrame) -> DataFrame:

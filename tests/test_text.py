@@ -54,3 +54,18 @@ def test_py_strip_matches_python(spark):
 def test_py_repr_matches_python(spark):
     vals = ["plain", "it's", "both ' and \"", "tab\there", "back\\slash", "trail "]
     assert one(spark, X.py_repr, vals) == [repr(v) for v in vals]
+
+
+def test_py_repr_beyond_latin(spark):
+    values = ["a b", "﻿x", "​", "é ü 日本", " '", "emoji 😀 ok", "tag \U000e0041", "\"", "plain"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    assert [r[1] for r in df.select("i", X.py_repr(F.col("v"))).orderBy("i").collect()] == [repr(v) for v in values]
+
+
+def test_json_repr_is_that_of_the_parsed_value(spark):
+    import json
+
+    values = [5, -1.5, True, False, None, "x", "it's", 'say "hi"', "a,b:c true null", [], {}, [1, "two", None, [True, {"k": "v: 1, 2"}]],
+              {"a": {"b": [1, 2]}, "c": " \\"}, "tab\there", ["\n"]]
+    df = spark.createDataFrame([(i, json.dumps(v, separators=(",", ":"))) for i, v in enumerate(values)], "i int, v string")
+    assert [r[1] for r in df.select("i", X.json_repr(F.col("v"))).orderBy("i").collect()] == [repr(v) for v in values]
