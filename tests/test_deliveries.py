@@ -6,16 +6,13 @@ import os
 
 from pyspark.sql import functions as F
 
-from briefkit.functions.text import registry_key
 from briefkit.operators import sites, stats
-from briefkit.operators.parse import parse_messages
 from briefkit.session import scratch_path
 from briefkit.sources import commitlog
 from briefkit.sources import tables as T
-from briefkit.sources.messages import b64url, read_messages, to_message_resources
+from briefkit.sources.messages import read_messages, to_message_resources
 from briefkit.streaming import deliveries as D
 from briefkit.streaming import pipelines as S
-from briefkit.streaming import registry_state as R
 
 from .conftest import SF
 
