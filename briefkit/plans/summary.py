@@ -15,8 +15,8 @@ failed goes on with the prompts still unanswered.
 from __future__ import annotations
 
 import datetime as dt
-from functools import partial, reduce
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +28,12 @@ from ..operators import costs, digest, prompts, quality, review, scoring, sites,
 from ..operators.select import select_messages
 from ..session import scratch_path
 from ..session import stored as saved
+from ..sources.commitlog import is_log
 from ..sources.costlog import append_cost_rows, good_rows, read_cost_log
 from ..sources.messages import read_messages
 from ..sources.registry import read_registry, registry_entries, write_registry_version
 from ..sources.report_sink import write_report
+from ..streaming.deliveries import read_messages_log
 from . import report as R
 
 
@@ -69,10 +71,10 @@ def run_summary(spark: SparkSession, messages_path: str, out_dir: str, p: Summar
                 curated: DataFrame | None = None, client_factory=scoring.echo_factory,
                 fallback_factory=None, stored: bool = False) -> dict:
     """``messages_path`` holds exported message files, or (``stored``) the
-    date-partitioned table written by the ingest stream, whose cleaned text
-    is reused and whose look-back prunes partitions."""
+    date-partitioned table or log written by an ingest stream, whose cleaned
+    text is reused and whose look-back prunes partitions."""
     if stored:
-        msgs = spark.read.parquet(messages_path)
+        msgs = read_messages_log(spark, messages_path) if is_log(spark, messages_path) else spark.read.parquet(messages_path)
         date_col, keep = "received_date", ["cleaned"]
     else:
         msgs = read_messages(spark, messages_path).withColumn("received_ts", F.timestamp_millis("internalDate")) \

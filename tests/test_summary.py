@@ -77,14 +77,17 @@ def test_cost_validation_review(spark, tmp_dir):
 
 def test_summary_from_stored_table_matches_files(spark, tmp_dir):
     from briefkit.streaming import pipelines as S
+    from briefkit.streaming.deliveries import ingest_log_stream
     src = scratch_path(spark, "t-sum2-src")
     to_message_resources(T.messages(spark, SF)).write.json(src)
     table, ck = scratch_path(spark, "t-sum2-table"), scratch_path(spark, "t-sum2-ck")
     S.ingest_stream(spark, src, table, ck).awaitTermination()
+    log, ck2 = scratch_path(spark, "t-sum2-log"), scratch_path(spark, "t-sum2-ck2")
+    ingest_log_stream(spark, src, log, ck2).awaitTermination()
     p = P.SummaryParams(run_ts=dt.datetime(2024, 1, 31, 9, 30), days=7, batch_items=20)
     texts = []
-    for path, stored in ((src, False), (table, True)):
-        res = P.run_summary(spark, path, os.path.join(tmp_dir, f"o{stored}"), p, os.path.join(tmp_dir, f"c{stored}"),
+    for path, stored in ((src, False), (table, True), (log, True)):
+        res = P.run_summary(spark, path, os.path.join(tmp_dir, f"o{len(texts)}"), p, os.path.join(tmp_dir, f"c{len(texts)}"),
                             scratch_path(spark, "t-sum2-reg"), stored=stored)
         texts.append(concat_parts(res["report"]))
-    assert texts[0] == texts[1]
+    assert texts[0] == texts[1] == texts[2]
