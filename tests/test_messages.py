@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from briefkit import config as cfg
 from briefkit.operators.select import select_messages
-from briefkit.sources.messages import read_messages, records_from_json_text
+from briefkit.operators.parse import b64url_text
+from briefkit.sources.messages import b64url, read_messages, records_from_json_text
 
 
 def b64(s: str | bytes) -> str:
@@ -111,3 +112,13 @@ def test_inline_records(spark):
                        {"subject": "c", "date": "d", "sender": "s", "body": None, "body_format": "html"}])
     rows = records_from_json_text(spark, text).orderBy("ord").collect()
     assert [(r.ord, r.subject, r.body_format) for r in rows] == [(0, "a", None), (1, "c", "html")]
+
+
+def test_base64url_takes_bytes_not_characters(spark):
+    """Both signs of base64url are replaced as bytes; translate looks up every
+    character of a body."""
+    df = spark.createDataFrame([("?>?>~~é" * 9,), ("",), (None,)], "t string")
+    back = df.select("t", b64url(F.col("t")).alias("u")).select("t", "u", b64url_text(F.col("u")).alias("b"))
+    assert "translate" not in back._jdf.queryExecution().analyzed().toString()
+    rows = back.collect()
+    assert all(r.t == r.b for r in rows) and "-" in rows[0].u + rows[1].u and not set("+/\r\n") & set(rows[0].u)
