@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import config as cfg
 from .. import schemas
 from ..functions.markdown import clean_markdown
-from ..session import stored
+from ..session import remove, scratch_path, stored
 from ..sources import commitlog
 
 MESSAGES = ("msg_id string, ord long, labels array<string>, subject string, date string, sender string, recipient string, body string, "
@@ -51,9 +51,11 @@ def ingest_log_stream(spark: SparkSession, source_dir: str, root: str, checkpoin
     def write(batch: DataFrame, batch_id: int) -> None:
         if commitlog.applied(spark, root, batch_id):
             return
-        x = stored(batch, "s1-batch")
+        held = scratch_path(spark, "s1-batch")   # the parsed lines, until the batch is committed
+        batch.write.option("compression", "zstd").parquet(held)
+        x = spark.read.schema(batch.schema).parquet(held)
         path = commitlog.batch_path(root, name := commitlog.new_batch())
-        good = x.where("reason is null")
+        good = x.where("reason is null").drop("raw_line", "raw_message", "reason", "decode_ok")
         dates = [r[0] for r in good.select("received_date").distinct().collect()]   # the days of one batch
         seen = commitlog.read(spark, root, MESSAGES, "messages")
         days = F.col("received_date").isin([d for d in dates if d]) | (F.col("received_date").isNull() if None in dates else F.lit(False))
@@ -61,11 +63,13 @@ def ingest_log_stream(spark: SparkSession, source_dir: str, root: str, checkpoin
         same = (good["msg_id"] == seen["msg_id"]) & good["received_ts"].eqNullSafe(seen["received_ts"])
         fresh = good.join(seen, same, "left_anti").dropDuplicates(["msg_id", "received_ts"])
         cols = [c.strip().split()[0] for c in MESSAGES.split(", ")]
+        # written where the copies met: bodies go over the network once
         fresh = fresh.withColumn("cleaned", clean(F.col("body")))
-        fresh.select(*cols).repartition("received_date").write.partitionBy("received_date").parquet(f"{path}/messages")
+        fresh.select(*cols).write.option("compression", "zstd").partitionBy("received_date").parquet(f"{path}/messages")
         bad = F.coalesce("raw_line", "raw_message", F.to_json(F.struct("msg_id", "subject", "date", "sender", "recipient", "body_format")))
         x.where("reason is not null").select("msg_id", "received_ts", bad.alias("raw"), "reason").write.parquet(f"{path}/quarantine")
         commitlog.commit(spark, root, name, mark=batch_id)
+        remove(spark, held)
 
     return _run(m, write, checkpoint_dir, available_now)
 

@@ -113,3 +113,19 @@ def test_rank_is_carried_across_batches(spark, tmp_dir):
     last = commitlog.commits(spark, root)[-1]
     written = spark.read.parquet(commitlog.batch_path(root, last.batch) + "/entries")
     assert [r.name for r in written.collect()] == ["some paper"]
+
+
+def test_stream_sources_are_many_files(spark):
+    """No task gathers a quarter of the messages into one file; there are four
+    micro-batches all the same, and no parsed batch stays behind."""
+    from briefkit.plans import catalog
+    from briefkit.session import children, ensure_checkpoint_dir
+    for src in (catalog._stream_source(spark, SF), catalog._resent(spark, SF)):
+        files = [n for n in children(spark, src) if n.startswith("part-")]
+        assert len(files) >= 32 and len(files) <= 4 * catalog._per_trigger(spark, src)
+        sizes = spark.read.text(src).groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+        assert sizes[0] <= sizes[1] / 16
+    kept = f"{ensure_checkpoint_dir(spark)}/briefkit"
+    before = {n for n in children(spark, kept) if n.startswith("s1-batch")}
+    assert catalog.stream_quarantine(spark, SF).count() > 0
+    assert {n for n in children(spark, kept) if n.startswith("s1-batch")} == before
