@@ -7,12 +7,13 @@ has a Krichevsky-Trofimov estimate from its counts in the training documents,
 and context-tree weighting mixes the estimates of all depths, which gives the
 probability, so the code length, of each byte.
 
-All training documents are counted: a task counts the (DEPTH+1)-byte strings of
-its texts, and sorted runs of them meet by the byte before the predicted one,
-where the subtree of that context is weighted.  A context stays in the tree if
-it holds at least 1 / ``CONTEXTS`` of the training bytes; the others of a node
-are pooled as one further child.  So at most ``CONTEXTS`` contexts of a depth
-stay at any corpus size, which bounds the model that is sent to the tasks.
+All training documents are counted, and every context that occurs stays in the
+tree.  No task holds the tree or sends it: a task takes the distinct
+(DEPTH+1)-byte strings of a bounded bucket of documents, scored ones too, with
+their training counts; they meet by the ``PREFIX`` bytes before the predicted
+one, where the subtree below these is weighted; the log probability of each
+string goes back to the buckets that have it.  The levels above are the sums of
+at most 2^16 nodes.
 
 The unigram base needs the counts of all words, which have no bound: a task
 numbers the words of a bounded bucket of documents by their 64-bit hashes, only
@@ -28,6 +29,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -37,14 +39,18 @@ from pyspark.sql import functions as F
 
 from .shared import prepare, remainder, stored, text_bytes
 
-DEPTH, CONTEXTS = 6, 1 << 20
+DEPTH = 6
+#: Strings meet by so many bytes before the predicted one.
+PREFIX = 2
 FOLDS, HELD_OUT = 5, 1
-#: Bounds of a bucket of documents: distinct words, tokens.
-BUCKET_WORDS, BUCKET_TOKENS = 200_000, 3_000_000
+#: Bounds of a bucket of documents: distinct words, bytes.
+BUCKET_WORDS, BUCKET_BYTES = 200_000, 16 << 20
 #: Words meet by so many leading bits of their hash.
 PART_BITS = 8
 #: Byte strings a task holds before it sorts and counts them.
 HELD = 6_000_000
+#: Strings of a row of the tree.
+PIECE = 500_000
 U = np.uint64
 #: Texts that are scored together have so many bytes, or are one text.
 SCORED = 1 << 20
@@ -57,31 +63,41 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join(words) + b"\n"
 
 
-def strings(streams: list[bytes], depth: int) -> np.ndarray:
-    """Of every byte of the streams: itself (lowest) and the ``depth`` bytes
-    before it, line ends before the first."""
+def windows(streams: list[bytes], depth: int) -> np.ndarray:
+    """Turned strings: of every byte of the streams the ``depth`` bytes before
+    it, the nearest one highest, line ends before the first, then itself
+    (lowest).  Sorted ones lie by their contexts."""
     pad = b"\n" * depth
-    b = np.frombuffer(b"".join(pad + s for s in streams), np.uint8).astype(U)
-    key = np.zeros(max(0, len(b) - depth), U)
-    for j in range(depth + 1):
-        key = (key << U(8)) | b[j:len(b) - depth + j]
-    sizes = np.array([len(s) + depth for s in streams])
-    own = np.ones(len(key), bool)
-    for end in np.cumsum(sizes)[:-1]:
+    data = b"".join(pad + s for s in streams)
+    size = max(0, len(data) - depth)
+    key = np.empty(size, U)
+    data += bytes(16)
+    for r in range(min(8, size)):  # eight bytes from each place, the first lowest
+        key[r::8] = np.frombuffer(data, "<u8", (size - r + 7) // 8, r)
+    key = ((key & _mask(depth)) << U(8)) | ((key >> U(8 * depth)) & U(255))
+    own = np.ones(size, bool)
+    for end in np.cumsum([len(s) + depth for s in streams])[:-1]:
         own[end - depth:end] = False  # these would predict the next text's padding
     return key[own]
 
 
+def strings(streams: list[bytes], depth: int) -> np.ndarray:
+    """Of every byte of the streams: itself (lowest) and the ``depth`` bytes
+    before it, line ends before the first."""
+    return turned(windows(streams, depth), depth)
+
+
+def turned(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Strings with their context backwards; its own inverse."""
+    return ((keys.byteswap() << U(8)) >> U(56 - 8 * depth)) | (keys & U(255))
+
+
 def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if len(runs) == 1:
         return runs[0]
-    keys, n = np.concatenate([k for k, _ in runs]), np.concatenate([n for _, n in runs])
-    if not len(keys):
-        return keys, n
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(n, first)
+    every, n = np.concatenate([k for k, _ in runs]), np.concatenate([n for _, n in runs])
+    keys = np.unique(every)
+    return keys, np.bincount(np.searchsorted(keys, every), n, len(keys)).astype(np.int64)
 
 
 def pack(x: np.ndarray, gaps: bool) -> bytes:
@@ -96,6 +112,14 @@ def unpack(data: bytes, gaps: bool) -> np.ndarray:
     return np.cumsum(x, dtype=U) if gaps else x
 
 
+def squeezed(x: np.ndarray, gaps: bool) -> bytes:
+    return zlib.compress(pack(x, gaps), 1)
+
+
+def loose(data: bytes, gaps: bool) -> np.ndarray:
+    return unpack(zlib.decompress(data), gaps)
+
+
 class Counted:
     """Running counts of byte strings."""
 
@@ -118,60 +142,106 @@ class Counted:
         return self.run
 
 
-SEEN = ("kind int, bucket long, doc_id long, h long, held_out boolean, n_tokens long, ids binary, "
-        "g int, n long, keys binary, counts binary")
+SEEN = ("kind int, bucket long, doc_id long, held_out boolean, n_tokens long, ids binary, names binary, "
+        "g int, keys binary, counts binary")
 COLUMNS = [x.split()[0] for x in SEEN.split(", ")]
-DOC, WORD, RUN = 0, 1, 2
+DOC, WORD, STRING = 0, 1, 2
+
+
+#: Steps of a log probability in one unit.
+LOGS = 65536.0
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zlib.compress(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _plain(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 class Bucket:
-    """Documents held until their distinct words, or tokens, reach a bound."""
+    """Documents held until their distinct words, or bytes, reach a bound."""
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int) -> None:
+        self.depth = depth
         self.id = uuid.uuid4().int >> 65
         self.number: dict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.docs: list[tuple] = []
         self.trained: list[np.ndarray] = []
-        self.tokens = 0
+        self.bytes = 0
 
-    def add(self, doc_id, h: int, held_out: bool, words: list[bytes]) -> None:
+    def add(self, doc_id, held_out: bool, words: list[bytes]) -> None:
         own = np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words))
-        self.docs.append((doc_id, h, held_out, own))
-        self.tokens += len(words)
+        self.docs.append((doc_id, held_out, own, stream(words)))
+        self.bytes += len(self.docs[-1][3])
         if not held_out:
             self.trained.append(own)
 
     def full(self) -> bool:
-        return len(self.number) > BUCKET_WORDS or self.tokens > BUCKET_TOKENS
+        return len(self.number) > BUCKET_WORDS or self.bytes > BUCKET_BYTES
 
     def frames(self) -> Iterator[pd.DataFrame]:
         """The documents with their words numbered in the order of their
-        hashes, and the words' hashes and training counts by part."""
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.number), U, len(self.number))
+        hashes, the first one with the words; the words' hashes and training
+        counts by part, and the turned byte strings with theirs by the bytes
+        they meet by."""
+        names = list(self.number)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), U, len(names))
         order = np.argsort(hashes)
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         for i in range(0, len(self.docs), 500):
             some = self.docs[i:i + 500]
-            yield _frame(DOC, len(some), bucket=self.id, doc_id=pd.Series([d[0] for d in some], dtype="Int64"), h=[d[1] for d in some],
-                         held_out=[d[2] for d in some], n_tokens=[len(d[3]) + 1 for d in some], ids=[_planes(rank[d[3]]) for d in some])
+            yield _frame(DOC, len(some), bucket=self.id, doc_id=pd.Series([d[0] for d in some], dtype="Int64"), held_out=[d[1] for d in some],
+                         n_tokens=[len(d[2]) + 1 for d in some], ids=[_planes(rank[d[2]]) for d in some],
+                         names=[None if i or k else b" ".join([names[j] for j in order]) for k in range(len(some))])
         n = np.bincount(np.concatenate(self.trained), minlength=len(order)) if self.trained else np.zeros(len(order), np.int64)
         hashes, n = hashes[order], n[order]
-        part = (hashes >> U(64 - PART_BITS)).astype(np.int64)
-        cuts = np.searchsorted(part, np.arange((1 << PART_BITS) + 1))
-        rows = [(g, hashes[a:b], n[a:b]) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        if rows:
-            yield _frame(WORD, len(rows), bucket=self.id, g=[g for g, _, _ in rows], keys=[pack(k, True) for _, k, _ in rows],
-                         counts=[pack(c, False) for _, _, c in rows])
+        yield from self._runs(WORD, hashes, n, hashes >> U(64 - PART_BITS))
+        keys, n = distinct([d[3] for d in self.docs], [not d[1] for d in self.docs], self.depth)
+        yield from self._runs(STRING, keys, n, keys >> U(8 * (self.depth + 1 - PREFIX)))
+
+    def _runs(self, kind: int, keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[pd.DataFrame]:
+        cuts = [*np.flatnonzero(np.diff(part, prepend=~part[:1])).tolist(), len(part)]
+        for s in range(0, len(cuts) - 1, 500):
+            k = cuts[s:s + 501]
+            yield _frame(kind, len(k) - 1, bucket=self.id, g=part[k[:-1]].astype(np.int64), keys=[squeezed(keys[a:b], True) for a, b in zip(k, k[1:])],
+                         counts=[squeezed(n[a:b], False) for a, b in zip(k, k[1:])])
+
+
+def _slices(streams: list[bytes], docs: int, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of streams with so many of them and bytes, or one stream."""
+    start, held = 0, 0
+    for i, s in enumerate(streams):
+        if i > start and (i - start == docs or held + len(s) > size):
+            yield start, i
+            start, held = i, 0
+        held += len(s)
+    if streams:
+        yield start, len(streams)
+
+
+def distinct(streams: list[bytes], trained: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct turned strings of the streams, and how often those that
+    are trained on have them."""
+    keys, at = np.empty(sum(map(len, streams)), U), 0
+    for a, b in _slices(streams, len(streams), SCORED):
+        own = windows(streams[a:b], depth)
+        keys[at:at + len(own)] = (own << U(8)) | np.repeat(np.array(trained[a:b], U), [len(s) for s in streams[a:b]])
+        at += len(own)
+    keys.sort()
+    first = np.flatnonzero(_starts(keys >> U(8)))
+    n = np.add.reduceat((keys & U(255)).astype(np.uint8), first, dtype=np.int64) if len(keys) else np.zeros(0, np.int64)
+    return keys[first] >> U(8), n
+
+
+def _starts(sorted_: np.ndarray) -> np.ndarray:
+    """Whether each value is the first of its kind."""
+    new = np.ones(len(sorted_), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    return new
 
 
 def _frame(kind: int, size: int, **columns) -> pd.DataFrame:
@@ -182,27 +252,16 @@ def _frame(kind: int, size: int, **columns) -> pd.DataFrame:
 
 def _seen(depth: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Documents → their tokens as numbers within a bucket, the buckets'
-        words with their training counts, and the task's byte strings."""
-        counted, bucket = Counted(), Bucket()
+        """Documents → their tokens as numbers within a bucket, and the
+        buckets' words and byte strings with their training counts."""
+        bucket = Bucket(depth)
         for pdf in batches:
-            train = []
-            for doc_id, h, held, data in zip(pdf["doc_id"], pdf["h"].tolist(), pdf["held_out"].tolist(), pdf["data"]):
-                words = data.lower().split()
-                bucket.add(None if pd.isna(doc_id) else int(doc_id), h, held, words)
-                if not held:
-                    train.append(stream(words))
+            for doc_id, held, data in zip(pdf["doc_id"], pdf["held_out"].tolist(), pdf["data"]):
+                bucket.add(None if pd.isna(doc_id) else int(doc_id), held, data.lower().split())
                 if bucket.full():
                     yield from bucket.frames()
-                    bucket = Bucket()
-            if train:
-                counted.add(strings(train, depth))
+                    bucket = Bucket(depth)
         yield from bucket.frames()
-        keys, counts = counted.settle()
-        before = (keys >> U(8)) & U(255)
-        for g in np.unique(before).tolist():
-            own = before == U(g)
-            yield _frame(RUN, 1, g=[g], n=[int(counts[own].sum())], keys=[pack(keys[own], True)], counts=[pack(counts[own], False)])
 
     return run
 
@@ -215,7 +274,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"of": [None], "g": [g], "c": [None], "n": [int(n.sum())], "v": [int((n > 0).sum())]}).astype({"of": "Int64"})
         for i in range(0, len(rows), 200):
             some = rows[i:i + 200]
-            yield pd.DataFrame({"of": [b for b, _, _ in some], "g": g, "c": [pack(n[np.searchsorted(keys, k)], False) for _, k, _ in some], "n": 0, "v": 0})
+            yield pd.DataFrame({"of": [b for b, _, _ in some], "g": g, "c": [squeezed(n[np.searchsorted(keys, k)], False) for _, k, _ in some], "n": 0, "v": 0})
 
     last, held = None, []
     for pdf in batches:
@@ -224,14 +283,23 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield from answered(last, held)
                 held = []
             last = g
-            held.append((b, unpack(k, True), unpack(c, False).astype(np.int64)))
+            held.append((b, loose(k, True), loose(c, False).astype(np.int64)))
     if held:
         yield from answered(last, held)
 
 
+#: Log gamma of the multiples of a half.
+HALVES = np.array([0.0] + [math.lgamma(k / 2) for k in range(1, 4096)])
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    values, at = np.unique(x, return_inverse=True)
-    return np.array([math.lgamma(v) for v in values.tolist()])[at] if len(x) else x
+    """Of multiples of a half above 0; large ones by Stirling's series."""
+    k = (2 * x).astype(np.int64)
+    out = HALVES[np.minimum(k, len(HALVES) - 1)]
+    large = k >= len(HALVES)
+    y = x[large]
+    out[large] = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y ** 3)
+    return out
 
 
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -454,78 +522,169 @@ def packed(keys: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes]:
     return zlib.compress(pack(keys[order], True), 1), values[order].tobytes()
 
 
-def train(runs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> Packed:
-    """Model of the counted byte strings (g, n, keys, counts)."""
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    names = ["what", "d", "u", "p"]
+def _nodes(keys: np.ndarray, counts: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of bit i of sorted turned strings: their first strings, each
+    string's node, and the nodes' counts of 0 and 1."""
+    cells = keys >> U(8 - i)
+    new = _starts(cells)
+    first, of = np.flatnonzero(new), (np.cumsum(new) - 1).astype(np.int32)
+    n1 = np.add.reduceat(counts * ((keys >> U(7 - i)) & U(1)).astype(np.int64), first)
+    return first, of, np.add.reduceat(counts, first) - n1, n1
+
+
+def weigh(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, list[tuple]]:
+    """Weighted tree below the ``top`` bytes that sorted turned strings share,
+    all of its contexts: by string and bit the log odds of a 1 below the top
+    nodes, and the top nodes (bits before, counts, log weights).
+
+    Strings that training doesn't have count 0: they change no weight, and
+    contexts that only they have give either bit 1/2."""
+    levels, up = {depth: (keys, counts)}, {}
+    for d in range(depth - 1, top - 1, -1):  # without the farthest byte
+        k, n = levels[d + 1]
+        k, at = np.unique(((k >> U(16)) << U(8)) | (k & U(255)), return_inverse=True)
+        levels[d], up[d + 1] = (k, np.bincount(at, n, len(k)).astype(np.int64)), at.astype(np.int32)
+    odds, tops = np.empty((8, len(keys)), np.int16), []
+    for i in range(8):
+        nodes = {d: _nodes(*levels[d], i) for d in levels}
+        mix, parent = {}, {}
+        log_w = _log_kt(*nodes[depth][2:])
+        for d in range(depth - 1, top - 1, -1):
+            _, of, n0, n1 = nodes[d]
+            parent[d + 1] = of[up[d + 1][nodes[d + 1][0]]]
+            kt, split = _log_kt(n0, n1), np.bincount(parent[d + 1], log_w, len(n0))
+            log_w = np.logaddexp(kt, split) - math.log(2)
+            mix[d] = 1 / (1 + np.exp(np.clip(split - kt, -700, 700)))
+        first, _, n0, n1 = nodes[top]
+        tops.append((_bits((levels[top][0][first] & U(255)).astype(np.int64), i)[0], n0, n1, log_w))
+        sure, left = np.zeros(len(n0)), np.ones(len(n0))
+        for d in range(top, depth):
+            _, _, n0, n1 = nodes[d]
+            kt, p = (n1 + 0.5) / (n0 + n1 + 1), parent[d + 1]
+            sure, left = (sure + left * mix[d] * kt)[p], (left * (1 - mix[d]))[p]
+        _, of, n0, n1 = nodes[depth]
+        odds[i] = _odds(sure + left * (n1 + 0.5) / (n0 + n1 + 1))[of]
+    return odds, tops
+
+
+class Upper:
+    """The levels above depth 2: by the nearest byte and the bits before, what
+    they add to the probability of a 1 and the share that they leave below."""
+
+    def __init__(self, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> None:
+        kt = _log_kt(n0, n1)
+        mix = 1 / (1 + np.exp(np.clip(below - kt, -700, 700)))
+        before = np.tile(np.arange(FIRST_BITS), len(n0))
+        root = Root([(before, n0.ravel(), n1.ravel(), (np.logaddexp(kt, below) - math.log(2)).ravel())])
+        self.sure = root.sure + root.left * mix * (n1 + 0.5) / (n0 + n1 + 1)
+        self.left = root.left * (1 - mix)
+
+    def logs(self, keys: np.ndarray, odds: np.ndarray, depth: int) -> np.ndarray:
+        """Log10 probability of the turned strings' last bytes."""
+        byte, near, out = (keys & U(255)).astype(np.int64), (keys >> U(8 * depth)).astype(np.int64), np.zeros(len(keys))
+        for i in range(8):
+            before, bit = _bits(byte, i)
+            p = self.sure[near, before] + self.left[near, before] * _chance(odds[i])
+            out += np.log10(np.where(bit == 1, p, 1 - p))
+        return out.astype(np.float32)
 
-    def weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for pdf in batches:
-            for g, k, n in zip(pdf["g"].tolist(), pdf["keys"], pdf["counts"]):
-                run = unpack(k, True), unpack(n, False).astype(np.int64)
-                met[g] = _merged([met[g], run]) if g in met else run
-        for g, (keys, n) in met.items():
-            t = subtree(keys, n, depth, total / contexts)
-            out = [("grams", g, t["grams"][0].tobytes(), t["grams"][1].astype(np.float32).tobytes()),
-                   ("top", g, t["top"][0].tobytes(), np.stack(t["top"][1:]).tobytes())]
-            out += [(f"nodes{d}", g, u.tobytes(), p.astype(np.float32).tobytes()) for d, (u, p) in t["nodes"].items()]
-            yield pd.DataFrame(out, columns=names)
-
-    tree = stored(runs.select("g", "keys", "counts").repartition("g").mapInPandas(weighted, "what string, d int, u binary, p binary"), "tree")
-    tops = []
-    for r in tree.where("what = 'top'").collect():
-        tops.append((np.frombuffer(r["u"], U), *np.frombuffer(r["p"], np.float64).reshape(3, -1)))
-    root = Root(tops)
 
-    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for what, u, p in zip(pdf["what"], pdf["u"], pdf["p"]):
-                u, p = np.frombuffer(u, U), np.frombuffer(p, np.float32)
-                out.append((root.logs(u, p.reshape(-1, 8)) if what == "grams" else root.node(u, p)).tobytes())
-            yield pd.DataFrame({"u": pdf["u"], "p": out})
+def _by_part(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Iterator]]:
+    """Rows sorted by part → each part with an iterator of its rows."""
+    rows = (r for pdf in batches for r in pdf.itertuples(index=False))
+    return groupby(rows, key=lambda r: r.g)
 
-    def sent(what: str, kind: type) -> tuple[bytes, bytes]:
-        got = tree.where(F.col("what") == what).mapInPandas(finished, "u binary, p binary").collect()
-        u, p = b"".join(r["u"] for r in got), b"".join(r["p"] for r in got)
-        return packed(np.frombuffer(u, U), np.frombuffer(p, kind))
 
-    return Packed(depth, root.alone(), {d: sent(f"nodes{d}", np.int16) for d in range(1, depth + 1)}, sent("grams", np.float32))
+def probabilities(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Turned byte strings of buckets with their training counts (bucket, g,
+    keys, counts) → their log10 probabilities (of, g, c: in steps of -1 / LOGS)."""
+    def weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g, rows in _by_part(batches):
+            run, held, size = (np.zeros(0, U), np.zeros(0, np.int64)), [], 0
+            for r in rows:
+                held.append((loose(r.keys, True), loose(r.counts, False).astype(np.int64)))
+                size += len(held[-1][0])
+                if size > max(1 << 20, len(run[0])):
+                    run, held, size = _merged([run, *held]), [], 0
+            keys, n = _merged([run, *held])
+            odds, tops = weigh(keys, n, depth, PREFIX)
+            top = np.stack([np.concatenate([t[j] for t in tops]).astype(float) for j in range(4)]).tobytes()
+            for i in range(0, len(keys), PIECE):
+                yield pd.DataFrame({"g": [g], "piece": [i], "keys": [squeezed(keys[i:i + PIECE], True)], "odds": [odds[:, i:i + PIECE].tobytes()],
+                                    "top": [None if i else top]})
+
+    met = strings.select("g", "keys", "counts").repartition("g").sortWithinPartitions("g")
+    tree = stored(met.mapInPandas(weighted, "g int, piece long, keys binary, odds binary, top binary"), "tree")
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, top in zip(pdf["g"].tolist(), pdf["top"]):
+                before, n0, n1, w = np.frombuffer(top).reshape(4, -1)
+                yield pd.DataFrame({"near": g >> 8, "before": before.astype(np.int64), "n0": n0, "n1": n1, "w": w})
 
+    tops = tree.where("top is not null").select("g", "top").mapInPandas(summed, "near int, before int, n0 double, n1 double, w double")
+    n = np.zeros((3, 256, FIRST_BITS))
+    for r in tops.groupBy("near", "before").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "w")]).collect():  # at most 2^16 nodes
+        n[:, r["near"], r["before"]] = r["n0"], r["n1"], r["w"]
+    upper = Upper(*n)
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, contexts: int = CONTEXTS) -> DataFrame:
+    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            logs = [upper.logs(loose(k, True), np.frombuffer(q, np.int16).reshape(8, -1), depth).tobytes() for k, q in zip(pdf["keys"], pdf["odds"])]
+            yield pdf[["g", "piece", "keys"]].assign(logs=logs)
+
+    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for g, rows in _by_part(batches):
+            known, steps = [], []
+            for r in rows:
+                if r.logs is not None:  # the part's tree comes first
+                    known.append(loose(r.keys, True))
+                    steps.append(np.round(np.frombuffer(r.logs, np.float32) * -LOGS).astype(np.uint32))
+                    continue
+                if len(known) > 1:
+                    known, steps = [np.concatenate(known)], [np.concatenate(steps)]
+                out.append((r.of, g, _planes(steps[0][np.searchsorted(known[0], loose(r.keys, True))])))
+                if len(out) == 200:
+                    yield pd.DataFrame(out, columns=["of", "g", "c"])
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=["of", "g", "c"])
+
+    none = F.lit(None)
+    trees = tree.select("g", "piece", "keys", "odds").mapInPandas(finished, "g int, piece long, keys binary, logs binary")
+    asked = strings.select("g", F.lit(-1).cast("long").alias("piece"), "keys", none.cast("binary").alias("logs"), F.col("bucket").alias("of"))
+    both = trees.select("g", "piece", "keys", "logs", none.cast("long").alias("of")).unionAll(asked)
+    met = both.repartition("g").sortWithinPartitions("g", F.col("logs").isNull(), "piece")
+    return met.select("g", "keys", "logs", F.coalesce("of", F.lit(-1)).alias("of")).mapInPandas(answered, "of long, g int, c binary")
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score.
+    base_score, score.  ``depth`` is 2 to 6 bytes.
 
     Null texts count as empty, which is the end alone; rows that repeat id and
     text have equal scores; null ids fall in the fold of the empty id; without
     training documents every byte has probability 1/256; an empty table gives
     no rows; other columns are not read."""
-    spark = docs.sparkSession
-    prepare(spark)
+    if not PREFIX <= depth <= 6:
+        raise ValueError(f"depth {depth} is not {PREFIX} to 6")
+    prepare(docs.sparkSession)
     data = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_bytes(docs[text]).alias("data"),
-                       (remainder(docs[doc_id], FOLDS) == HELD_OUT).alias("held_out")).withColumn("h", F.xxhash64("data"))
+                       (remainder(docs[doc_id], FOLDS) == HELD_OUT).alias("held_out"))
     seen = stored(data.mapInPandas(_seen(depth), SEEN), "tokens")
-    rows, words = seen.where(f"kind = {DOC}"), seen.where(f"kind = {WORD}").select("bucket", "g", "keys", "counts")
-    model = train(seen.where(f"kind = {RUN}"), depth, contexts)
-    shared = spark.sparkContext.broadcast((model.depth, model.root, model.nodes, model.grams))
-
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Packed(*shared.value).open()
-        for texts in batches:
-            yield pd.Series(known.scores(texts.tolist()), dtype=float)
-
-    scores = stored(data.select("doc_id", "h", scored("data").alias("score")), "scores")
-    answers = stored(words.repartition("g").sortWithinPartitions("g").mapInPandas(_counts, "of long, g int, c binary, n long, v long"), "words")
+    rows, words, strings_ = (seen.where(f"kind = {k}") for k in (DOC, WORD, STRING))
+    answers = stored(words.select("bucket", "g", "keys", "counts").repartition("g").sortWithinPartitions("g")
+                     .mapInPandas(_counts, "of long, g int, c binary, n long, v long"), "words")
     ends = rows.where("not held_out").count()
     size = answers.where("of is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = (size["n"] or 0) + ends, (size["v"] or 0) + (ends > 0)
-    answers = answers.where("of is not null").select("of", "g", "c")
+    answers = answers.where("of is not null").select("of", F.lit(WORD).alias("kind"), "g", "c") \
+        .unionAll(probabilities(strings_, depth).select("of", F.lit(STRING).alias("kind"), "g", "c"))
 
-    def base(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(c, False) for c in right.sort_values("g")["c"]]
+    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("g")
+        parts = [loose(c, False) for c in right["c"][right["kind"] == WORD]]
         c = np.concatenate(parts).astype(float) if parts else np.zeros(0)
         logs = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         end = math.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
@@ -534,11 +693,25 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
             own = _plain(ids)
             known.append(int((c[own] > 0).sum()) + (ends > 0))
             sums.append(float(logs[own].sum()) + end)
-        return pd.DataFrame({"doc_id": left["doc_id"], "h": left["h"], "held_out": left["held_out"], "n_tokens": left["n_tokens"],
-                             "n_known": known, "base_score": sums})
-
-    based = rows.select("bucket", "doc_id", "h", "held_out", "n_tokens", "ids").groupBy("bucket").cogroup(answers.groupBy("of")) \
-        .applyInPandas(base, "doc_id long, h long, held_out boolean, n_tokens long, n_known long, base_score double")
-    one = scores.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.min("score").alias("score"))
-    return based.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+        names = np.array((left["names"].dropna().tolist() or [b""])[0].split(b" "), object)
+        streams = [stream(names[_plain(ids)].tolist()) for ids in left["ids"]]
+        of_strings = np.concatenate([_plain(c) for c in right["c"][right["kind"] == STRING]]) / -LOGS
+        return pd.DataFrame({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": left["n_tokens"], "n_known": known,
+                             "train_tokens": n, "base_score": sums, "score": _sums(streams, of_strings, depth)})
+
+    return rows.select("bucket", "doc_id", "held_out", "n_tokens", "ids", "names").groupBy("bucket").cogroup(answers.groupBy("of")) \
+        .applyInPandas(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _sums(streams: list[bytes], logs: np.ndarray, depth: int) -> np.ndarray:
+    """Each stream's sum, given the values of the bucket's distinct strings."""
+    known = distinct(streams, [False] * len(streams), depth)[0]
+    out = []
+    for a, b in _slices(streams, 256, SCORED):
+        keys = (windows(streams[a:b], depth) << U(8)) | np.repeat(np.arange(b - a, dtype=U), [len(s) for s in streams[a:b]])
+        keys.sort()
+        own = keys >> U(8)
+        new = _starts(own)
+        values = logs[np.searchsorted(known, own[new])]
+        out.append(np.bincount((keys & U(255)).astype(np.int64), values[np.cumsum(new) - 1], b - a))
+    return np.concatenate(out)

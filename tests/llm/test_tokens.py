@@ -230,6 +230,30 @@ def test_tree_is_a_distribution():
             assert float((10 ** model.log10(all_bytes)).sum()) == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_match_the_definition(spark):
+    """Scores through the whole job, texts that training lacks included."""
+    texts = ["The cat sat", "the hat", "", "a  cat and\ta hat sat", "zebra hat the", "é ü", "the cat sat"] * 3
+    rows = [(i, t) for i, t in enumerate(texts)]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    streams = [ctw.stream(t.encode().lower().split()) for t in texts]
+    plain = plain_ctw([s for s, h in zip(streams, held) if not h], 3)
+    got = {r.doc_id: r.score for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), depth=3).collect()}
+    assert any(held) and got == {i: pytest.approx(plain(s), rel=1e-3) for i, s in enumerate(streams)}
+
+
+def test_rare_contexts_stay_in_the_tree(spark):
+    """Contexts under 2^-20 of the training bytes, which were pooled once."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=1500))) for i in range(1000)]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    streams = [ctw.stream(t.encode().split()) for _, t in rows]
+    keys, n = np.unique(ctw.strings([s for s, h in zip(streams, held) if not h], ctw.DEPTH), return_counts=True)
+    assert n.sum() > 1 << 20 and (n == 1).any()
+    model = model_of(keys, n, ctw.DEPTH, 0.0)
+    got = {r.doc_id: r.score for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == pytest.approx(want, rel=1e-3) for (i, _), want in zip(rows, model.scores([t.encode() for _, t in rows])))
+
+
 def test_packing():
     x = np.array([0, 3, 3 << 40, (1 << 63) + 5], np.uint64)
     assert np.array_equal(ctw.unpack(ctw.pack(x, True), True), x) and np.array_equal(ctw.unpack(ctw.pack(x, False), False), x)
