@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from briefkit import config as cfg
 from briefkit.functions.markdown import clean_markdown, decode_references
+from briefkit.sources import tables as T
 
 CASES = {
     "plain": ("Just plain text.", "Just plain text."),
@@ -67,6 +68,18 @@ def test_long_bodies(spark):
     assert out[1] == "x" * 2_000_000 and out[2] == "**deep**"
 
 
+def test_rows_are_dealt_out(spark, tmp_path):
+    """A file of one row group is cleaned by all tasks, not by one that folds
+    each body's tags in expressions."""
+    spark.range(400).selectExpr("id as doc_id", "repeat(concat('line ', char(97 + id % 26), char(10)), 20) as text").coalesce(1) \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    got = T.markup(spark, str(tmp_path)).select("doc_id", clean_markdown(F.col("html")).alias("cleaned"))
+    per_task = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r[1] for r in per_task) == 400 and max(r[1] for r in per_task) <= 100
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "ArrowEvalPython" in plan
+
+
 @pytest.mark.parametrize("step", [1, 97])
 def test_references_as_the_standard_library(spark, step):
     numbers = [n for n in [*range(1, 400, step), 8364, 0xD800, 0xFFFF, 0x1F600, 0x10FFFF, 0x110000] if n != 160]
