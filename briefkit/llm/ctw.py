@@ -16,9 +16,9 @@ string goes back to the buckets that have it.  The levels above are the sums of
 at most 2^16 nodes.
 
 The unigram base needs the counts of all words, which have no bound: a task
-numbers the words of a bounded bucket of documents by their 64-bit hashes, only
-these sorted lists meet over the network, and the counts come back to the
-bucket's documents.
+numbers the words of a bounded bucket of documents from the commonest, only
+sorted lists of their 64-bit hashes meet over the network, and the counts come
+back to the bucket's documents.
 """
 
 from __future__ import annotations
@@ -160,6 +160,10 @@ def _plain(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def hashed(names: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, names), U, len(names))
+
+
 class Bucket:
     """Documents held until their distinct words, or bytes, reach a bound."""
 
@@ -183,21 +187,25 @@ class Bucket:
         return len(self.number) > BUCKET_WORDS or self.bytes > BUCKET_BYTES
 
     def frames(self) -> Iterator[pd.DataFrame]:
-        """The documents with their words numbered in the order of their
-        hashes, the first one with the words; the words' hashes and training
-        counts by part, and the turned byte strings with theirs by the bytes
-        they meet by."""
+        """The documents with their words numbered from the commonest, the
+        first one with the words, those as common in alphabetical order: small
+        numbers and like neighbours squeeze well; the words' hashes and
+        training counts by part, and the turned byte strings with theirs by
+        the bytes they meet by."""
         names = list(self.number)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), U, len(names))
-        order = np.argsort(hashes)
+        uses = np.bincount(np.concatenate([d[2] for d in self.docs]), minlength=len(names)) if self.docs else np.zeros(0, np.int64)
+        order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+        order = order[np.argsort(-uses[order], kind="stable")]
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         for i in range(0, len(self.docs), 500):
             some = self.docs[i:i + 500]
             yield _frame(DOC, len(some), bucket=self.id, doc_id=pd.Series([d[0] for d in some], dtype="Int64"), held_out=[d[1] for d in some],
                          n_tokens=[len(d[2]) + 1 for d in some], ids=[_planes(rank[d[2]]) for d in some],
-                         names=[None if i or k else b" ".join([names[j] for j in order]) for k in range(len(some))])
+                         names=[None if i or k else zlib.compress(b" ".join([names[j] for j in order]), 1) for k in range(len(some))])
         n = np.bincount(np.concatenate(self.trained), minlength=len(order)) if self.trained else np.zeros(len(order), np.int64)
+        hashes = hashed(names)
+        order = np.argsort(hashes)
         hashes, n = hashes[order], n[order]
         yield from self._runs(WORD, hashes, n, hashes >> U(64 - PART_BITS))
         keys, n = distinct([d[3] for d in self.docs], [not d[1] for d in self.docs], self.depth)
@@ -685,7 +693,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("g")
         parts = [loose(c, False) for c in right["c"][right["kind"] == WORD]]
-        c = np.concatenate(parts).astype(float) if parts else np.zeros(0)
+        words = next((zlib.decompress(x) for x in left["names"] if x is not None), b"")
+        names = words.split(b" ") if words else []
+        c = np.zeros(len(names))
+        c[np.argsort(hashed(names))] = np.concatenate(parts) if parts else np.zeros(0)  # they come in the order of the hashes
         logs = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         end = math.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
         known, sums = [], []
@@ -693,7 +704,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
             own = _plain(ids)
             known.append(int((c[own] > 0).sum()) + (ends > 0))
             sums.append(float(logs[own].sum()) + end)
-        names = np.array((left["names"].dropna().tolist() or [b""])[0].split(b" "), object)
+        names = np.array(names, object)
         streams = [stream(names[_plain(ids)].tolist()) for ids in left["ids"]]
         of_strings = np.concatenate([_plain(c) for c in right["c"][right["kind"] == STRING]]) / -LOGS
         return pd.DataFrame({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": left["n_tokens"], "n_known": known,

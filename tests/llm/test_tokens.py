@@ -254,6 +254,19 @@ def test_rare_contexts_stay_in_the_tree(spark):
     assert all(got[i] == pytest.approx(want, rel=1e-3) for (i, _), want in zip(rows, model.scores([t.encode() for _, t in rows])))
 
 
+def test_buckets_squeeze_their_documents(spark):
+    """Numbers of words and the words are stored and shuffled: few bytes of each."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshrdlu", k=7)) for _ in range(20000)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=400)) for _ in range(300)]
+    bucket = ctw.Bucket(ctw.DEPTH)
+    for i, t in enumerate(texts):
+        bucket.add(i, i % 5 == 1, t.encode().split())
+    frames = [f for f in bucket.frames() if (f["kind"] == ctw.DOC).all()]
+    size = sum(len(x) for f in frames for c in ("ids", "names") for x in f[c] if x is not None)
+    assert size < 0.32 * sum(map(len, texts))
+
+
 def test_packing():
     x = np.array([0, 3, 3 << 40, (1 << 63) + 5], np.uint64)
     assert np.array_equal(ctw.unpack(ctw.pack(x, True), True), x) and np.array_equal(ctw.unpack(ctw.pack(x, False), False), x)
