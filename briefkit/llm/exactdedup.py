@@ -25,6 +25,8 @@ from .shared import BLANK, aside, prepare, stored
 BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
 #: Bits of one segment of the filter, the unit that is merged.
 SEGMENT = 1 << 16
+#: Hashes a task holds before it sorts them into the filter.
+HELD = 1 << 20
 
 
 def normal(text: str = "text") -> Column:
@@ -50,17 +52,38 @@ def _segments(once: np.ndarray, twice: np.ndarray) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"seg": [s // step], "once": [once[s:s + step].tobytes()], "twice": [twice[s:s + step].tobytes()]})
 
 
-def repeated_bits(hashes: DataFrame, bits: int) -> np.ndarray:
-    """First pass over column h: the bits that two rows or more have set."""
+def _note(h: np.ndarray, once: np.ndarray, twice: np.ndarray) -> None:
+    """Set the hashes' bits: in ``twice`` those that were set before."""
+    for pos in _positions(h, len(once) * 8):
+        pos = np.sort(pos.astype(np.uint32))  # MAX_BITS fit
+        same = pos[1:] == pos[:-1]
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        more = np.zeros(len(pos), bool)
+        more[1:] = same
+        bit = np.left_shift(1, pos[first] & 7).astype(np.uint8)
+        again = np.where(np.logical_or.reduceat(more, first), bit, 0).astype(np.uint8)
+        at = pos[first] >> 3
+        start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        at, bit, again = at[start], np.bitwise_or.reduceat(bit, start), np.bitwise_or.reduceat(again, start)
+        twice[at] |= again | (once[at] & bit)
+        once[at] |= bit
+
+
+def repeated_bits(hashes: DataFrame, bits: int, every: bool = False) -> np.ndarray:
+    """First pass over column h: the bits that two rows or more have set; with
+    ``every`` those that any row has set."""
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        held, size = [], 0
         for pdf in batches:
-            for pos in _positions(pdf["h"].to_numpy(np.int64), bits):
-                pos, n = np.unique(pos, return_counts=True)
-                at, bit = pos >> np.uint64(3), (1 << (pos & np.uint64(7))).astype(np.uint8)
-                np.bitwise_or.at(twice, at, np.where((n > 1) | (once[at] & bit > 0), bit, 0).astype(np.uint8))
-                np.bitwise_or.at(once, at, bit)
-        yield from _segments(once, twice)
+            held.append(pdf["h"].to_numpy(np.int64))
+            size += len(held[-1])
+            if size > HELD:
+                _note(np.concatenate(held), once, twice)
+                held, size = [], 0
+        if size:
+            _note(np.concatenate(held), once, twice)
+        yield from _segments(once, once if every else twice)
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: dict[int, list[np.ndarray]] = {}
@@ -96,15 +119,15 @@ def filter_size(rows: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_ROW * rows - 1).bit_length())) if rows else MIN_BITS
 
 
-def _maybe(df: DataFrame, twice: np.ndarray):
+def tester(df: DataFrame, twice: np.ndarray):
     """Second pass: column function of h, whether the hash may be repeated."""
     shared = df.sparkSession.sparkContext.broadcast(twice)
 
     @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
+    def test(h: pd.Series) -> pd.Series:
         return pd.Series(set_in(shared.value, h.to_numpy(np.int64)))
 
-    return maybe
+    return test
 
 
 def _decide(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, object]:
@@ -112,7 +135,7 @@ def _decide(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFra
     rows = stored(docs.select(docs[doc_id].alias("doc_id"), digest(text).alias("text_sha256"),
                               F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n"))
                   .withColumn("h", F.xxhash64("text_sha256")), "hashes")
-    maybe = _maybe(rows, repeated_bits(rows, filter_size(rows.count())))
+    maybe = tester(rows, repeated_bits(rows, filter_size(rows.count())))
     rows = stored(rows.withColumn("maybe", maybe("h")), "tested")
     alone = rows.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                                            F.lit(True).alias("kept"), "text_sha256")

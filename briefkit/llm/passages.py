@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .exactdedup import filter_size, repeated_bits, set_in
+from .exactdedup import filter_size, repeated_bits, set_in, tester
 from .shared import prepare, stored, text_bytes
 
 SHINGLE, SIMILAR, WORDS = 5, 0.8, 50
@@ -66,9 +66,14 @@ def bands(similar: float = SIMILAR, recall: float = RECALL) -> tuple[int, int]:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> U(32))
+    for shift, factor in ((31, 0x9E3779B97F4A7C15), (29, 0xBF58476D1CE4E5B9)):
+        y = x >> U(shift)
+        y ^= x
+        y *= U(factor)
+        x = y
+    y = x >> U(32)
+    y ^= x
+    return y
 
 
 class Hashes(dict):
@@ -237,7 +242,7 @@ def _candidates(data: DataFrame, number: int, rows: int, shingle: int, run: int)
             anchors = word_runs(lines.hashes, lines.total, run)[3]
             yield pd.DataFrame({"h": np.concatenate((lines.bands(number, rows).ravel(), anchors)).view(np.int64)})
 
-    breaks = F.length("data") - F.octet_length(F.translate(F.col("data").cast("string"), "\n", "")) + 1
+    breaks = F.length("data") - F.octet_length(F.replace(F.col("data").cast("string"), F.lit("\n"), F.lit(""))) + 1
     total, size = (x or 0 for x in data.agg(F.sum(breaks), F.sum(F.length("data"))).first())
     places = 4 * size // (6 * (run + 4))  # an anchor in about a quarter of a run's words, words of some six bytes
     twice = repeated_bits(data.select("data").mapInPandas(hashed, "h long"), filter_size(total * number + places))
@@ -278,11 +283,18 @@ def _candidates(data: DataFrame, number: int, rows: int, shingle: int, run: int)
     return stored(data.mapInPandas(picked, ROWS), "paragraphs")
 
 
+def _shared(pairs: DataFrame) -> DataFrame:
+    """(h, v) → (v, n): the bands of two texts or more.  Similar texts share
+    many: of bands with the same texts (up to 64-bit hashes) one stays."""
+    met = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b"), F.bit_xor(F.xxhash64("h")).alias("x"))
+    return met.where("n > 1").groupBy("n", "a", "b", "x").agg(F.min("v").alias("v")).select("v", "n")
+
+
 def _classes(marked: DataFrame, similar: float, chunk: int) -> DataFrame:
     """(h, label) of paragraph texts that are similar to another text."""
     texts = stored(marked.where("line >= 0").groupBy("h").agg(F.first("bands").alias("bands"), F.first("set").alias("set")), "texts")
     pairs = texts.select("h", F.explode("bands").alias("v"))
-    many = stored(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    many = stored(_shared(pairs), "bands")
     m = F.ceil(F.col("n") / chunk)
     t = F.pmod(F.xxhash64("h"), m)
     met = pairs.join(many, "v").select("v", "h", t.alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), m - 1)).alias("u"))
@@ -301,20 +313,24 @@ def _word_passages(marked: DataFrame, words: int) -> DataFrame:
                    .select("v", "c", "n", "odd", F.col("f.doc_id").alias("from"), F.col("f.row").alias("first_row"), F.col("f.i").alias("first_i")), "cells")
     # the first cell of each kind, run by run, where an anchor has unlike ones or a cell repeats a run
     mixed = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.max("odd").alias("o")).where("k > 1 or o").select("v")
-    heads = stored(kinds.join(mixed, "v").select("v", "c", F.col("first_row").alias("row"), F.col("first_i").alias("i")), "heads")
-    runs = cells.select("row", "doc_id", "i", "bands").join(heads, ["row", "i"]) \
-        .select("row", "doc_id", "v", "c", "i", F.posexplode("bands").alias("k", "w")).withColumn("i", F.col("i") + F.col("k"))
-    runs = stored(runs.select("row", "doc_id", "v", "c", "i", "w"), "word_runs")
+    heads = stored(kinds.join(mixed, "v").select(F.col("first_row").alias("row"), F.col("first_i").alias("i")), "heads")
+    # the hashes of other cells stay where they are, but for false positives of a filter
+    key = F.xxhash64("row", "i")
+    chosen = repeated_bits(heads.select(key.alias("h")), filter_size(heads.count()), every=True)
+    runs = cells.select("row", "doc_id", "i", "bands").where(tester(cells, chosen)(key)).join(heads, ["row", "i"]) \
+        .select("row", "doc_id", F.col("i").alias("at"), F.posexplode("bands").alias("k", "w"))
+    runs = stored(runs.select("row", "doc_id", "at", (F.col("at") + F.col("k")).alias("i"), "w"), "word_runs")
     firsts = stored(runs.groupBy("w").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
                     .select("w", F.col("f.doc_id").alias("from"), F.col("f.row").alias("first_row"), F.col("f.i").alias("first_i")), "first_runs")
-    seen = stored(runs.join(firsts, "w", "left"), "seen_runs")
-    own = F.when(F.col("first_row").isNull(), F.col("doc_id")).otherwise(F.col("from"))
-    sources = seen.groupBy("v", "c").agg(F.collect_set(own).alias("froms"))
+    seen = stored(runs.join(firsts, "w").select("row", "doc_id", "at", "i", "from", "first_row", "first_i"), "seen_runs")
+    # a head's runs stand first where it does, but for those seen
+    sources = seen.groupBy(F.col("row").alias("first_row"), F.col("at").alias("first_i")).agg(F.collect_set("from").alias("froms"), F.count(F.lit(1)).alias("met"))
     again = seen.where("row != first_row or i != first_i").select("row", F.col("i").alias("a"), F.col("i").alias("b"), F.array("from").alias("froms"))
     # the other cells of a kind stand before as a whole
     others = narrow.join(kinds.where("n > 1").drop("odd"), ["v", "c"]).where("row != first_row or i != first_i")
-    others = others.join(sources, ["v", "c"], "left").select(
-        "row", F.col("i").alias("a"), (F.col("i") + F.col("m") - 1).alias("b"), F.coalesce("froms", F.array("from")).alias("froms"))
+    froms = F.when(F.col("met") == F.col("m"), F.col("froms")).otherwise(F.array_append(F.coalesce("froms", F.array().cast("array<bigint>")), F.col("from")))
+    others = others.join(sources, ["first_row", "first_i"], "left").select(
+        "row", F.col("i").alias("a"), (F.col("i") + F.col("m") - 1).alias("b"), froms.alias("froms"))
     # within a document, as the runs of lines
     w = Window.partitionBy("row").orderBy("a")
     new = F.coalesce(F.col("a") > F.lag("b").over(w) + words, F.lit(True))

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 from briefkit.llm import components, exactdedup, passages, simhash
@@ -239,3 +240,21 @@ def test_passages_of_many_tasks_and_repeated_ids(spark):
     assert Counter(r.doc_id for r in left) == Counter(r[0] for r in rows)
     alike = spark.createDataFrame([(1, part), (1, part), (1, part), (2, "own words")], "doc_id long, text string")
     assert sorted(r.text for r in passages.without_passages(alike).collect()) == ["", "", "own words", part]
+
+
+def test_bands_with_the_same_texts_are_compared_once(spark):
+    """Texts that are much alike share up to eight bands, whose tiles were all alike."""
+    pairs = [(h, v) for v in range(8) for h in (5, 9)] + [(5, 20), (9, 20), (11, 20), (11, 21), (5, 22), (11, 22)]
+    got = {tuple(r) for r in passages._shared(spark.createDataFrame(pairs, "h long, v long")).collect()}
+    assert got == {(0, 2), (20, 3), (22, 2)}
+
+
+def test_filter_bits_match_plain_counts():
+    rng = np.random.default_rng(1)
+    h = rng.integers(-(1 << 63), (1 << 63) - 1, 20000)
+    h, bits = np.concatenate((h, h[:3000])), 1 << 18
+    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    for part in np.array_split(h, 5):
+        exactdedup._note(part, once, twice)
+    n = sum(np.bincount(pos.astype(np.int64), minlength=bits) for pos in exactdedup._positions(h, bits))
+    assert np.array_equal(np.packbits(n > 0, bitorder="little"), once) and np.array_equal(np.packbits(n > 1, bitorder="little"), twice)
