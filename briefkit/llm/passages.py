@@ -286,8 +286,8 @@ def _candidates(data: DataFrame, number: int, rows: int, shingle: int, run: int)
 def _shared(pairs: DataFrame) -> DataFrame:
     """(h, v) → (v, n): the bands of two texts or more.  Similar texts share
     many: of bands with the same texts (up to 64-bit hashes) one stays."""
-    met = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b"), F.bit_xor(F.xxhash64("h")).alias("x"))
-    return met.where("n > 1").groupBy("n", "a", "b", "x").agg(F.min("v").alias("v")).select("v", "n")
+    met = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"))
+    return met.where("n > 1").groupBy("n", "x").agg(F.min("v").alias("v")).select("v", "n")
 
 
 def _classes(marked: DataFrame, similar: float, chunk: int) -> DataFrame:
@@ -299,7 +299,10 @@ def _classes(marked: DataFrame, similar: float, chunk: int) -> DataFrame:
     t = F.pmod(F.xxhash64("h"), m)
     met = pairs.join(many, "v").select("v", "h", t.alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), m - 1)).alias("u"))
     met = met.select("v", "h", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"))
-    tiles = met.join(texts.select("h", "set"), "h").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
+    met = stored(met, "met")
+    # sets of texts that share no band after all stay where they are, but for false positives of a filter
+    asked = tester(texts, repeated_bits(met.select("h"), filter_size(met.count()), every=True))
+    tiles = met.join(texts.select("h", "set").where(asked("h")), "h").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
     return components(tiles.select("v", "i", "j", "h", "set").mapInPandas(_tiles(similar), "a long, b long"))
 
 
