@@ -65,3 +65,16 @@ def test_ingested_messages_prune_by_date(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*received_date >= 2024-01-28", plan), plan
     n_all = stored.where("received_ts >= timestamp'2024-01-28 00:00:00'").count()
     assert sel.count() == n_all > 0
+
+
+def test_stream_files_and_sink_are_compressed(spark):
+    from pyspark.sql import functions as F
+    from briefkit.plans import catalog
+    from briefkit.session import children
+    msgs = T.messages(spark, SF).where("ord < 300")
+    src, sink, ck = scratch_path(spark, "t-s1z-src"), scratch_path(spark, "t-s1z-out"), scratch_path(spark, "t-s1z-ck")
+    catalog._files(to_message_resources(msgs), spark, SF, "json", src)
+    assert all(n.endswith(".json.gz") for n in children(spark, src) if n.startswith("part-"))
+    S.ingest_stream(spark, src, sink, ck).awaitTermination()
+    got = spark.read.parquet(sink).withColumn("file", F.input_file_name())
+    assert got.count() == 300 and got.where("file not like '%.zstd.parquet'").count() == 0
